@@ -1,9 +1,13 @@
 """The queries opN_* and the SQL of those that DuckDB can express."""
 
-from . import mixing
+from . import bpe, idfiles, langid, matroska, mixing
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op4_media_columns": matroska.op4_media_columns,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op9_token_id_files": idfiles.op9_token_id_files,
+    "op10_bpe_encode_decode": bpe.op10_bpe_encode_decode,
 }
 ORACLE_SQL = {
     "op6_mix_sources": mixing.OP6_SQL,
