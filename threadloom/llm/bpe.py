@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load_tokenizer, slices, table, tokenizer_path
-from .words import WordTable
+from .words import word_table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -25,7 +25,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     frame = docs.select(docs[id_col], docs[text_col].alias("__text"), *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(path)
+        words = word_table(path)
         for batch in slices(batches, 1):
             ids = [x.astype("<u4") for x in words.encode(batch.column(1).to_pylist())]
             made = [pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import tempfile
-from collections.abc import Iterable, Iterator
+import types
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,3 +61,11 @@ def load_tokenizer(path: str):
     made.no_truncation()
     made.no_padding()
     return made
+
+
+def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept for as long as this Python worker lives: a worker runs many tasks, and what is kept only saves making it again."""
+    held = sys.modules.setdefault("_threadloom_worker", types.ModuleType("_threadloom_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

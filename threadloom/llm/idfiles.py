@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices, table, tokenizer_path
-from .words import WordTable
+from .words import word_table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -49,7 +49,7 @@ def frequencies(docs: DataFrame, path: str, text_col: str = "text", end_id: int
     """id and n over all documents, end ids included. A task sends a row for each id that it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = WordTable(path), np.zeros(0, np.int64)
+        words, total = word_table(path), np.zeros(0, np.int64)
         for batch in slices(batches, 0):
             for ids in words.encode(batch.column(0).to_pylist()):
                 own = np.bincount(ids, minlength=end_id + 1)
@@ -83,7 +83,7 @@ def write(docs: DataFrame, path: str, to: str, ranked: np.ndarray, id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = WordTable(path), TaskContext.get().partitionId()
+        words, shard = word_table(path), TaskContext.get().partitionId()
         for block, batch in enumerate(slices(batches, 1, block_bytes)):
             ids = [np.append(x, np.uint32(end_id)) for x in words.encode(batch.column(1).to_pylist())]
             control, data = pack(sent.value[np.concatenate(ids)])

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .common import load_tokenizer
+from .common import load_tokenizer, per_worker
 
-#: Words that a worker keeps encoded; beyond it the table starts anew.
+#: Words and characters that a worker keeps encoded; beyond either the table starts anew.
 TABLE = 1 << 19
-#: Longer words are encoded each time they occur, and not kept.
-LONG_WORD = 256
+TABLE_CHARS = 1 << 24
 #: Words that are encoded at a time.
 AT_ONCE = 4096
 #: ASCII white space that every tokenizer here treats as the end of a word.
@@ -33,23 +32,27 @@ class WordTable:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {"": 0}
-        self.ids: list[list[int]] = [[]]
-        self.flat, self.start, self.size, self.stale = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64), False
+        self.chars = 0
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > TABLE and len(self.place) > 1:
+        chars = sum(map(len, new))
+        if len(self.place) + len(new) > TABLE or self.chars + chars > TABLE_CHARS:
             self.clear()
             new = [w for w in words if w]
+            chars = sum(map(len, new))
+        self.chars += chars
+        flat, sizes = [self.flat], [self.size]
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
-            for word, made in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.place[word] = len(self.ids)
-                self.ids.append(made.ids)
+            made = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part)), strict=True))
+            sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
+            flat.append(np.fromiter((x for ids in made for x in ids), np.uint32, int(sizes[-1].sum())))
         if new:
-            self.size = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
+            self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
             self.start = np.cumsum(self.size) - self.size
-            self.flat = np.fromiter((x for ids in self.ids for x in ids), np.uint32, int(self.size.sum()))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text; a null is an empty one."""
@@ -62,3 +65,8 @@ class WordTable:
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
             yield self.flat[np.arange(total) + np.repeat(self.start[codes] - (ends - size), size)]
+
+
+def word_table(path: str) -> WordTable:
+    """The worker's table for a vocabulary."""
+    return per_worker(f"words {path}", lambda: WordTable(path))
