@@ -1,11 +1,12 @@
 """The queries opN_* and the SQL of those that DuckDB can express."""
 
-from . import bpe, idfiles, langid, matroska, mixing, neighbours, tokencount
+from . import bpe, idfiles, langid, matroska, mixing, neighbours, simhash, tokencount
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op3_token_counts": tokencount.op3_token_counts,
     "op4_media_columns": matroska.op4_media_columns,
+    "op5_simhash_groups": simhash.op5_simhash_groups,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
     "op9_token_id_files": idfiles.op9_token_id_files,
