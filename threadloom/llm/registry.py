@@ -1,9 +1,10 @@
 """The queries opN_* and the SQL of those that DuckDB can express."""
 
-from . import bpe, idfiles, langid, matroska, mixing, neighbours, simhash, tokencount
+from . import bpe, htmltext, idfiles, langid, matroska, mixing, neighbours, simhash, tokencount
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_html_text": htmltext.op2_html_text,
     "op3_token_counts": tokencount.op3_token_counts,
     "op4_media_columns": matroska.op4_media_columns,
     "op5_simhash_groups": simhash.op5_simhash_groups,
