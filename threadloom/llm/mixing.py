@@ -61,8 +61,8 @@ def rank(doc_id: Column, odds: Column, seed: str = SEED) -> Column:
     return q / (1 + q)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", source_col: str = "source", seed: str = SEED, fanout: int = FANOUT, **targets) -> DataFrame:
-    """A row per row of docs: doc_id, source, size, source_size, target, taken (words) and copies.
+def mix(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", source_col: str = "source", seed: str = SEED, fanout: int = FANOUT, columns: tuple[str, ...] = (), **targets) -> DataFrame:
+    """A row per row of docs: doc_id, source, size, source_size, target, taken (words) and copies, and the columns asked for.
 
     Every document of a source is taken floor(target / source size) times as a whole. The remaining words are drawn
     without replacement by order sampling: documents enter by ascending rank until the words taken come nearest to
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", source_
     Null ids and sources are values like others; null sizes count 0. Equal ids have equal ranks; then size decides, and equal rows are interchangeable.
     An empty table gives an empty result; other columns are not read.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"), *columns)
     slim = checkpointed(slim)
     per = checkpointed(source_targets(slim, **targets))
     ranked = slim.join(per.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
@@ -95,14 +95,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", source_
     inside = ones.where(F.col("first") == F.col("first_edge"))
     twos = with_edge(ones, checkpointed(edge(inside, ["first_before"], "second", F.col("first_before"))))
     at_edge = F.coalesce((F.col("first") == F.col("first_edge")) & (F.col("second") == F.col("second_edge")), F.lit(False))
-    out = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    out = ["doc_id", "source", "size", *columns, "source_size", "target", "copies"]
     below = F.coalesce((F.col("first") < F.col("first_edge")) | ((F.col("first") == F.col("first_edge")) & (F.col("second") < F.col("second_edge"))), F.lit(True))
     settled = twos.where(~at_edge).select(*out, ((F.col("rest") > 0) & (F.col("odds") > 0) & below).alias("drawn"))
     run = Window.partitionBy("source", "first", "second").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("second_before") + F.sum("size").over(run)
     exact = twos.where(at_edge).withColumn("upto", upto).select(*out, ((F.col("rest") > 0) & (F.col("odds") > 0) & (F.col("upto") - F.col("size") / 2 <= F.col("rest"))).alias("drawn"))
     taken = settled.unionAll(exact).withColumn("copies", F.col("copies") + F.col("drawn").cast("long"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return taken.select("doc_id", "source", "size", *columns, "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
