@@ -24,8 +24,8 @@ SMOOTH = 0.5
 #: Held-out rows are those with remainder 0.
 FOLDS = 5
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words kept scored in a worker at a time.
-CACHE = 1 << 17
+#: Words that a task keeps scored; beyond it, the table starts anew.
+CACHE = 1 << 19
 #: A document's score is over this many words' worth of evidence at most, so that the logistic does not saturate.
 EVIDENCE = 32.0
 
@@ -77,21 +77,36 @@ class Model:
                 return self.logs[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
-    def score(self, counts: Counter, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        if not counts or not self.langs:
+
+class Scorer:
+    """Predictions of a model, with a row of scores kept for each distinct word met."""
+
+    def __init__(self, model: Model):
+        self.model, self.place, self.rows, self.used = model, {}, np.zeros((1024, len(model.langs))), 0
+
+    def learn(self, counts: Counter) -> None:
+        new = [w for w in counts if w not in self.place]
+        if self.used + len(new) > CACHE:
+            self.place, self.used, new = {}, 0, list(counts)
+        while self.used + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for word in new:
+            self.rows[self.used] = self.model.word(word)
+            self.place[word] = self.used
+            self.used += 1
+
+    def predict(self, text: str) -> tuple[str, float]:
+        counts = words_of(text)
+        if not counts or not self.model.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            if (own := cache.get(word)) is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                own = cache[word] = self.word(word)
-            total += n * own
-        size = sum(counts.values())
-        odds = total * (min(size, EVIDENCE) / size)
+        self.learn(counts)
+        at = np.fromiter(map(self.place.__getitem__, counts), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        size = n.sum()
+        odds = n @ self.rows[at] * (min(size, EVIDENCE) / size)
         odds = np.exp(odds - odds.max())
         best = int(odds.argmax())
-        return self.langs[best], float(odds[best] / odds.sum())
+        return self.model.langs[best], float(odds[best] / odds.sum())
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, most_words: int = FIT_WORDS, most_grams: int = FIT_GRAMS) -> Model:
@@ -144,9 +159,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.units, model.logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cache = Model(*sent.value), {}
+        scorer = Scorer(Model(*sent.value))
         for batch in slices(batches, place):
-            found = [own.score(words_of(text or ""), cache) for text in batch.column(place).to_pylist()]
+            found = [scorer.predict(text or "") for text in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return kept.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "lang_pred string, score double"]))
