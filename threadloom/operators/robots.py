@@ -39,5 +39,5 @@ def summary(files: DataFrame) -> DataFrame:
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url, path) with allowed: unless the longest disallow pattern that matches is longer than the longest allow pattern. rules (kind, pattern) are a site's few, and go into each row as one array."""
     held = rules.agg(F.collect_list(F.struct("kind", F.length("pattern").alias("n"), robots_regex(F.col("pattern")).alias("regex"))).alias("rules"))
-    longest = lambda kind: F.coalesce(F.array_max(F.transform(F.filter("rules", lambda r: (r["kind"] == kind) & F.col("path").rlike(r["regex"])), lambda r: r["n"])), F.lit(-1))
+    longest = lambda kind: F.coalesce(F.array_max(F.transform(F.filter("rules", lambda r: (r["kind"] == kind) & F.rlike("path", r["regex"])), lambda r: r["n"])), F.lit(-1))
     return urls.join(F.broadcast(held)).withColumn("allowed", longest("disallow") <= longest("allow")).drop("rules")

@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 1) and raw of each non-blank line. Lines are numbered by file; a file is one split, so numbers are those of the file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw"))
     return text.select("file", (F.col("line_no") + 1).cast("long").alias("line_no"), "raw").where(F.trim("raw") != "")
 
 
@@ -137,7 +137,7 @@ def comment_tree(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """post, path, depth, id, parent_id, author, score and body of captured comment pages (post, raw: the second listing), depth first by path. A recursive query goes down one level at a time; replies that are no object end a branch."""
     raw.select("post", F.try_parse_json("raw").alias("v")).createOrReplaceTempView("__comment_pages")
     return spark.sql("""
-        WITH RECURSIVE tree MAX RECURSION LEVEL 200 (post, path, depth, v) AS (
+        WITH RECURSIVE tree (post, path, depth, v) MAX RECURSION LEVEL 200 AS (
           SELECT post, lpad(CAST(c.pos AS STRING), 6, '0'), 0, c.value FROM __comment_pages, LATERAL variant_explode(variant_get(v, '$.data.children', 'variant')) c
           UNION ALL
           SELECT t.post, concat(t.path, '/', lpad(CAST(c.pos AS STRING), 6, '0')), t.depth + 1, c.value

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +52,10 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def merge_deltas(spark: SparkSession, path: str, schema: str, key: str, into: str) -> None:
     """Appends the records of new delta files whose key is not yet in the table `into`; the first of a batch by file and line wins."""
-    stream = spark.readStream.schema(schema).json(path).withColumn("checkpoint", F.regexp_extract("_metadata.file_path", r"cp-([0-9]+)", 1)).withColumn("place", F.monotonically_increasing_id())
+    stream = spark.readStream.schema(schema).json(path).withColumn("checkpoint", F.regexp_extract("_metadata.file_path", r"cp-([0-9]+)", 1))
 
     def put(batch: DataFrame, number: int) -> None:
-        from pyspark.errors import AnalysisException
-
+        batch = batch.withColumn("place", F.monotonically_increasing_id())
         first = batch.groupBy(key).agg(F.min_by(F.struct(*batch.columns), F.struct("checkpoint", "place")).alias("r")).select("r.*").drop("place")
         try:
             done = batch.sparkSession.read.parquet(into).where(F.col("batch") != number).select(key)
