@@ -1,4 +1,4 @@
-"""Distinct-word tables: each distinct word of a task's documents is encoded once, and ids go back by position."""
+"""Distinct-word tables: each distinct word that a worker meets is encoded once, and ids go back by position."""
 
 from __future__ import annotations
 
@@ -9,58 +9,87 @@ import numpy as np
 
 from .common import load_tokenizer, per_worker
 
-#: Words and characters that a worker keeps encoded; beyond either the table starts anew.
-TABLE = 1 << 19
-TABLE_CHARS = 1 << 24
-#: Words that are encoded at a time.
-AT_ONCE = 4096
-#: ASCII white space that every tokenizer here treats as the end of a word.
-SPACES = re.compile(r"[\t\n\r]")
+#: Words and bytes of words that a worker keeps encoded; beyond either the table starts anew.
+TABLE = 600_000
+TABLE_BYTES = 16 << 20
+#: Plain words that are encoded as one text, and texts that are encoded at a time.
+TOGETHER = 256
+AT_ONCE = 64
+#: Upper-case letters whose lower case, unlike them, may form one character with a mark.
+MARKED = re.compile("[A-Z][̀-ͯ]")
+#: A full stop or comma that is a piece of its own: a letter before it, white space or the end behind it.
+STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n]|$)")
 
 
 class WordTable:
     """Ids of texts by way of their distinct words.
 
-    Words are split at spaces, tabs and line ends. The tokenizer drops white space and never joins over it, and Unicode
-    composition does not reach over it, so the ids of a text are those of its words in turn; special strings hold no
-    white space. Other white space stays inside a word for the tokenizer to split.
+    The tokenizer lower-cases, drops white space and never joins over it, and Unicode composition does not reach over it, so
+    the ids of a text are those of the words between its white space in turn. A to Z are lower-cased before, except in texts
+    where that could change how marks compose, or which hold what may be a special string. Words of letters are encoded many
+    at a time, as each ends with its only piece that ends a word; the others, and those where the count of such pieces
+    shows that this fails, one by one.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.chars = 0
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.place: dict[bytes, int] = {}
+        self.bytes = 0
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: set[str]) -> None:
+    def split(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        raw = text.encode("utf-8", "surrogatepass")
+        if b"<|" in raw or (len(raw) != len(text) and MARKED.search(text)):
+            return raw.split()
+        return STOP.sub(rb" \1", raw.lower()).split()
+
+    def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.place]
-        chars = sum(map(len, new))
-        if len(self.place) + len(new) > TABLE or self.chars + chars > TABLE_CHARS:
+        if not new:
+            return
+        if len(self.place) + len(new) > TABLE or self.bytes + sum(map(len, new)) > TABLE_BYTES:
             self.clear()
-            new = [w for w in words if w]
-            chars = sum(map(len, new))
-        self.chars += chars
-        flat, sizes = [self.flat], [self.size]
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            made = [x.ids for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part)), strict=True))
+            new = list(words)
+        self.bytes += sum(map(len, new))
+        plain, others = [], []
+        for w in new:
+            (plain if w.islower() and (w.isalpha() or w.decode("utf-8", "surrogatepass").isalpha()) else others).append(w)
+        flat, sizes, done = [self.flat], [self.size], []
+        for i in range(0, len(plain), TOGETHER * AT_ONCE):
+            parts = [plain[j : j + TOGETHER] for j in range(i, min(i + TOGETHER * AT_ONCE, len(plain)), TOGETHER)]
+            for part, made in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(made.ids, np.uint32)
+                ends = np.flatnonzero(self.final[ids]) + 1
+                if len(ends) == len(part):
+                    flat.append(ids)
+                    sizes.append(np.diff(ends, prepend=0))
+                    done += part
+                else:
+                    others += part
+        for i in range(0, len(others), 4096):
+            made = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in others[i : i + 4096]], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
             flat.append(np.fromiter((x for ids in made for x in ids), np.uint32, int(sizes[-1].sum())))
-        if new:
-            self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
-            self.start = np.cumsum(self.size) - self.size
+        first = len(self.place)
+        self.place.update(zip([*done, *others], range(first, first + len(new)), strict=True))
+        self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
+        self.start = np.cumsum(self.size) - self.size
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; a null is an empty one."""
-        split = [SPACES.sub(" ", t).split(" ") if t else [] for t in texts]
+        split = list(map(self.split, texts))
         self.learn(set().union(*split))
-        place = self.place
+        place = self.place.__getitem__
         for words in split:
-            codes = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            codes = np.fromiter(map(place, words), np.int64, len(words))
             size = self.size[codes]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
