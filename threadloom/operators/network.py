@@ -64,3 +64,41 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
         if i % 5 == 4:
             ranks = ranks.checkpoint()
     return ranks
+
+
+def neighbourhoods(edges: DataFrame) -> DataFrame:
+    """a < b: the undirected edges without loops, once each."""
+    return edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """node, degree, triangles and clustering of each node. An edge goes to its end of smaller degree, so that no node pairs more than about the root of all edges."""
+    pairs = neighbourhoods(edges)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
+    named = lambda side: degree.select(F.col("node").alias(side), F.col("degree").alias(f"d{side}"))
+    sized = pairs.join(named("a"), "a").join(named("b"), "b")
+    low = F.struct("da", "a") < F.struct("db", "b")
+    out = sized.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
+    wedges = pairs_of(out.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("who")).withColumn("who", F.transform("who", lambda v: F.struct(v.alias("v"), F.col("u").alias("u")))), F.col("who"))
+    corners = wedges.select(F.col("source.u").alias("u"), F.col("source.v").alias("a"), F.col("target.v").alias("b"))
+    closed = corners.join(pairs, ["a", "b"])
+    per = closed.select(F.explode(F.array("u", "a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    made = degree.join(per, "node", "left").select("node", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
+    return made.withColumn("clustering", F.when(F.col("degree") > 1, 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))
+
+
+def assortativity(edges: DataFrame) -> DataFrame:
+    """One row: edges, and the correlation of the degrees at their ends."""
+    pairs = neighbourhoods(edges)
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    named = lambda side: degree.select(F.col("node").alias(side), F.col("degree").alias(f"d{side}"))
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
+    ways = both.select(F.inline(F.array(F.struct(F.col("da").alias("x"), F.col("db").alias("y")), F.struct(F.col("db").alias("x"), F.col("da").alias("y")))))
+    return ways.agg((F.count("*") / 2).cast("long").alias("edges"), F.corr("x", "y").alias("assortativity"))
+
+
+def unanswered(turns: DataFrame, thread: str, order: str) -> DataFrame:
+    """The last turn of each thread: what nothing follows."""
+    last = turns.groupBy(thread).agg(F.max(order).alias(order))
+    return turns.join(last, [thread, order], "left_semi")

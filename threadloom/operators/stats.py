@@ -89,3 +89,45 @@ def sessions(events: DataFrame, by: str, ts: str, tie: str, gap_s: int = 1800) -
     new = F.when(seconds - F.lag(seconds).over(w) <= gap_s * 1_000_000, 0).otherwise(1)
     marked = events.select(by, ts, tie, new.alias("new")).withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(by, "session").agg(F.count("*").alias("events"), F.min(ts).alias("started"), F.max(ts).alias("ended"))
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n and the correlation of mean ranks. Values are counted before they are ranked."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b"))
+
+    def ranks(c: str) -> DataFrame:
+        counts = rows.groupBy(c).agg(F.count("*").alias("c"))
+        return counts.select(c, (F.sum("c").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("c") - 1) / 2).alias(f"r{c}"))
+
+    return rows.join(ranks("a"), "a").join(ranks("b"), "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+
+
+def cohens_d(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
+    """One row: both sizes and the difference of means in pooled standard deviations."""
+    pick = lambda g: F.when(F.col(group) == g, F.col(value))
+    s = df.agg(*(f(pick(g)).alias(f"{n}_{s}") for g, s in ((a, "a"), (b, "b")) for f, n in ((F.count, "n"), (F.avg, "m"), (F.var_samp, "v"))))
+    pooled = F.sqrt(((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / (F.col("n_a") + F.col("n_b") - 2))
+    return s.select("n_a", "n_b", F.when(pooled > 0, (F.col("m_a") - F.col("m_b")) / pooled).alias("d"))
+
+
+def bursts(counts: DataFrame, by: str, order: str, n: str, least: float = 2.0) -> DataFrame:
+    """counts with z, where a period's count stands `least` standard deviations or more above its key's mean."""
+    w = Window.partitionBy(by)
+    scored = counts.withColumn("z", (F.col(n) - F.avg(n).over(w)) / F.nullif(F.stddev_pop(n).over(w), F.lit(0.0)))
+    return scored.where(F.col("z") >= least)
+
+
+def before_events(daily: DataFrame, days: DataFrame, window: int = 7, rise: float = 0.3) -> DataFrame:
+    """event, before, mean and spike: the mean daily count in the days before each event (day) against that of all days. Each event is spread over its days, so the join is on equality."""
+    near = days.select(F.col("day").alias("event"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.date_sub("day", i))).alias("day"))
+    overall = daily.agg(F.avg("n").alias("mean"))
+    found = near.join(daily, "day", "left").groupBy("event").agg((F.coalesce(F.sum("n"), F.lit(0)) / window).alias("before"))
+    return found.join(F.broadcast(overall)).withColumn("spike", F.col("before") >= (1 + rise) * F.col("mean"))
+
+
+def matched(df: DataFrame, group: str, a: str, b: str, bucket: Column, order: Column) -> DataFrame:
+    """Rows of two groups, as many of each in every bucket as the smaller has there, the first by `order`."""
+    rows = df.where(F.col(group).isin(a, b)).withColumn("__bucket", bucket)
+    least = rows.groupBy("__bucket").agg(F.least(F.count_if(F.col(group) == a), F.count_if(F.col(group) == b)).alias("__k"))
+    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__bucket", group).orderBy(order)))
+    return ranked.join(least, "__bucket").where(F.col("__rn") <= F.col("__k")).drop("__bucket", "__k", "__rn")
