@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, checkpointed, per_worker, slices, table
+from .common import WORD_RE, checkpointed, slices, table
 
 #: A repeated passage has so many words at least.
 PASSAGE = 50
@@ -23,20 +24,20 @@ LEFT, RIGHT = PASSAGE - GRAM, PASSAGE
 NEIGHBOURS = 3
 #: Odd multiplier of the word and window hashes.
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Word hashes that a worker keeps.
-WORDS = 1 << 20
 
 SUFFIX = "rid long, doc_id long, h long, pos int, left binary, right binary"
 
 
-class Hashes(dict):
-    """64-bit hashes of words, made as they are asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in turn, and how many words each has. Arrow splits and numbers the words, so each distinct one is hashed once."""
+    split = pc.ascii_split_whitespace(texts.fill_null(""))
+    words = split.flatten().dictionary_encode()
+    own = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    blank = np.fromiter((w == "" for w in words.dictionary.to_pylist()), bool, len(words.dictionary))
+    codes = words.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    real = ~blank[codes]
+    return own[codes[real]], np.bincount(text[real], minlength=len(texts))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -84,12 +85,9 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The sampled suffixes of all texts: row and document, gram hash, place of its first word, and the words on either side as 16-bit hashes, as far as runs that it stands for reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = per_worker("word hashes", Hashes)
         for batch in slices(batches, 2, 4 << 20):
-            split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in batch.column(2).to_pylist()]
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            words, sizes = hashed(batch.column(2))
             ends = np.cumsum(sizes)
-            words = np.fromiter((table_[w] for own in split for w in own), np.uint64, int(sizes.sum()))
             hashes, at, first, last = minimisers(words, ends)
             doc = np.searchsorted(ends, at, side="right")
             short = (words >> np.uint64(48)).astype(">u2")
@@ -104,7 +102,7 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def grid(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """16-bit words of each row, filled up with zeros to `width`, and how many there are."""
-    size = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
     out = np.zeros((len(size), width), np.uint16)
     out[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(column.to_pylist()), ">u2")
     return out, size
