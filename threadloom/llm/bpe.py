@@ -24,7 +24,7 @@ def encoding(path: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         words = word_table(path)
         for batch in slices(batches, 1, PART):
-            ids = [x.astype("<u4") for x in words.encode(batch.column(1).to_pylist())]
+            ids = [x.astype("<u4") for x in words.encode(batch.column(1))]
             made = [pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
             names = batch.schema.names
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], names=[names[0], "n_tokens", "ids", *names[2:]])

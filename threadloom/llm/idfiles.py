@@ -1,8 +1,7 @@
-"""Token-id files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes."""
+"""Token-id files: ids ranked by their frequency within a block, in byte-aligned variable-length coding with separate control bytes."""
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table, tokenizer_path
+from .common import folder, slices, table, tokenizer_path
 from .words import word_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -20,7 +19,7 @@ END_ID = 2
 #: The lengths of the four values that a control byte describes, two bits each, the first value in the lowest bits.
 LENGTHS = 1 + (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3)
 #: Text of which a block of a file is made.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -45,51 +44,36 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def frequencies(docs: DataFrame, path: str, text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """id and n over all documents, end ids included. A task sends a row for each id that it met."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = word_table(path), np.zeros(0, np.int64)
-        for batch in slices(batches, 0):
-            for ids in words.encode(batch.column(0).to_pylist()):
-                own = np.bincount(ids, minlength=end_id + 1)
-                own[end_id] += 1
-                if len(own) > len(total):
-                    total = np.pad(total, (0, len(own) - len(total)))
-                total[: len(own)] += own
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def ranking(counts: DataFrame) -> np.ndarray:
-    """Ids by falling frequency, equal ones by id. Its size is bounded by the vocabulary's."""
-    rows = sorted((-r["n"], r["id"]) for r in counts.collect())
-    return np.array([i for _, i in rows], np.uint32)
+def ranking(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids by falling frequency, equal ones by id, and the rank of each id."""
+    different, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return different[order].astype("<u4"), rank[places.reshape(-1)]
 
 
-BLOCKS = "shard int, block int, doc_ids binary, missing binary, lengths binary, n long, control binary, data binary"
+BLOCKS = "shard int, block int, doc_ids binary, missing binary, lengths binary, before long, n long, ranked binary, control binary, data binary"
 
 
-def write(docs: DataFrame, path: str, to: str, ranked: np.ndarray, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> None:
+def write(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> None:
     """Writes the ids of docs to the folder `to`, ascending by document id over files and within them; null ids come first, equal ones by text.
 
-    A file holds blocks: the documents' ids (64 bits), which of them are null, how many token ids each has (32 bits), and
-    the ranks of all token ids as control and data bytes. The shard is the file's place in the order.
+    A file holds blocks: the documents' ids (64 bits), which of them are null, how many token ids each has (32 bits), how many
+    ids the file's earlier blocks have, the block's different token ids by falling frequency (32 bits), and the ranks of all its token ids as control and data
+    bytes. A block can be read by itself, and texts are encoded once. The shard is the file's place in the order.
     """
-    rank = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
-    rank[ranked] = np.arange(len(ranked), dtype=np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = word_table(path), TaskContext.get().partitionId()
+        words, shard, before = word_table(path), TaskContext.get().partitionId(), 0
         for block, batch in enumerate(slices(batches, 1, block_bytes)):
-            ids = [np.append(x, np.uint32(end_id)) for x in words.encode(batch.column(1).to_pylist())]
-            control, data = pack(sent.value[np.concatenate(ids)])
+            ids = [np.append(x, np.uint32(end_id)) for x in words.encode(batch.column(1))]
+            ranked, ranks = ranking(np.concatenate(ids))
+            control, data = pack(ranks)
             docs_ = batch.column(0)
-            row = [shard, block, docs_.fill_null(0).to_numpy().astype("<i8").tobytes(), docs_.is_null().to_numpy(zero_copy_only=False).tobytes(), np.fromiter(map(len, ids), "<u4", len(ids)).tobytes(), sum(map(len, ids)), control, data]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+            row = [shard, block, docs_.fill_null(0).to_numpy().astype("<i8").tobytes(), docs_.is_null().to_numpy(zero_copy_only=False).tobytes(), np.fromiter(map(len, ids), "<u4", len(ids)).tobytes(), before, sum(map(len, ids)), ranked.tobytes(), control, data]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            before += row[6]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -97,48 +81,43 @@ def write(docs: DataFrame, path: str, to: str, ranked: np.ndarray, id_col: str =
 
 
 def starts(blocks: DataFrame) -> DataFrame:
-    """shard, block and start: the ids in all blocks before. One row per shard passes through a single window."""
-    sizes = blocks.select("shard", "block", "n")
-    shards = sizes.groupBy("shard").agg(F.sum("n").alias("total")).withColumn("base", F.sum("total").over(Window.orderBy("shard")) - F.col("total"))
-    inside = F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")
-    return sizes.withColumn("inside", inside).join(shards, "shard").select("shard", "block", (F.col("base") + F.col("inside")).alias("start"))
+    """shard and base: the ids in all shards before. One row per shard passes through a single window."""
+    sizes = blocks.groupBy("shard").agg(F.sum("n").alias("total"))
+    return sizes.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))
 
 
-def read(blocks: DataFrame, ranked: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit integers) of each document in a folder's blocks."""
-    sent = blocks.sparkSession.sparkContext.broadcast(ranked)
+def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their file's base, as the documents in them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            start = r["base"] + r["before"]
+            ids = np.frombuffer(r["ranked"], "<u4")[unpack(r["control"], r["data"], r["n"])]
+            lengths = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
+            ends = np.cumsum(lengths)
+            docs = pa.array(np.frombuffer(r["doc_ids"], "<i8"), pa.int64(), mask=np.frombuffer(r["missing"], bool))
+            parts = [ids[a:b].tobytes() for a, b in zip(ends - lengths, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([docs, pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = sent.value[unpack(r["control"], r["data"], r["n"])].astype("<u4")
-                lengths = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
-                ends = np.cumsum(lengths)
-                docs = pa.array(np.frombuffer(r["doc_ids"], "<i8"), pa.int64(), mask=np.frombuffer(r["missing"], bool))
-                parts = [ids[a:b].tobytes() for a, b in zip(ends - lengths, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([docs, pa.array(r["start"] + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(parts, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    placed = blocks.join(starts(blocks), ["shard", "block"])
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+def placed(blocks: DataFrame) -> DataFrame:
+    """blocks with base; that is a row for each file, so the broadcast is bounded by their number."""
+    return blocks.join(F.broadcast(starts(blocks)), "shard")
 
 
-def digest(found: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read(blocks: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit integers) of each document in a folder's blocks."""
+    return placed(blocks).mapInArrow(reading, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the session's checkpoints, which all executors share."""
-    checkpointed(spark.range(0))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as read, with the CRC of their ids instead of these."""
+    for batch in batches:
+        crc = pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(3)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY)
-    ranked = ranking(frequencies(docs, path))
-    write(docs, path, to := folder(spark, "ids"), ranked)
-    return digest(read(spark.read.parquet(to), ranked))
+    write(docs, path, to := folder(spark, "ids"))
+    return placed(spark.read.parquet(to)).mapInArrow(lambda batches: digest(reading(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import load_tokenizer, per_worker
 
-#: Words and bytes of words that a worker keeps encoded; beyond either the table starts anew.
-TABLE = 600_000
-TABLE_BYTES = 16 << 20
+#: Words and characters that a worker keeps encoded; beyond either the table starts anew.
+TABLE = 400_000
+TABLE_CHARS = 16 << 20
 #: Plain words that are encoded as one text, and texts that are encoded at a time.
 TOGETHER = 256
 AT_ONCE = 64
 #: Upper-case letters whose lower case, unlike them, may form one character with a mark.
-MARKED = re.compile("[A-Z][̀-ͯ]")
+MARKED = r"[A-Z][\x{0300}-\x{036f}]"
 #: A full stop or comma that is a piece of its own: a letter before it, white space or the end behind it.
-STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n]|$)")
+STOP, APART = r"([a-z])([,.])([ \n]|$)", r"\1 \2\3"
 
 
 class WordTable:
@@ -39,33 +40,32 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.bytes = 0
+        self.place: dict[str, int] = {}
+        self.chars = 0
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def split(self, text: str | None) -> list[bytes]:
-        if not text:
-            return []
-        raw = text.encode("utf-8", "surrogatepass")
-        if b"<|" in raw or (len(raw) != len(text) and MARKED.search(text)):
-            return raw.split()
-        return STOP.sub(rb" \1", raw.lower()).split()
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text, with an empty one before white space at the beginning."""
+        texts = texts.fill_null("")
+        lower = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=STOP, replacement=APART)
+        as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, MARKED))
+        return pc.ascii_split_whitespace(pc.if_else(as_is, texts, lower))
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         new = [w for w in words if w not in self.place]
         if not new:
             return
-        if len(self.place) + len(new) > TABLE or self.bytes + sum(map(len, new)) > TABLE_BYTES:
+        if len(self.place) + len(new) > TABLE or self.chars + sum(map(len, new)) > TABLE_CHARS:
             self.clear()
             new = list(words)
-        self.bytes += sum(map(len, new))
+        self.chars += sum(map(len, new))
         plain, others = [], []
         for w in new:
-            (plain if w.islower() and (w.isalpha() or w.decode("utf-8", "surrogatepass").isalpha()) else others).append(w)
+            (plain if w.isalpha() and w.islower() else others).append(w)
         flat, sizes, done = [self.flat], [self.size], []
         for i in range(0, len(plain), TOGETHER * AT_ONCE):
             parts = [plain[j : j + TOGETHER] for j in range(i, min(i + TOGETHER * AT_ONCE, len(plain)), TOGETHER)]
-            for part, made in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            for part, made in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
                 ids = np.array(made.ids, np.uint32)
                 ends = np.flatnonzero(self.final[ids]) + 1
                 if len(ends) == len(part):
@@ -75,7 +75,7 @@ class WordTable:
                 else:
                     others += part
         for i in range(0, len(others), 4096):
-            made = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in others[i : i + 4096]], add_special_tokens=False)]
+            made = [x.ids for x in self.tokenizer.encode_batch_fast(others[i : i + 4096], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
             flat.append(np.fromiter((x for ids in made for x in ids), np.uint32, int(sizes[-1].sum())))
         first = len(self.place)
@@ -83,17 +83,21 @@ class WordTable:
         self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
         self.start = np.cumsum(self.size) - self.size
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text; a null is an empty one."""
-        split = list(map(self.split, texts))
-        self.learn(set().union(*split))
-        place = self.place.__getitem__
-        for words in split:
-            codes = np.fromiter(map(place, words), np.int64, len(words))
-            size = self.size[codes]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.flat[np.arange(total) + np.repeat(self.start[codes] - (ends - size), size)]
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; a null is an empty one. Words are numbered by Arrow, so Python sees each distinct one of the texts once."""
+        split = self.split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self.learn(distinct)
+        known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        codes = known[words.indices.to_numpy()]
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.start[codes] - (ends - size), size)]
+        upto = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            yield ids[a:b]
 
 
 def word_table(path: str) -> WordTable:
