@@ -12,6 +12,7 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word of the contracts: a run of bytes other than the ASCII white space.
@@ -48,7 +49,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYT
     """The batches, cut so that the text of a slice is about `most` bytes; a longer text is a slice of its own."""
     for batch in batches:
         start = total = 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
             if i > start and total + (n or 0) > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0

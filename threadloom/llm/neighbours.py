@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = NEAREST, id_col: str = "
     def cell(batch: pa.Table) -> pa.Table:
         asks = batch.column("query").combine_chunks()
         sides = []
-        for side in (batch.filter(asks), batch.filter(pa.compute.invert(asks))):
+        for side in (batch.filter(asks), batch.filter(pc.invert(asks))):
             ids = side.column("vec_id").to_numpy()
             sides += [ids, np.frombuffer(b"".join(side.column("packed").to_pylist()), "<f8").reshape(len(ids), size)]
         found = list(tile_nearest(*sides, k)) if len(sides[0]) and len(sides[2]) else []
