@@ -45,7 +45,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """node and rank after so many rounds; weights count, and the rank of nodes without outgoing edges spreads evenly. A checkpoint each five rounds keeps the plan short."""
+    """node and rank after so many rounds; weights count, and the rank of nodes without outgoing edges spreads evenly. A round uses the ranks before it twice, so each ends in a checkpoint."""
     context = edges.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
@@ -57,12 +57,10 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     shares = edges.select("source", "target", (F.col("weight") / F.sum("weight").over(total)).alias("share")).checkpoint()
     dead = nodes.join(shares.select(F.col("source").alias("node")).distinct(), "node", "left_anti").checkpoint()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
+    for _ in range(rounds):
         lost = ranks.join(dead, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         sent = shares.join(ranks, shares["source"] == ranks["node"]).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = nodes.join(sent, "node", "left").join(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if i % 5 == 4:
-            ranks = ranks.checkpoint()
+        ranks = nodes.join(sent, "node", "left").join(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")).checkpoint()
     return ranks
 
 
