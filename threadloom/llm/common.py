@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import re
 import sys
@@ -82,3 +85,26 @@ def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in held:
         held[key] = make()
     return held[key]
+
+
+def release() -> None:
+    """Gives up what per_worker keeps, and returns the worker's free memory to the system."""
+    sys.modules.setdefault("_threadloom_worker", types.ModuleType("_threadloom_worker")).__dict__.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, in a worker that holds nothing before it and nothing after it: workers outlive their tasks, and share their executor's memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return wrapped

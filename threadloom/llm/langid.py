@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import released, slices, table
 
 UNKNOWN = "und"
 #: The fit reads about so many labelled rows of each language at most: those whose text hash is below a cut that lets so many through.
@@ -25,7 +25,7 @@ SMOOTH = 0.5
 FOLDS = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that a task keeps scored; beyond it, the table starts anew.
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: A document's score is over this many words' worth of evidence at most, so that the logistic does not saturate.
 EVIDENCE = 32.0
 
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keys], pa.string()) for j in range(3)] + [pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "kind", "unit", "n"])
 
-    counted = chosen.select("lang", "text").mapInArrow(parts, "lang string, kind string, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", "text").mapInArrow(released(parts), "lang string, kind string, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "unit"))
     most = F.when(F.col("kind") == "w", most_words).otherwise(most_grams)
     kept = counted.withColumn("place", place).where(F.col("place") <= most).select("lang", "kind", "unit", "n").toArrow()
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             found = [scorer.predict(text or "") for text in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "lang_pred string, score double"]))
+    return kept.mapInArrow(released(run), ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "lang_pred string, score double"]))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

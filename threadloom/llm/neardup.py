@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, per_worker, slices
+from .common import checkpointed, per_worker, released, slices
 from .components import connected
 from .simhash import fingerprint, links, shingle_hashes
 from .suffixdedup import row_id
@@ -80,9 +80,9 @@ def edges(docs: DataFrame, sketches: DataFrame, least: float, shingle: int) -> D
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select("rid", "text").join(asked, "rid", "left_semi").dropDuplicates(["rid"])
-    held = checkpointed(texts.mapInArrow(sets, "rid long, set binary"))
+    held = checkpointed(texts.mapInArrow(released(sets), "rid long, set binary"))
     both = pairs.join(held.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(released(decide), "a long, b long")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -104,7 +104,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], names=["rid", "doc_id", "same", "fp", "segments"])
 
     kind = dict(docs.dtypes)[id_col]
-    rows = checkpointed(keyed.mapInArrow(sketch, f"rid long, doc_id {kind}, same binary, fp long, segments array<long>"))
+    rows = checkpointed(keyed.mapInArrow(released(sketch), f"rid long, doc_id {kind}, same binary, fp long, segments array<long>"))
     heads = rows.groupBy("same").agg(F.min(F.struct("doc_id", "rid")).alias("head"), F.count("*").alias("n"))
     nodes = checkpointed(rows.join(heads.select("same", "head", "n"), "same").where("rid = head.rid").dropDuplicates(["rid"]).select("rid", "doc_id", "fp", "segments"))
     roots = connected(edges(keyed, nodes, least, shingle))

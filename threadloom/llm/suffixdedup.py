@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, checkpointed, slices, table
+from .common import WORD_RE, checkpointed, released, slices, table
 
 #: A repeated passage has so many words at least.
 PASSAGE = 50
@@ -97,7 +97,7 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(hashes.view(np.int64)), pa.array(at - (ends - sizes)[doc], pa.int32()), left, right], names=["rid", "doc_id", "h", "pos", "left", "right"])
 
     frame = docs.select(row_id(docs[id_col], docs[text_col]).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return frame.mapInArrow(run, SUFFIX)
+    return frame.mapInArrow(released(run), SUFFIX)
 
 
 def grid(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
     order = ["h", "right", "left", "doc_id", "rid", "pos"]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = checkpointed(spread.select(*names).mapInArrow(compare, "key long, " + SUFFIX))
+    found = checkpointed(spread.select(*names).mapInArrow(released(compare), "key long, " + SUFFIX))
     border = found.where("key IS NULL").select(*names).distinct().repartition(1).sortWithinPartitions(*order)
     return found.where("key IS NOT NULL").unionAll(border.mapInArrow(lambda batches: compare(batches, False), "key long, " + SUFFIX))
 
@@ -263,7 +263,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+    return joined.mapInArrow(released(run), ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
