@@ -405,6 +405,62 @@ def test_one_of_each_group_stays(spark):
     assert len(odd) == len({" ".join((t or "").lower().split()) for t in ODD})
 
 
+def brute_near(texts):
+    """The first text of each component of exact similarity 0.8 or more."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in range(len(texts))})
+
+
+@pytest.mark.parametrize("tile", [16, 256])
+def test_stars_of_near_duplicates(spark, monkeypatch, tile):
+    monkeypatch.setattr(neardup, "TILE", tile)
+    r = random.Random(5)
+    texts = []
+    for star in range(2):
+        base = [f"s{star}w{i}" for i in range(300)]
+        made = [" ".join(base)]
+        for i in range(220):
+            own = list(base)
+            for j in range(6):
+                own[r.randrange(50 * j + 5, 50 * j + 45)] = f"edit{i}x{j}"
+            made.append(" ".join(own))
+        texts += made
+    r.shuffle(texts)
+    expected = brute_near(texts)
+    assert len(expected) == 2
+    assert sorted(x["doc_id"] for x in neardup.without_near_duplicates(docs_of(spark, texts)).collect()) == expected
+
+
+def test_tiles_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    r = np.random.default_rng(0)
+    sets = [np.sort(r.choice(40, r.integers(0, 40), replace=False)).astype(np.uint64) for _ in range(60)]
+    for side in (np.zeros(60, int), np.arange(60) % 2):
+        for least in (0.4, 0.6):
+            joined = simple = {i: i for i in range(60)}
+            pairs = [(i, j) for i, j in itertools.combinations(range(60), 2) if (side[i] != side[j] or not side.any()) and neardup.similarity(sets[i].tobytes(), sets[j].tobytes()) >= least]
+            groups = []
+            for found in (pairs, neardup.alike(side, np.arange(60), sets, least)):
+                joined = dict(simple)
+                for i, j in found:
+                    old, new = joined[i], joined[j]
+                    joined = {k: new if v == old else v for k, v in joined.items()}
+                groups.append({frozenset(k for k in joined if joined[k] == v) for v in joined.values()})
+            assert groups[0] == groups[1]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 

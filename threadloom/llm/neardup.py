@@ -26,6 +26,10 @@ SIMILARITY = 0.8
 #: Segments and orders in each: documents of similarity s agree on a segment with probability s ** ORDERS.
 SEGMENTS = 16
 ORDERS = 4
+#: Weight of a block of candidates that meets another in a tile: a document weighs 1, and 1 more for each 8 KB of its set.
+TILE = 256
+#: Shingles that a tile counts at a time.
+COLUMNS = 4096
 
 
 def orders(n: int = SEGMENTS * ORDERS) -> tuple[np.ndarray, np.ndarray]:
@@ -55,11 +59,94 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def alike(side: np.ndarray, root: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of rows of different roots and a similarity of `least` or more, as many as it takes to join all such roots. Rows of side 0 meet those of side 1, or each other where there are none of side 1."""
+    size = np.array([len(x) for x in sets])
+    code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.cumsum(count > 1) - 1
+    row, code = row[count[code] > 1], shared[code[count[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if (side == 1).any() else a
+    both = np.zeros((len(a), len(b)))
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        i, j = np.searchsorted(code, [start, start + COLUMNS])
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[row[i:j], code[i:j] - start] = 1
+        both += grid[a] @ grid[b].T
+    every = size[a][:, None] + size[b] - both
+    close = np.where(every > 0, both / np.maximum(every, 1), 1.0) >= least
+    parent = {int(r): int(r) for r in root}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(close & (root[a][:, None] != root[b])), strict=True):
+        x, y = find(int(root[a[i]])), find(int(root[b[j]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(a[i]), int(b[j])))
+    return out
+
+
+def further(spread: DataFrame, found: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The edges a, b that `found` lacks: those between candidates of a key (spread: rid, key) that found leaves in different components.
+
+    A key's candidates are dealt into blocks by weight, and each two blocks meet in a tile, so a key of any frequency spreads over
+    tasks. A component heavier than a block has blocks of its own, which do not meet each other. Every pair of a key whose ends
+    are not joined yet is compared; keys of the same candidates count once, and up to three have met as ends.
+    """
+    roots = checkpointed(connected(found).select(F.col("node").alias("rid"), "root"))
+    labelled = spread.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    parted = labelled.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("own"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y AND n > 3")
+    keys = checkpointed(parted.groupBy("n", "own").agg(F.min("key").alias("key")).select("key"))
+    weights = held.select("rid", (F.octet_length("set") / 8192 + 1).alias("weight"))
+    members = checkpointed(labelled.join(keys, "key").join(weights, "rid"))
+    sums = checkpointed(members.groupBy("key", "root").agg(F.sum("weight").alias("sum")))
+    small = sums.where(F.col("sum") <= TILE).groupBy("key").agg(F.sum("sum").alias("rest"))
+    heavy = F.col("sum") > TILE
+    dealt = checkpointed(sums.join(small, "key", "left").select("key", "root", F.when(heavy, F.col("root")).alias("own"), F.ceil(F.when(heavy, F.col("sum")).otherwise(F.col("rest")) / TILE).alias("parts")))
+    salt = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("rid"))), "parts")
+    placed = checkpointed(members.join(dealt, ["key", "root"]).select("key", "rid", "root", "own", F.xxhash64("own", salt).alias("block")))
+    blocks = checkpointed(placed.select("key", "own", "block").distinct())
+    met = blocks.select("key", F.col("own").alias("own_a"), F.col("block").alias("a")).join(blocks.select("key", F.col("own").alias("own_b"), F.col("block").alias("b")), "key")
+    met = met.where("a <= b AND (own_a IS NULL OR own_b IS NULL OR own_a <> own_b)")
+    sides = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+    tiles = checkpointed(met.select("key", F.xxhash64("key", "a", "b").alias("tile"), F.posexplode(sides).alias("side", "block")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        tile = None
+
+        def done() -> pa.RecordBatch:
+            pairs = alike(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[3] for r in rows], least)
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][2] for i, _ in pairs], pa.int64()), pa.array([rows[j][2] for _, j in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for own, side, root, rid, held in zip(*(c.to_pylist() for c in batch.columns[:4]), batch.column(4), strict=True):
+                if rows and own != tile:
+                    yield done()
+                    rows = []
+                tile = own
+                rows.append((side, root, rid, np.frombuffer(held.as_py(), "<u8")))
+        if rows:
+            yield done()
+
+    sent = placed.join(tiles, ["key", "block"]).select("tile", "side", "root", "rid").join(held, "rid").select("tile", "side", "root", "rid", "set")
+    return sent.repartition("tile").sortWithinPartitions("tile").mapInArrow(released(compare), "a long, b long")
+
+
 def edges(docs: DataFrame, sketches: DataFrame, least: float, shingle: int) -> DataFrame:
     """a and b: row ids of different shingle sequences whose sets are as similar as `least` or more.
 
-    sketches: rid, fp and segments, a row for each different sequence. A segment's documents are candidates with the first and the
-    last of them by row id, not with each other: two for each segment and document at most, found by aggregation.
+    sketches: rid, fp and segments, a row for each different sequence. A segment's documents are first compared with the first and
+    the last of them by row id: two for each segment and document at most, found by aggregation. Those that this leaves in
+    different components are then compared with each other. Edges that join what is joined already may be missing.
     """
     spread = sketches.select("rid", F.explode(F.concat("segments", F.array(F.xxhash64("fp")))).alias("key"))
     ends = spread.groupBy("key").agg(F.min("rid").alias("x"), F.max("rid").alias("y")).where("x < y")
@@ -82,7 +169,8 @@ def edges(docs: DataFrame, sketches: DataFrame, least: float, shingle: int) -> D
     texts = docs.select("rid", "text").join(asked, "rid", "left_semi").dropDuplicates(["rid"])
     held = checkpointed(texts.mapInArrow(released(sets), "rid long, set binary"))
     both = pairs.join(held.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(released(decide), "a long, b long")
+    found = checkpointed(both.select("a", "b", "x", "y").mapInArrow(released(decide), "a long, b long"))
+    return found.unionAll(further(spread, found, held, least))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
