@@ -341,6 +341,28 @@ def test_texts_without_repeats(spark):
     assert {w for t in texts for w in (t or "").split()} == {w for r in made for w in (r["text"] or "").split()}
 
 
+def marked(spark, texts):
+    found = {i: set() for i in range(len(texts))}
+    for r in suffixdedup.stretches(suffixdedup.repeats(docs_of(spark, texts))).collect():
+        for s in r["stretches"]:
+            found[r["doc_id"]] |= set(range(s["start"], s["stop"]))
+    return found
+
+
+def test_repeats_through_a_frequent_line(spark):
+    r = random.Random(7)
+    own = lambda n: [f"v{r.randint(0, 10**7)}" for _ in range(n)]
+    line = own(30)
+    texts = [" ".join([*own(40), *line, *own(40)]) for _ in range(1000)]
+    for _ in range(60):
+        before = own(30)
+        texts += [" ".join([*own(40), *before, *line, *own(40)]) for _ in range(2)]
+    r.shuffle(texts)
+    expected = brute_repeats(texts)
+    assert sum(map(len, expected.values())) >= 60 * 60
+    assert marked(spark, texts) == expected
+
+
 def test_repeats_in_odd_texts(spark):
     made = suffixdedup.without_repeats(odd_docs(spark)).toPandas()
     assert len(made) == len(ODD) + 2

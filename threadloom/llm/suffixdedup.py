@@ -1,4 +1,4 @@
-"""Passages that documents repeat, by a sparse suffix array: suffixes at minimiser positions, sorted and compared with their neighbours, then extended both ways."""
+"""Passages that documents repeat: runs of words meet at the minimiser that they share, those of equal surroundings together, the others run by run."""
 
 from __future__ import annotations
 
@@ -11,22 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, checkpointed, released, slices, table
+from .common import WORD_RE, checkpointed, folder, released, slices, table
 
 #: A repeated passage has so many words at least.
 PASSAGE = 50
 #: A minimiser is the least hash of so many words in a row; the others follow: each run of PASSAGE words holds one.
 GRAM = 10
 GRAMS = PASSAGE - GRAM + 1
-#: Words before and after a minimiser that its row holds at most.
-LEFT, RIGHT = PASSAGE - GRAM, PASSAGE
-#: Neighbours on either side that a suffix is compared with.
-NEIGHBOURS = 3
 #: Odd multiplier of the word and window hashes.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
-SUFFIX = "rid long, doc_id long, h long, pos int, left binary, right binary"
-
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in turn, and how many words each has. Arrow splits and numbers the words, so each distinct one is hashed once."""
@@ -69,20 +63,33 @@ def minimisers(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams[picked[new]], picked[new], starts[new], starts[last]
 
 
-def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray, step: int) -> pa.Array:
-    """values[start], values[start + step], ... as many as size says, as the bytes of a row each."""
-    ends = np.cumsum(size)
-    at = np.repeat(start, size) + step * (np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size))
-    offsets = np.concatenate([[0], ends * 2]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(values[at].tobytes())])
+class Lines:
+    """Hashes of any stretch of words, from sums of the words times powers of STEP."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        power = np.full(len(words) + 1, STEP)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        self.inverse = np.full(len(words) + 1, np.uint64(pow(int(STEP), -1, 1 << 64)))
+        self.inverse[0] = 1
+        self.inverse = np.multiply.accumulate(self.inverse)
+        self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1], dtype=np.uint64)])
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        size = (stop - start).astype(np.uint64)
+        return mixed((self.upto[stop] - self.upto[start]) * self.inverse[start] + size * np.uint64(0x94D049BB133111EB))
 
 
 def row_id(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The sampled suffixes of all texts: row and document, gram hash, place of its first word, and the words on either side as 16-bit hashes, as far as runs that it stands for reach."""
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(row_id(docs[id_col], docs[text_col]).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+
+
+def contexts(rows: DataFrame) -> DataFrame:
+    """The minimisers of all texts: row and document, gram hash h, place of the first of the n runs of PASSAGE words that it stands for, and a hash c of all words of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, 4 << 20):
@@ -90,108 +97,40 @@ def suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             ends = np.cumsum(sizes)
             hashes, at, first, last = minimisers(words, ends)
             doc = np.searchsorted(ends, at, side="right")
-            short = (words >> np.uint64(48)).astype(">u2")
-            left = gathered(short, at - 1, at - first, -1)
-            right = gathered(short, at, last + PASSAGE - at, 1)
+            line = Lines(words).hashes(first, last + PASSAGE) + mixed((at - first).astype(np.uint64))
             ids = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(hashes.view(np.int64)), pa.array(at - (ends - sizes)[doc], pa.int32()), left, right], names=["rid", "doc_id", "h", "pos", "left", "right"])
-
-    frame = docs.select(row_id(docs[id_col], docs[text_col]).alias("rid"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return frame.mapInArrow(released(run), SUFFIX)
-
+            own = [pa.array(hashes.view(np.int64)), pa.array(line.view(np.int64)), pa.array(first - (ends - sizes)[doc], pa.int32()), pa.array(last - first + 1, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), *own], names=["rid", "doc_id", "h", "c", "pos", "n"])
 
-def grid(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit words of each row, filled up with zeros to `width`, and how many there are."""
-    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-    out = np.zeros((len(size), width), np.uint16)
-    out[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(column.to_pylist()), ">u2")
-    return out, size
+    return rows.mapInArrow(released(run), "rid long, doc_id long, h long, c long, pos int, n int")
 
 
-def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The length of the common beginning of each two rows."""
-    differ = np.concatenate([a[0] != b[0], np.ones((len(a[0]), 1), bool)], axis=1).argmax(axis=1)
-    return np.minimum(differ, np.minimum(a[1], b[1]))
+def runs(rows: DataFrame) -> DataFrame:
+    """Of rows with `asked`, a list of pos, n and h: each run of PASSAGE words that starts at one of n places from pos on, with h and its hash."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            words, sizes = hashed(batch.column(2))
+            asked = batch.column(3)
+            flat = asked.flatten()
+            pos, n, h = (flat.field(i).to_numpy() for i in range(3))
+            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(asked).to_numpy())
+            of = np.repeat(np.arange(len(n)), n)
+            place = pos[of].astype(np.int64) + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            start = place + (np.cumsum(sizes) - sizes)[doc[of]]
+            keys = Lines(words).hashes(start, start + PASSAGE)
+            ids = pa.array(doc[of])
+            made = pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(h[of]), pa.array(keys.view(np.int64)), pa.array(place, pa.int32())], names=["rid", "doc_id", "h", "key", "start"])
+            for i in range(0, made.num_rows, 1 << 16):
+                yield made.slice(i, 1 << 16)
 
-def window_keys(h: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """For each row, the least hash of the runs of PASSAGE words between `before` words left of the minimiser and `after` right of it."""
-    line = np.concatenate([left[:, ::-1], right], axis=1).astype(np.uint64) + np.uint64(1)
-    power = np.full(line.shape[1] + 1, STEP)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(line.shape[1], np.uint64(pow(int(STEP), -1, 1 << 64)))]))
-    upto = np.concatenate([np.zeros((len(line), 1), np.uint64), np.cumsum(line * power[:-1], axis=1, dtype=np.uint64)], axis=1)
-    starts = np.arange(line.shape[1] - PASSAGE + 1)
-    keys = mixed((upto[:, starts + PASSAGE] - upto[:, starts]) * inverse[starts] ^ h[:, None])
-    valid = (starts >= LEFT - before[:, None]) & (starts + PASSAGE <= LEFT + after[:, None])
-    return np.where(valid, keys, np.uint64(0xFFFFFFFFFFFFFFFF)).min(axis=1)
+    return rows.select("rid", "doc_id", "text", "asked").mapInArrow(released(run), "rid long, doc_id long, h long, key long, start int")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """The suffixes that share PASSAGE words or more, around their minimiser, with a neighbour in order. A row for each key: that of one such run, chosen alike for both neighbours.
-
-    Suffixes are put in order by gram, by what follows, by what precedes and by document, in ranges over all columns, so a
-    passage of any frequency spreads over tasks. Where a range ends within a gram, the suffixes on either side of the border
-    are compared afterwards, 2 x NEIGHBOURS rows of each range in one task.
-    """
-    names = ["rid", "doc_id", "h", "pos", "left", "right"]
-
-    def flagged(both: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        h = both.column("h").to_numpy()
-        left, right = grid(both.column("left").combine_chunks(), LEFT), grid(both.column("right").combine_chunks(), RIGHT)
-        part = lambda x, i: (x[0][i], x[1][i])
-        owners, found = [], []
-        for d in range(1, NEIGHBOURS + 1):
-            a = np.flatnonzero(h[d:] == h[:-d])
-            l, r = common(part(left, a), part(left, a + d)), common(part(right, a), part(right, a + d))
-            match = l + r >= PASSAGE
-            a, l, r = a[match], l[match], r[match]
-            own = window_keys(h[a].view(np.uint64), left[0][a], right[0][a], l, r).view(np.int64)
-            owners += [a, a + d]
-            found += [own, own]
-        once = np.unique(np.stack([np.concatenate(owners), np.concatenate(found)]), axis=1)
-        return once[0], once[1]
-
-    def emit(both: pa.Table, first: int, last: int) -> Iterator[pa.RecordBatch]:
-        """Rows first to last of both, as far as they are repeated."""
-        keep, keys = flagged(both)
-        own = (keep >= first) & (keep < last)
-        out = both.take(pa.array(keep[own])).combine_chunks()
-        for batch in out.add_column(0, "key", pa.array(keys[own], pa.int64())).to_batches():
-            yield batch
-
-    def bare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield from rows.combine_chunks().add_column(0, "key", pa.nulls(rows.num_rows, pa.int64())).to_batches()
-
-    def compare(batches: Iterator[pa.RecordBatch], borders: bool = True) -> Iterator[pa.RecordBatch]:
-        """Each row with its neighbours; the last rows wait for those that follow. The range's first and last rows come without a key, too."""
-        held, start, head = None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fresh = pa.Table.from_batches([batch])
-            if borders and head < NEIGHBOURS:
-                yield from bare(fresh.slice(0, NEIGHBOURS - head))
-                head += min(NEIGHBOURS - head, fresh.num_rows)
-            both = pa.concat_tables([held, fresh]).combine_chunks() if held is not None else fresh
-            end = both.num_rows - NEIGHBOURS
-            if end > start:
-                yield from emit(both, start, end)
-                keep = max(0, end - NEIGHBOURS)
-                held, start = both.slice(keep), end - keep
-            else:
-                held = both
-        if held is not None and held.num_rows > start:
-            yield from emit(held, start, held.num_rows)
-            if borders:
-                yield from bare(held.slice(max(0, held.num_rows - NEIGHBOURS)))
-
-    order = ["h", "right", "left", "doc_id", "rid", "pos"]
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = checkpointed(spread.select(*names).mapInArrow(released(compare), "key long, " + SUFFIX))
-    border = found.where("key IS NULL").select(*names).distinct().repartition(1).sortWithinPartitions(*order)
-    return found.where("key IS NOT NULL").unionAll(border.mapInArrow(lambda batches: compare(batches, False), "key long, " + SUFFIX))
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder by columns, which takes less than a checkpoint."""
+    df.write.parquet(to := folder(df.sparkSession, name))
+    return df.sparkSession.read.parquet(to)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,23 +138,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The order of places is by document id (null first), row and word. Every word of a stretch stands at the same distance
     in the earlier place; that word may be part of a stretch itself, but the first of all is in none, so taking out
-    all stretches leaves one copy of each passage. The words are compared by hashes of 16 bits beside the minimiser's of
-    64. Texts of fewer than PASSAGE words, empty and null ones have no rows. A text that repeats itself is treated like two.
+    all stretches leaves one copy of each passage. Every run of PASSAGE words that stands in an earlier place is in a stretch.
+    Texts of fewer than PASSAGE words, empty and null ones have no rows. A text that repeats itself is treated like two.
+
+    Equal runs share their minimiser's gram. Places where all runs of a minimiser are equal (its context) meet the first of
+    these. Only the firsts of a gram with several contexts are taken apart into runs, each of which meets its first place:
+    if a run stands before in another context, it stands in the first place of that one, too. Words are compared by
+    hashes of 64 bits of the gram and of the stretch each. First places are written before the joins with them, so a frequent
+    one is a skewed join that Spark can split.
     """
-    found = repeated(suffixes(docs, id_col, text_col))
-    first = found.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "pos", "left", "right")).alias("f")).where("n > 1").select("key", *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("doc_id", "rid", "pos", "left", "right")))
-    pairs = found.join(first, "key").where("rid <> f_rid OR pos <> f_pos").select("rid", "doc_id", "pos", "left", "right", "f_doc_id", "f_pos", "f_left", "f_right")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            l = common(grid(batch.column(3), LEFT), grid(batch.column(7), LEFT))
-            r = common(grid(batch.column(4), RIGHT), grid(batch.column(8), RIGHT))
-            pos, f_pos = batch.column(2).to_numpy().astype(np.int64), batch.column(6).to_numpy().astype(np.int64)
-            keep = pa.array(l + r >= PASSAGE)
-            made = [batch.column(0), batch.column(1), pa.array(pos - l, pa.int32()), pa.array(pos + r, pa.int32()), batch.column(5), pa.array(f_pos - l, pa.int32())]
-            yield pa.RecordBatch.from_arrays(made, names=["rid", "doc_id", "start", "stop", "first_doc_id", "first_start"]).filter(keep)
-
-    return pairs.mapInArrow(extend, "rid long, doc_id long, start int, stop int, first_doc_id long, first_start int")
+    rows = identified(docs, id_col, text_col)
+    places = stored(contexts(rows), "contexts")
+    grams = stored(places.groupBy("h").agg(F.count("*").alias("times"), (F.min("c") < F.max("c")).alias("open")).where("times > 1").select("h", "open"), "grams")
+    again = stored(places.join(grams, "h"), "again")
+    first = stored(again.groupBy("h", "c", "open").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rid", "pos", "n")).alias("f")).select("h", "c", "open", "times", *(F.col(f"f.{x}").alias(f"f_{x}") for x in ("doc_id", "rid", "pos", "n"))), "first")
+    copies = again.drop("open").join(first.where("times > 1"), ["h", "c"]).where("rid <> f_rid OR pos <> f_pos")
+    asked = first.where("open").groupBy(F.col("f_rid").alias("rid")).agg(F.collect_set(F.struct(F.col("f_pos").alias("pos"), F.col("f_n").alias("n"), "h")).alias("asked"))
+    keyed = stored(runs(rows.join(stored(asked, "asked"), "rid")), "runs")
+    least = stored(keyed.groupBy("h", "key").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "rid", "start")).alias("f")).where("times > 1").select("h", "key", *(F.col(f"f.{x}").alias(f"f_{x}") for x in ("doc_id", "rid", "start"))), "least")
+    single = keyed.join(least, ["h", "key"]).where("rid <> f_rid OR start <> f_start")
+    ends = lambda start, n, f_start: (F.col(start).alias("start"), (F.col(start) + n).cast("int").alias("stop"), F.col("f_doc_id").alias("first_doc_id"), F.col(f_start).alias("first_start"))
+    return copies.select("rid", "doc_id", *ends("pos", F.col("n") + PASSAGE - 1, "f_pos")).unionAll(single.select("rid", "doc_id", *ends("start", F.lit(PASSAGE), "f_start")))
 
 
 def stretches(found: DataFrame) -> DataFrame:
