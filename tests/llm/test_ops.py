@@ -363,6 +363,17 @@ def test_repeats_through_a_frequent_line(spark):
     assert marked(spark, texts) == expected
 
 
+@pytest.mark.parametrize("size", [51, 60])
+def test_one_copy_of_a_passage_among_recurring_words(spark, size):
+    r = random.Random(size)
+    shared = [f"p{i}" for i in range(size)]
+    around = lambda: [f"z{int(r.paretovariate(0.7)) % 1000}" for _ in range(60)]
+    texts = [" ".join([*around(), *shared, *around()]) for _ in range(1200)]
+    found = marked(spark, texts)
+    assert found == brute_repeats(texts)
+    assert sum(not set(range(60, 60 + size)) <= own for own in found.values()) == 1
+
+
 def test_repeats_in_odd_texts(spark):
     made = suffixdedup.without_repeats(odd_docs(spark)).toPandas()
     assert len(made) == len(ODD) + 2
