@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 
 def reply_edges(turns: DataFrame, thread: str, order: str, author: str) -> DataFrame:
     """source, target and weight: how often an author's turn follows another's in a thread."""
@@ -46,9 +46,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """node and rank after so many rounds; weights count, and the rank of nodes without outgoing edges spreads evenly. A round uses the ranks before it twice, so each ends in a checkpoint."""
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(edges.sparkSession)
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().checkpoint()
     n = nodes.count()
     if not n:

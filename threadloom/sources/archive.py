@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -17,14 +16,6 @@ REQUIRED = ("README.txt", "metadata/crawl.json", "metadata/schema.json", *(f"dat
 OPTIONAL = ("data/all.ndjson", "data/pages.jsonl", "index/post_features.csv", "index/resources.csv", "metadata/requests.jsonl", "analysis/profile.json")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set only where the session names none."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return context.getCheckpointDir()
-
-
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 1) and raw of each non-blank line. Lines are numbered by file; a file is one split, so numbers are those of the file."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw"))

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.archive import shared_folder
+from ..storage import shared_folder
 
 
 def event_stream(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
