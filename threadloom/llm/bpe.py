@@ -54,9 +54,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """A row per row of docs: the id, n_tokens, ids (little-endian unsigned 32-bit integers) and the columns asked for.
 
     A worker splits the words of its documents, encodes each distinct word once and puts the ids back by position. Its
-    table is bounded, and made anew from the input if an executor is lost. Null and empty texts have no ids.
+    table is bounded, and made anew from the input if an executor is lost. Null and empty texts have no ids; repeated rows
+    are rows of their own, and an empty table gives none. Of the columns asked for, those of the names made here are left out.
     """
     kinds = dict(docs.dtypes)
+    columns = tuple(c for c in columns if c not in (id_col, "n_tokens", "ids"))
     frame = docs.select(id_col, text_col, *columns)
     return frame.mapInArrow(encoding(path), ", ".join([f"`{id_col}` {kinds[id_col]}", "n_tokens long", "ids binary", *(f"`{c}` {kinds[c]}" for c in columns)]))
 
@@ -75,7 +77,7 @@ def digest(batches: Batches) -> Batches:
 
 
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both operators and the digests in one step, so that a task has one Python worker."""
+    """Both operators and the digests in one step, so that a task has one Python worker. Null and empty texts have no ids and decode to an empty text."""
     path = tokenizer_path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.mapInArrow(lambda batches: digest(decoding(path, 2)(encoding(path)(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,9 +8,7 @@ import gc
 import os
 import re
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
@@ -18,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import checkpointed, folder, shared_folder, stored  # noqa: F401  the operators take them from here
+
 #: A word of the contracts: a run of bytes other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -29,23 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; one is set only where the session names none."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and cut off from its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes for df to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

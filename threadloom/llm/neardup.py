@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, per_worker, released, slices
+from .common import checkpointed, free_name, per_worker, released, slices
 from .components import connected
 from .simhash import fingerprint, links, shingle_hashes
 from .suffixdedup import row_id
@@ -201,9 +201,10 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     beaten = grouped.select("rid").join(first, "rid", "left_anti")
     copies = rows.join(nodes.select("rid"), "rid", "left_anti").select("rid")
     again = rows.groupBy("rid").count().where("count > 1").select("rid")
-    dropped = checkpointed(beaten.unionAll(copies).distinct().select(F.col("rid").alias("__rid")))
-    repeated = checkpointed(again.select(F.col("rid").alias("__rid")).join(dropped, "__rid", "left_anti"))
-    marked = docs.withColumn("__rid", row_id(docs[id_col], docs[text_col]))
-    once = marked.join(dropped, "__rid", "left_anti").join(repeated, "__rid", "left_anti")
-    rest = marked.join(repeated, "__rid", "left_semi").dropDuplicates(["__rid"])
-    return once.unionAll(rest).drop("__rid")
+    own = free_name(docs, "__rid")
+    dropped = checkpointed(beaten.unionAll(copies).distinct().select(F.col("rid").alias(own)))
+    repeated = checkpointed(again.select(F.col("rid").alias(own)).join(dropped, own, "left_anti"))
+    marked = docs.withColumn(own, row_id(docs[id_col], docs[text_col]))
+    once = marked.join(dropped, own, "left_anti").join(repeated, own, "left_anti")
+    rest = marked.join(repeated, own, "left_semi").dropDuplicates([own])
+    return once.unionAll(rest).drop(own)

@@ -190,5 +190,6 @@ def grouped(prints: DataFrame) -> DataFrame:
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and the smallest id that links lead to. Texts without words have the fingerprint zero and link like others."""
     found = grouped(fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")

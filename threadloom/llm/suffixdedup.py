@@ -11,15 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, checkpointed, folder, released, slices, table
+from .common import WORD_RE, checkpointed, free_name, released, slices, stored, table
+from .hashing import STEP, mixed
 
 #: A repeated passage has so many words at least.
 PASSAGE = 50
 #: A minimiser is the least hash of so many words in a row; the others follow: each run of PASSAGE words holds one.
 GRAM = 10
 GRAMS = PASSAGE - GRAM + 1
-#: Odd multiplier of the word and window hashes.
-STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -34,11 +33,6 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return own[codes[real]], np.bincount(text[real], minlength=len(texts))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(29)
-
-
 def minimisers(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of word hashes, with the places where documents end: the hashes and places of the minimisers, and first and last start of the runs of PASSAGE words that each stands for.
 
@@ -127,12 +121,6 @@ def runs(rows: DataFrame) -> DataFrame:
     return rows.select("rid", "doc_id", "text", "asked").mapInArrow(released(run), "rid long, doc_id long, h long, key long, start int")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder by columns, which takes less than a checkpoint."""
-    df.write.parquet(to := folder(df.sparkSession, name))
-    return df.sparkSession.read.parquet(to)
-
-
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, doc_id, start, stop, first_doc_id and first_start: stretches of words (from start up to stop) that stand in an earlier place too.
 
@@ -194,9 +182,10 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with the repeated stretches taken out of their texts. Rows and other columns stay; a text of nothing but repeats becomes empty."""
-    spans = checkpointed(stretches(repeats(docs, id_col, text_col)).select(F.col("rid").alias("__rid"), "stretches"))
-    joined = docs.withColumn("__rid", row_id(F.col(id_col), F.col(text_col))).join(spans, "__rid", "left").drop("__rid")
+    """docs, with the repeated stretches taken out of their texts. Rows and other columns stay; a text of nothing but repeats becomes empty, a null one stays null. Repeated rows (of equal id and text) count as one and keep the same text."""
+    own = free_name(docs, "__rid")
+    spans = checkpointed(stretches(repeats(docs, id_col, text_col)).select(F.col("rid").alias(own), F.col("stretches").alias(free_name(docs, "__stretches"))))
+    joined = docs.withColumn(own, row_id(F.col(id_col), F.col(text_col))).join(spans, own, "left").drop(own)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,5 +199,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per stretch of a document's words that stands in an earlier place: its words' places and the first document. Documents without such a stretch have none; repeated rows have their stretches once."""
     found = stretches(repeats(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.explode("stretches").alias("s")).select("doc_id", F.col("s.start").alias("start_word"), F.col("s.stop").alias("stop_word"), F.col("s.first_doc_id").alias("first_doc_id"))
