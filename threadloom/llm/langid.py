@@ -8,17 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import released, slices, table
 
 UNKNOWN = "und"
-#: The fit reads about so many labelled rows of each language at most: those whose text hash is below a cut that lets so many through.
-FIT_ROWS = 4000
-#: It keeps so many words of each language at most, and so many n-grams of each length.
-FIT_WORDS = 20_000
-FIT_GRAMS = 10_000
+#: The fit reads about so many labelled rows of a language at most: those whose text hash is below a cut that lets so many through;
+FIT_ROWS = 1000
+#: and rows of so many languages at most, those with the most labelled rows.
+FIT_LANGS = 500
 LONGEST = 5
 SMOOTH = 0.5
 #: Held-out rows are those with remainder 0.
@@ -36,8 +35,13 @@ def fold(doc_id: Column) -> Column:
 
 
 def words_of(text: str) -> Counter:
-    """Lower-cased runs of letters with their counts."""
-    return Counter(LETTERS.findall(text.lower()))
+    """Lower-cased runs of letters with their counts. What `\\w` has beside letters and digits (superscripts, fractions, enclosed numbers) parts words."""
+    counts = Counter(LETTERS.findall(text.lower()))
+    for word in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(word)
+        for part in "".join(c if c.isalpha() else " " for c in word).split():
+            counts[part] += n
+    return counts
 
 
 class Model:
@@ -109,16 +113,15 @@ class Scorer:
         return self.model.langs[best], float(odds[best] / odds.sum())
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, most_words: int = FIT_WORDS, most_grams: int = FIT_GRAMS) -> Model:
-    """A model of at most `most_words` words and `most_grams` n-grams a length for each language, learnt from about `rows` distinct texts of each.
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, most_langs: int = FIT_LANGS) -> Model:
+    """A model of all words and n-grams of about `rows` distinct texts of each language, of the `most_langs` languages with the most labelled rows.
 
     The texts of a language are those with the smallest hashes, so the sample is the same in every run and does not
     depend on where rows lie; copies of a text teach once. Rows without language or text teach nothing; a table without
-    labelled rows gives a model that knows no language. What comes to the driver is bounded by the parameters and the
-    number of languages.
+    labelled rows gives a model that knows no language. What comes to the driver is bounded by the sample.
     """
     slim = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in slim.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], {}, np.zeros((0, 0)))
@@ -141,10 +144,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: i
             yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in keys], pa.string()) for j in range(3)] + [pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "kind", "unit", "n"])
 
     counted = chosen.select("lang", "text").mapInArrow(released(parts), "lang string, kind string, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "unit"))
-    most = F.when(F.col("kind") == "w", most_words).otherwise(most_grams)
-    kept = counted.withColumn("place", place).where(F.col("place") <= most).select("lang", "kind", "unit", "n").toArrow()
-    return Model.from_counts(langs, sorted(zip(*(c.to_pylist() for c in kept.columns), strict=True)))
+    learnt = counted.select("lang", "kind", "unit", "n").toArrow()
+    return Model.from_counts(langs, sorted(zip(*(c.to_pylist() for c in learnt.columns), strict=True)))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -168,6 +169,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; rows whose fold is 0 teach nothing. A null id is in no fold, so not held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(F.coalesce(fold(F.col("doc_id")) != 0, F.lit(True))))
     held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
