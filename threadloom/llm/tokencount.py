@@ -7,13 +7,13 @@ which piece ends there, and how many pieces precede it, counted from the present
 number of pieces is the count on the transition. States and transitions are compiled as texts ask for them, within a
 bound. White space leads from every state to the start: the state map of a chunk of text is therefore a run of
 transitions up to its first white space and a constant beyond. Chunks are run side by side and their maps composed in
-order.
+order: those with white space need nothing before them; a run of others takes its states from its neighbours in rounds,
+each over all chunks whose entry changed, and as such states soon forget where they began, a few rounds settle it.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -261,13 +261,11 @@ class Transducer:
         tails = np.where(np.arange(width) < head[:, None], blank, grid)
         for i in range(width):
             state, out[:, i] = self.advance(state, tails[:, i])
-        # the heads, as the state before each is settled: at once behind a chunk with a white space, else in turn
-        leaves = state.copy()
-        settled = head < width
-        enters = np.full(rows, -1)
-        enters[0] = self.start
-        enters[1:][settled[:-1]] = leaves[:-1][settled[:-1]]
-        ready = np.flatnonzero(enters >= 0)
+        # the heads, all at once: their entries are settled behind a chunk with a white space, else taken to be the start until the chunk before says otherwise
+        leaves, settled = state.copy(), head < width
+        leaves[~settled] = self.start
+        enters = np.concatenate([[self.start], leaves[:-1]])
+        ready = np.arange(rows)
         while len(ready):
             state, live = enters[ready], np.arange(len(ready))
             for i in range(width):
@@ -276,9 +274,9 @@ class Transducer:
                     break
                 state[live], out[ready[live], i] = self.advance(state[live], grid[ready[live], i])
             open_ = ready[~settled[ready]]
+            changed = leaves[open_] != state[~settled[ready]]
             leaves[open_] = state[~settled[ready]]
-            settled[open_] = True
-            ready = open_[open_ + 1 < rows] + 1
+            ready = open_[changed & (open_ + 1 < rows)] + 1
             enters[ready] = leaves[ready - 1]
         return out.reshape(-1)[: len(points)]
 
@@ -291,7 +289,7 @@ class Transducer:
         return out
 
     def normal(self, text: str) -> tuple[str, int]:
-        """The text as the vocabulary's normaliser leaves it but for its white space, with a blank for each special string, and the number of these."""
+        """The text as the vocabulary's normaliser leaves it, with a blank for each special string, and the number of these."""
         found = 0
         if "<|" in text:
             for special in self.specials:
@@ -299,7 +297,7 @@ class Transducer:
                 text = text.replace(special, " ")
         if text.isascii():
             return text.lower(), found
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower(), found
+        return self.tokenizer.normalizer.normalize_str(text), found
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """The number of pieces of each text."""
@@ -312,7 +310,10 @@ class Transducer:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens and over_limit of each row's whole text, without a shuffle. Null and empty texts count 0. Other columns are not read."""
+    """id, n_bytes, n_tokens and over_limit of each row's whole text, without a shuffle.
+
+    Null and empty texts count 0; repeated rows are counted each; an empty table gives an empty result. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = per_worker(f"transducer {path}", lambda: Transducer(path))
@@ -327,4 +328,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token count of every document; null and empty texts have none."""
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
