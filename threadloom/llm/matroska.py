@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +23,20 @@ TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B,
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-PARENTS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
+#: What ends an element of unknown size: elements of a segment, or of the file.
+TOP_LEVEL = {EBML, SEGMENT}
+SEGMENT_LEVEL = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
 FRAME = 576
 PAD = 255
 FRAMES_A_BLOCK = 8
 BLOCKS_A_CLUSTER = 32
-#: One frame lasts so many ticks.
+#: One frame lasts so many ticks, and a tick so many nanoseconds.
 TICKS = 72
+SCALE = 1_000_000
 
 
 def vint(n: int, width: int = 0) -> bytes:
@@ -71,8 +76,9 @@ def write(payload: bytes, track: int = 1, frame: int = FRAME, frames_a_block: in
     """A file with the payload as unsigned 8-bit samples. Blocks take the three lacings in turn; one of a single frame has none."""
     head = element(EBML, element(DOC_TYPE, b"matroska") + number(DOC_TYPE_VERSION, 4) + number(DOC_TYPE_READ_VERSION, 2))
     audio = element(AUDIO, element(SAMPLING_FREQUENCY, b"\x45\xfa\x00\x00") + number(CHANNELS, 1) + number(BIT_DEPTH, 8))
-    entry = element(TRACK_ENTRY, number(TRACK_NUMBER, track) + number(TRACK_UID, track) + number(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio)
-    body = [element(INFO, number(TIMESTAMP_SCALE, 1_000_000)), element(TRACKS, entry)]
+    about = number(TRACK_NUMBER, track) + number(TRACK_UID, track) + number(TRACK_TYPE, 2) + number(DEFAULT_DURATION, TICKS * SCALE)
+    entry = element(TRACK_ENTRY, about + element(CODEC_ID, b"A_PCM/INT/LIT") + audio)
+    body = [element(INFO, number(TIMESTAMP_SCALE, SCALE)), element(TRACKS, entry)]
     at, cues, block = sum(map(len, body)), [], 0
     frames = [payload[i : i + frame] for i in range(0, len(payload), frame)]
     step = frames_a_block * blocks_a_cluster
@@ -109,13 +115,24 @@ class Packet:
     key: bool
 
 
+@dataclass(slots=True)
+class Track:
+    """A track's number, type and codec, and the nanoseconds that one frame lasts (0: not said)."""
+
+    number: int = 0
+    kind: int = 0
+    codec: str = ""
+    duration: int = 0
+
+
 @dataclass
 class Parsed:
     packets: list[Packet]
     cues: list[tuple[int, int, int]]
     clusters: list[int]
     doc_type: str = ""
-    scale: int = 1_000_000
+    scale: int = SCALE
+    tracks: list[Track] = field(default_factory=list)
 
 
 def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
@@ -130,11 +147,19 @@ def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
 
 
 def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """Each element in turn: id, its place, its body's place and end. A size of all ones runs to the end."""
+    """Each element in turn: id, its place, its body's place and end.
+
+    A size of all ones is unknown: a segment then runs to the next element of the file's level, a cluster (or another part of a
+    segment) to the next one of the segment's or the file's, or to the end of what holds it.
+    """
     while at < end:
         kind, body, _ = read_vint(data, at, keep=True)
         size, body, width = read_vint(data, body)
-        stop = end if size == (1 << 7 * width) - 1 else body + size
+        stop = body + size
+        if size == (1 << 7 * width) - 1:
+            over, stop = TOP_LEVEL if kind in TOP_LEVEL else TOP_LEVEL | SEGMENT_LEVEL, body
+            while stop < end and read_vint(data, stop, keep=True)[0] not in over:
+                stop = next(elements(data, stop, end))[3]
         if stop > end:
             raise ValueError(f"the element at byte {at} is cut off")
         yield kind, at, body, stop
@@ -169,22 +194,31 @@ def sizes_of(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], in
 
 
 def parse(data: bytes) -> Parsed:
-    """The packet table of a file, its cue points (time, track, cluster's place in the file) and the places of its clusters."""
+    """The packet table of a file, its tracks, its cue points (time, track, cluster's place in the file) and the places of its clusters."""
     found = Parsed([], [], [])
     whole = lambda body, stop: int.from_bytes(data[body:stop], "big")
     block = -1
+    durations: dict[int, int] = {}
 
-    def take(body: int, stop: int, cluster: int, start: int, simple: bool) -> None:
+    def take(body: int, stop: int, cluster: int, start: int, simple: bool, lasts: int | None = None) -> None:
+        """The frames of a block. A laced frame begins where the one before ends: by the track's default duration, else by its share of the block's."""
         nonlocal block
         block += 1
         track, at, _ = read_vint(data, body)
         time, flags = start + int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
         lacing = flags >> 1 & 3
         sizes, at = sizes_of(data, at + 3, stop, lacing)
+        step = durations.get(track, 0) / found.scale or (lasts or 0) / len(sizes)
         for i, n in enumerate(sizes):
-            found.packets.append(Packet(track, time + i * TICKS, at, n, cluster, block, lacing, bool(flags & 0x80) if simple else True))
+            found.packets.append(Packet(track, time + round(i * step), at, n, cluster, block, lacing, bool(flags & 0x80) if simple else True))
             at += n
 
+    def entry(body: int, stop: int) -> Track:
+        own = {k: (b, s) for k, _, b, s in elements(data, body, stop)}
+        n = lambda k: whole(*own[k]) if k in own else 0
+        codec = data[slice(*own[CODEC_ID])].decode("ascii", "replace").rstrip("\x00") if CODEC_ID in own else ""
+        return Track(n(TRACK_NUMBER), n(TRACK_TYPE), codec, n(DEFAULT_DURATION))
+
     for kind, _, body, stop in elements(data, 0, len(data)):
         if kind == EBML:
             found.doc_type = next((data[b:s].decode() for k, _, b, s in elements(data, body, stop) if k == DOC_TYPE), "")
@@ -193,6 +227,9 @@ def parse(data: bytes) -> Parsed:
             for k, at, b, s in elements(data, body, stop):
                 if k == INFO:
                     found.scale = next((whole(x, y) for i, _, x, y in elements(data, b, s) if i == TIMESTAMP_SCALE), found.scale)
+                elif k == TRACKS:
+                    found.tracks += [entry(x, y) for i, _, x, y in elements(data, b, s) if i == TRACK_ENTRY]
+                    durations |= {t.number: t.duration for t in found.tracks}
                 elif k == CLUSTER:
                     start = 0
                     found.clusters.append(at)
@@ -202,9 +239,10 @@ def parse(data: bytes) -> Parsed:
                         elif i == SIMPLE_BLOCK:
                             take(x, y, len(found.clusters) - 1, start, True)
                         elif i == BLOCK_GROUP:
-                            for j, _, v, w in elements(data, x, y):
-                                if j == BLOCK:
-                                    take(v, w, len(found.clusters) - 1, start, False)
+                            parts = {j: (v, w) for j, _, v, w in elements(data, x, y)}
+                            if BLOCK in parts:
+                                lasts = whole(*parts[BLOCK_DURATION]) if BLOCK_DURATION in parts else None
+                                take(*parts[BLOCK], len(found.clusters) - 1, start, False, lasts)
                 elif k == CUES:
                     for i, _, x, y in elements(data, b, s):
                         if i == CUE_POINT:
@@ -224,14 +262,14 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media (a Matroska file) for each row. A null text is stored as an empty one; equal texts give equal files."""
+    """doc_id, n_bytes and media (a Matroska file) for each row. A null text is stored as an empty one; equal texts give equal files, repeated rows a row each, an empty table none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             made = [payload_of(x or "") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([write(p) for p, _ in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def packets(media: DataFrame) -> DataFrame:
@@ -256,7 +294,7 @@ def feature(parsed: Parsed) -> str:
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """doc_id and n_bytes with what the stored files hold: payload read back by the packets' byte ranges, hashes and a feature string."""
+    """doc_id and n_bytes with what the stored files hold: payload read back by the packets' byte ranges, hashes and a feature string. A row per row; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
