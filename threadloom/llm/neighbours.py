@@ -16,8 +16,9 @@ from .common import checkpointed, table
 NEAREST = 20
 #: Vectors in a tile, on the average at most. The grid sends 2 x queries x candidates / TILE vectors, and a cell holds 2 x TILE.
 TILE = 4096
-#: Rows of a tile that are multiplied at a time.
+#: Rows of a tile that are multiplied at a time, and columns: sums of so many products of whole numbers up to 127 are exact in float32.
 ROWS = 256
+COLUMNS = 1024
 HEAP = "query_id long, vec_id long, score double"
 
 
@@ -36,7 +37,7 @@ def is_query(vec_id: Column) -> Column:
 def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows as whole numbers of at most 127 in absolute value, their scales, the lengths of what rounding leaves off, and those of the rows themselves.
 
-    The numbers are kept as float32, in which products of int8 tiles come out exact up to 1,040 dimensions.
+    The numbers are kept as float32, in which products of int8 tiles of COLUMNS columns come out exact.
     """
     scale = np.abs(vectors).max(axis=1) / 127
     whole = np.rint(vectors / scale[:, None])
@@ -74,7 +75,7 @@ def tile_nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     slack = 1 + 1e-9
     for first in range(0, len(queries), ROWS):
         part = slice(first, first + ROWS)
-        near = (q8[part] @ v8.T).astype(np.float64) * q_scale[part, None] * v_scale
+        near = sum((q8[part, i : i + COLUMNS] @ v8[:, i : i + COLUMNS].T).astype(np.float64) for i in range(0, v8.shape[1], COLUMNS)) * q_scale[part, None] * v_scale
         bound = (q_off[part, None] * v_norm + (q_norm[part] + q_off[part])[:, None] * v_off) * slack + 1e-12 * q_norm[part, None] * v_norm
         low, high = near - bound, near + bound
         if len(ids) > k + 1:
@@ -99,28 +100,28 @@ def nearest(vectors: DataFrame, query: Column, k: int = NEAREST, id_col: str = "
     Queries and candidates are dealt by hash over a grid of tiles whose number follows from the counts; each query goes to
     every column of the grid and each candidate to every row, so a cell's work and memory are bounded, and all rows meet
     all queries. The k best of each cell go to heaps, at most k rows for each query and column of the grid.
-    Vectors that are null, zero, or hold nulls or non-finite numbers take no part; neither do those of another dimension than the
-    commonest (the longer, if two are as common), nor rows without an id. Repeated rows count
+    Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do rows without an id. Vectors of
+    different lengths have no inner product: each length is searched by itself. Repeated rows count
     once. Queries that share an id answer together, and are not candidates of each other. An empty table gives an empty result.
     """
     rows = usable(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.count_if(query).alias("queries")).orderBy(F.desc("n"), F.desc("size")).limit(1).collect()
-    size, n, queries = tuple(sizes[0]) if sizes else (0, 0, 0)
+    n, queries = rows.agg(F.count("*"), F.count_if(query)).first()
     down, across = max(1, -(-queries // tile)), max(1, -(-n // tile))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy().astype("<f8").reshape(-1, size) if batch.num_rows else np.zeros((0, size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], names=["vec_id", "packed"])
+            flat, ends = batch.column(1).flatten().to_numpy().astype("<f8"), np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
+            parts = [x.tobytes() for x in np.split(flat, ends[:-1])] if len(ends) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["vec_id", "packed"])
 
-    packed = rows.where(F.size("vector") == size).select("vec_id", "vector").mapInArrow(pack, "vec_id long, packed binary")
+    packed = rows.select("vec_id", "vector").mapInArrow(pack, "vec_id long, packed binary").withColumn("size", F.octet_length("packed"))
     place = lambda parts: F.pmod(F.xxhash64("vec_id", "packed"), F.lit(parts)).cast("int")
     spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = packed.where(query).withColumn("y", place(down)).withColumn("x", spread(across)).select("y", "x", "vec_id", "packed", F.lit(True).alias("query"))
-    right = packed.withColumn("x", place(across)).withColumn("y", spread(down)).select("y", "x", "vec_id", "packed", F.lit(False).alias("query"))
+    left = packed.where(query).withColumn("y", place(down)).withColumn("x", spread(across)).select("size", "y", "x", "vec_id", "packed", F.lit(True).alias("query"))
+    right = packed.withColumn("x", place(across)).withColumn("y", spread(down)).select("size", "y", "x", "vec_id", "packed", F.lit(False).alias("query"))
 
     def cell(batch: pa.Table) -> pa.Table:
-        asks = batch.column("query").combine_chunks()
+        asks, size = batch.column("query").combine_chunks(), batch.column("size")[0].as_py() // 8
         sides = []
         for side in (batch.filter(asks), batch.filter(pc.invert(asks))):
             ids = side.column("vec_id").to_numpy()
@@ -129,7 +130,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = NEAREST, id_col: str = "
         out = [np.concatenate([np.full(len(v), q) for q, v, _ in found] or [[]]).astype(np.int64), np.concatenate([v for _, v, _ in found] or [[]]).astype(np.int64), np.concatenate([s for _, _, s in found] or [[]]).astype(np.float64)]
         return pa.table([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
 
-    grid = left.unionAll(right).groupBy("y", "x").applyInArrow(cell, HEAP)
+    grid = left.unionAll(right).groupBy("size", "y", "x").applyInArrow(cell, HEAP)
 
     def heaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A heap of k for each query of the partition, its worst on top."""
@@ -150,6 +151,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = NEAREST, id_col: str = "
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose id is divisible by 20, among all others; rows without a usable vector take no part."""
     return nearest(table(spark, sf_dir, "embeddings"), is_query(F.col("vec_id")))
 
 
