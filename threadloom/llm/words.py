@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 
 from .common import load_tokenizer, per_worker
 
-#: Words and characters that a worker keeps encoded; beyond either the table starts anew.
+#: Words and characters that a worker keeps encoded; beyond either, the words that most slices of text had stay, up to half of it.
 TABLE = 400_000
 TABLE_CHARS = 16 << 20
 #: Plain words that are encoded as one text, and texts that are encoded at a time.
@@ -41,8 +42,9 @@ class WordTable:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.chars = 0
+        self.words: list[str] = []
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def split(self, texts: pa.Array) -> pa.ListArray:
         """The words of each text, with an empty one before white space at the beginning."""
@@ -51,14 +53,18 @@ class WordTable:
         as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, MARKED))
         return pc.ascii_split_whitespace(pc.if_else(as_is, texts, lower))
 
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        if not new:
-            return
-        if len(self.place) + len(new) > TABLE or self.chars + sum(map(len, new)) > TABLE_CHARS:
-            self.clear()
-            new = list(words)
-        self.chars += sum(map(len, new))
+    def shrink(self) -> None:
+        """Keeps the words that were met in the most slices, and in more than one: up to half of the table."""
+        order = np.argsort(-self.uses, kind="stable")[: TABLE // 2]
+        order = order[(self.uses[order] > 1) & (np.cumsum(self.length[order]) <= TABLE_CHARS // 2)]
+        self.words = [self.words[i] for i in order.tolist()]
+        self.place = dict(zip(self.words, range(len(self.words)), strict=True))
+        self.flat = self.flat[spread(self.start[order], self.size[order])]
+        self.size, self.uses, self.length = self.size[order], self.uses[order] >> 1, self.length[order]
+        self.start = np.cumsum(self.size) - self.size
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes words that the table lacks."""
         plain, others = [], []
         for w in new:
             (plain if w.isalpha() and w.islower() else others).append(w)
@@ -78,28 +84,56 @@ class WordTable:
             made = [x.ids for x in self.tokenizer.encode_batch_fast(others[i : i + 4096], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, made), np.int64, len(made)))
             flat.append(np.fromiter((x for ids in made for x in ids), np.uint32, int(sizes[-1].sum())))
-        first = len(self.place)
-        self.place.update(zip([*done, *others], range(first, first + len(new)), strict=True))
+        done += others
+        self.place.update(zip(done, range(len(self.words), len(self.words) + len(done)), strict=True))
+        self.words += done
         self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
         self.start = np.cumsum(self.size) - self.size
+        self.uses = np.concatenate([self.uses, np.zeros(len(done), np.int32)])
+        self.length = np.concatenate([self.length, np.fromiter(map(len, done), np.int64, len(done))])
 
-    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text; a null is an empty one. Words are numbered by Arrow, so Python sees each distinct one of the texts once."""
+    def numbers(self, distinct: list[str]) -> np.ndarray:
+        """The place of each of a slice's distinct words in the table."""
+        find = lambda words: np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        known = find(distinct)
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            chars = sum(len(distinct[i]) for i in missing.tolist())
+            if self.words and (len(self.words) + len(missing) > TABLE or int(self.length.sum()) + chars > TABLE_CHARS):
+                self.shrink()
+                known = find(distinct)
+                missing = np.flatnonzero(known < 0)
+            new = [distinct[i] for i in missing.tolist()]
+            self.learn(new)
+            known[missing] = find(new)
+        self.uses[known] += 1
+        return known
+
+    def stream(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text's begin (with the end behind the last); a null is an empty text.
+
+        Words are numbered by Arrow, so Python sees each distinct one of the texts once.
+        """
         split = self.split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        self.learn(distinct)
-        known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        codes = known[words.indices.to_numpy()]
+        codes = self.numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         size = self.size[codes]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[codes] - (ends - size), size)]
-        upto = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        upto = np.concatenate([[0], np.cumsum(size)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return self.flat[spread(self.start[codes], size)], upto
+
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text; a null is an empty one."""
+        ids, upto = self.stream(texts)
         for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
             yield ids[a:b]
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, one stretch after the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 def word_table(path: str) -> WordTable:
     """The worker's table for a vocabulary."""
     return per_worker(f"words {path}", lambda: WordTable(path))
