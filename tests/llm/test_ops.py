@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -67,6 +68,49 @@ def test_language_of_odd_texts(spark, sf):
     assert langid.predict(docs_of(spark, ["a"]), empty).first()["lang_pred"] == "und"
 
 
+def test_texts_without_a_letter(spark):
+    assert langid.words_of("² ½ ① x² 12 a_b") == {"x": 1, "a": 1, "b": 1}
+    model = langid.Model.from_counts(["a", "b"], [("a", "1", "x", 3), ("b", "1", "y", 3)])
+    made = [r["lang_pred"] for r in langid.predict(docs_of(spark, ["²", "½ ①", "7", None, "x", "y"]), model).orderBy("doc_id").collect()]
+    assert made == ["und"] * 4 + ["a", "b"]
+
+
+def test_languages_equal_a_plain_scorer(spark, sf):
+    """All counts of the labelled rows, one word at a time, without tables or batches."""
+    import math
+
+    train = sf[[zlib.crc32(str(i).encode()) % 5 != 0 for i in sf.doc_id]].dropna(subset=["lang", "text"]).drop_duplicates(["lang", "text"])
+    langs = sorted(set(train.lang))
+    units = {}
+    for lang, text in zip(train.lang, train.text, strict=True):
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f"^{word}$"
+            for kind, unit in [("w", word), *((n, padded[i : i + n]) for n in range(1, 6) for i in range(len(padded) - n + 1))]:
+                own = units.setdefault(kind, {}).setdefault(unit, dict.fromkeys(langs, 0))
+                own[lang] += 1
+    totals = {k: {x: sum(u[x] for u in own.values()) for x in langs} for k, own in units.items()}
+
+    def logs(kind, unit):
+        raw = [math.log((units[kind][unit][x] + 0.5) / (totals[kind][x] + 0.5 * (len(units[kind]) + 1))) for x in langs]
+        return [v - sum(raw) / len(raw) for v in raw]
+
+    def word(w):
+        if w in units["w"]:
+            return logs("w", w)
+        padded = f"^{w}$"
+        for n in range(min(5, len(padded)), 0, -1):
+            found = [logs(n, padded[i : i + n]) for i in range(len(padded) - n + 1) if padded[i : i + n] in units[n]]
+            if found:
+                return [sum(v) / len(found) for v in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    made = {r["doc_id"]: r["lang_pred"] for r in registry.QUERIES["op1_language_id"](spark, SF).collect()}
+    for i, text in list(zip(sf.doc_id, sf.text, strict=True))[:60]:
+        found = [word(w) for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+        total = [sum(v) for v in zip(*found, strict=True)]
+        assert made[i] == (langs[total.index(max(total))] if found else "und")
+
+
 def test_backoff():
     model = langid.Model.from_counts(["a", "b"], [("a", "w", "foo", 5), ("b", "w", "bar", 5), ("a", "3", "oox", 3), ("b", "1", "z", 9), ("a", "1", "q", 1)])
     assert model.word("foo").argmax() == 0 and model.word("boox").argmax() == 0 and model.word("zzz").argmax() == 1 and not model.word("éé").any()
@@ -85,11 +129,131 @@ def test_main_text(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_repeated_runs_go_and_unique_ones_stay():
-    pages = [[f"unique text of page {i} " + " ".join(f"w{i}x{j}" for j in range(20)), "subscribe now to our letter and never miss any story again"] for i in range(10)]
-    assert htmltext.boilerplate(pages) == [[False, True]] * 10
-    assert htmltext.boilerplate([pages[0]] * 10) == [[False, False]] * 10
-    assert htmltext.boilerplate(pages[:3]) == [[False, False]] * 3
+SNIPPETS = [
+    ("<p>one <b>two</b> three</p>", "one two three"),
+    ('<p>see <a href="/x">this link</a> for more.</p>', "see this link for more."),
+    ("<p>Hello <script>x('</p>')</script>world</p>", "Hello world"),
+    ('<p>Hello <span class="ad">buy</span> world</p>', "Hello world"),
+    ("<p>x <svg><text>q</text></svg> y</p>", "x y"),
+    ('<div class="content with-sidebar"><p>text</p></div>', "text"),
+    ('<div id="main" class="layout-header-fixed"><article>text</article></div>', "text"),
+    ("<form><p>all in one</p></form>", "all in one"),
+    ("<p>Intro</p><form><p>name</p></form>", "Intro"),
+    ("<p>Intro</p><article>Teaser</article><p>Real text</p>", "Intro\nTeaser\nReal text"),
+    ('<h2>Story</h2><p>Body</p><article class="comment">me</article>', "Story\nBody"),
+    ('<article>Story</article><div id="comments"><article>me</article><p>too</p></div>', "Story"),
+    ('<article><header><h1>T</h1></header>Story</article><div class="sidebar"><article>other</article></div>', "T\nStory"),
+    ("<head><title>no</title><p>a &lt;b&gt; &amp;amp; <math>x</math> a < b", "a <b> &amp; x a < b"),
+    ("<p title=it's>It's</p><p data-x=\"a>b\">c\u200bd&nbsp;\ufeffe</p>", "It's\nc\u200bd \ufeffe"),
+    ("<div>a<p>b</div>c", "a\nb\nc"),
+    ("<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table>", "a\nb\n1\n2\n3"),
+    ("<p>a<br/>b<p hidden>q</p>z", "a\nb\nz"),
+    ("<p>a<!-- <p>no</p> -->b</p><textarea><p>no</textarea>c", "ab\nc"),
+    ("<nav><p>menu<p>menu</nav><p>a <i>b <u>c</i> d</u> e", "a b c d e"),
+    ("a <aside>b <p>c</aside> d </div></p> e", "a\nd\ne"),
+    ("<", "<"),
+    ("<p", ""),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), SNIPPETS)
+def test_markup(html, text):
+    assert "\n".join(htmltext.blocks_of(html)) == text
+
+
+def random_page(r):
+    """Markup of random trees, and its blocks by a walk over the tree itself."""
+    blocks, part = [], []
+
+    def flush():
+        if text := " ".join("".join(part).split()):
+            blocks.append(text)
+        part.clear()
+
+    def node(depth, hidden, inline):
+        kind = r.random()
+        if depth > 4 or kind < 0.4:
+            word = r.choice(["ab ", " c", "&amp;", "&eacute;t ", "\n x"])
+            if not hidden:
+                part.append({"&amp;": "&", "&eacute;t ": "ét "}.get(word, word))
+            return word
+        if kind < 0.6:
+            tag, own = r.choice([("b", ""), ("a", ' href="/ad"'), ("span", ""), ("math", ""), ("span", ' class="ad"'), ("em", " hidden")])
+            gone = bool(own) and tag != "a"
+            return f"<{tag}{own}>" + "".join(node(depth + 1, hidden or gone, True) for _ in range(r.randint(0, 3))) + f"</{tag}>"
+        if kind < 0.7 or inline:
+            return f"<script>{r.choice(['x', '</p', '<p>'])}</script>"
+        tag, own = r.choice([("div", ""), ("section", ""), ("blockquote", ""), ("nav", ""), ("footer", ""), ("div", ' class="cookie-notice"'), ("ul", ""), ("div", ' role="navigation"'), ("div", ' class="has-ads page-header"')])
+        gone = tag in ("nav", "footer") or own in (' class="cookie-notice"', ' role="navigation"')
+        flush()
+        body = "".join(node(depth + 1, hidden or gone, False) for _ in range(r.randint(0, 4)))
+        flush()
+        return f"<{tag}{own}>{body}</{tag}>"
+
+    html = "".join(node(0, False, False) for _ in range(r.randint(1, 6)))
+    flush()
+    return html, blocks
+
+
+def test_markup_equals_a_walk_over_the_tree():
+    r = random.Random(0)
+    for _ in range(3000):
+        html, blocks = random_page(r)
+        assert htmltext.blocks_of(html) == blocks, html
+
+
+def host_pages(n=40, seed=0):
+    """Pages of one host whose boilerplate no tag tells: a line, a list of short blocks, and a run within a paragraph."""
+    r = random.Random(seed)
+    own = lambda k: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(k))
+    line, tail = "subscribe now to our letter and never miss any story again", "read more of what we wrote about this here"
+    menu = "".join(f"<div>{x}</div>" for x in "home about news sport culture travel food contact imprint".split())
+    pages, texts = [], []
+    for i in range(n):
+        a, b = own(20), own(15)
+        pages.append(f"<div>{line}</div>{menu}<p>{a}</p><p>{b} {tail}</p>" if i % 8 else f"<p>{a}</p><p>{b}</p>")
+        texts.append(f"{a}\n{b}")
+    return pages, texts
+
+
+def brute_runs(texts, run, least, share):
+    """Texts without the tokens that a run of `run` tokens covers which stands in so many different texts."""
+    pages = {t: t.replace("\n", " \n ").split(" ") for t in set(texts) if t}
+    seen = {}
+    for t, w in pages.items():
+        for i in range(len(w) - run + 1):
+            seen.setdefault(tuple(w[i : i + run]), set()).add(t)
+    out = {"": ""}
+    for t, w in pages.items():
+        gone = {j for i in range(len(w) - run + 1) if len(seen[tuple(w[i : i + run])]) >= max(least, share * len(pages)) for j in range(i, i + run)}
+        left = " ".join(x for i, x in enumerate(w) if x == "\n" or i not in gone)
+        out[t] = "\n".join(x.strip() for x in left.split("\n") if x.strip())
+    return [out[t] for t in texts]
+
+
+@pytest.mark.parametrize("portion", [2000, 1 << 20])
+@pytest.mark.parametrize("partitions", [1, 4, 31])
+def test_runs_of_a_host_decide(spark, partitions, portion):
+    pages, texts = host_pages()
+    pages, texts = pages + [pages[1]] * 50, texts + [texts[1]] * 50  # copies are one page
+    rows = [(i, f"https://h.example/{i}", p) for i, p in enumerate(pages)] + [(1000 + i, f"https://few.example/{i}", pages[1 + i]) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions).withColumn("host", F.lit("clash")).withColumn("keys", F.lit(1))
+    found = {r["page_id"]: r["text"] for r in htmltext.main_text(df, portion=portion).collect()}
+    assert [found[i] for i in range(len(pages))] == texts
+    assert [found[1000 + i] for i in range(3)] == ["\n".join(htmltext.blocks_of(p)) for p in pages[1:4]]
+
+
+@pytest.mark.parametrize("portion", [600, 1 << 20])
+def test_runs_equal_brute_force(spark, portion):
+    r = random.Random(4)
+    lines = [" ".join(r.choice("abcdefg") * 2 for _ in range(r.randint(3, 14))) for _ in range(8)]
+    texts = ["\n".join(r.choice(lines) if r.random() < 0.6 else " ".join(r.choice("abcdefg") for _ in range(r.randint(1, 20))) for _ in range(r.randint(0, 5))) for _ in range(60)]
+    rows = [(i, "https://h.example/", "".join(f"<p>{x}</p>" for x in t.split("\n"))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for share in (0.1, 0.3):
+        made = [x["text"] for x in htmltext.main_text(df, run=4, share=share, portion=portion).orderBy("page_id").collect()]
+        assert made == brute_runs(texts, 4, 4, share)
+        assert share > 0.1 or made != texts
 
 
 def test_suffix_ranks_against_slices():
@@ -99,9 +263,72 @@ def test_suffix_ranks_against_slices():
         assert (rank[i] == rank[j]) == (tokens[i : i + 8].tolist() == tokens[j : j + 8].tolist())
 
 
+def test_op2_on_the_table(spark):
+    """The table's articles hold nothing but h1, p, b and br."""
+    from html import unescape
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").toPandas()
+    found = {r["page_id"]: r["text"] for r in registry.QUERIES["op2_html_text"](spark, SF).collect()}
+    for i, html in zip(pages.page_id, pages.html, strict=True):
+        inside = html[html.index("<article>") : html.index("</article>")]
+        parts = (" ".join(unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|br|h1)>", inside))
+        assert found[i] == "\n".join(x for x in parts if x)
+
+
 # op3, op10
 
 
+def test_counts_of_every_code_point(library):
+    machine = tokencount.Transducer(PATH)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3000 or c % 17 == 0 or 0xA700 <= c < 0xA800 or 0x10D00 <= c < 0x10E00)]
+    for i in range(0, len(points), 2000):
+        part = points[i : i + 2000]
+        assert machine.counts(part).tolist() == [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+
+
+def test_counts_without_white_space(library):
+    r = random.Random(2)
+    texts = ["".join(r.choice(x) for _ in range(30_000)) for x in ("abcdefghij", "ab", "!?.,-", "a1!'", "'sretvlmd")] + ["ab" * 20_000, "a" * 30_000]
+    assert tokencount.Transducer(PATH).counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def clashing(spark, rows=None):
+    """Odd documents (or none) with extra columns of the names that operators make."""
+    df = odd_docs(spark) if rows is None else docs_of(spark, rows)
+    for name in ("n_tokens", "ids", "__rid", "rid", "fp", "media", "n_bytes", "start", "size", "decoded", "key"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+OPERATORS = {
+    "counts": lambda df: tokencount.count_tokens(df, PATH),
+    "media": lambda df: matroska.digest(matroska.store(df)),
+    "packets": lambda df: matroska.packets(matroska.store(df)),
+    "prints": lambda df: simhash.grouped(simhash.fingerprints(df)),
+    "encode": lambda df: bpe.decode(bpe.encode(df, PATH, columns=("ids", "n_tokens", "size", "decoded")), PATH),
+    "repeats": suffixdedup.without_repeats,
+    "near": neardup.without_near_duplicates,
+    "mix": lambda df: mixing.mix(df.withColumn("size", F.length("text"))),
+    "languages": lambda df: langid.predict(df, langid.fit(df)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_clashing_names_and_empty_tables(spark, name):
+    assert OPERATORS[name](clashing(spark, [])).count() == 0
+    made = OPERATORS[name](clashing(spark))
+    n = made.count()
+    assert len(set(made.columns)) == len(made.columns)
+    assert n == {"packets": n, "near": len({" ".join((t or "").lower().split()) for t in ODD})}.get(name, len(ODD) + 2)
+    if name in ("repeats", "near"):
+        assert made.columns == clashing(spark).columns and {r["__rid"] for r in made.collect()} == {"clash"}
+
+
+def test_id_files_with_clashing_names(spark, tmp_path):
+    idfiles.write(clashing(spark), PATH, str(tmp_path / "ids"))
+    assert idfiles.read(spark.read.parquet(str(tmp_path / "ids"))).count() == len(ODD) + 2
+
+
 def test_counts_equal_the_library(library):
     texts = [t or "" for t in ODD] + fuzz(1500)
     assert tokencount.Transducer(PATH).counts(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -121,6 +348,16 @@ def test_word_table_equals_the_library(library):
         assert x.tolist() == e.ids
 
 
+def test_word_table_that_shrinks(library, monkeypatch):
+    monkeypatch.setattr(words, "TABLE", 40)
+    table = words.WordTable(PATH)
+    r = random.Random(9)
+    for _ in range(30):
+        texts = [" ".join(f"w{r.randint(0, 30)} {r.choice(['the', 'of', 'x.,'])}" for _ in range(20)) for _ in range(3)]
+        assert [x.tolist() for x in table.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert len(table.place) == len(table.words) <= 40 + 33
+
+
 def test_encode_and_decode(spark, library):
     made = bpe.decode(bpe.encode(odd_docs(spark), PATH, columns=("source",)), PATH).toPandas()
     assert len(made) == len(ODD) + 2
@@ -169,6 +406,46 @@ def test_media_of_odd_texts(spark):
     assert made.groupby("payload_sha256").media_sha256.nunique().max() == 1
 
 
+def test_clusters_of_unknown_size():
+    payload, _ = matroska.payload_of("x" * 576 * 600)
+    data = matroska.write(payload)
+    at = [p for p in range(len(data) - 4) if data[p : p + 4] == b"\x1f\x43\xb6\x75"]
+    made, last = b"", 0
+    for p in at:
+        _, body, _ = matroska.read_vint(data, p, keep=True)
+        _, _, width = matroska.read_vint(data, body)
+        made += data[last:body] + (((1 << 7 * width) - 1) | 1 << 7 * width).to_bytes(width, "big")
+        last = body + width
+    made += data[last:]
+    parsed, whole = matroska.parse(made), matroska.parse(data)
+    assert [(p.timestamp, p.size, p.cluster) for p in parsed.packets] == [(p.timestamp, p.size, p.cluster) for p in whole.packets]
+    assert len(parsed.clusters) == 3 and len(parsed.packets) == 600 and len(parsed.cues) == 3
+    assert whole.tracks == [matroska.Track(1, 2, "A_PCM/INT/LIT", matroska.TICKS * matroska.SCALE)]
+
+
+def test_laced_frames_take_their_track_s_duration():
+    e, n = matroska.element, matroska.number
+    frames = [b"a" * 3, b"b" * 5, b"c" * 4]
+
+    def made(tracks, blocks):
+        return e(matroska.SEGMENT, tracks + e(matroska.CLUSTER, n(matroska.TIMESTAMP, 10) + blocks))
+
+    block = matroska.vint(2) + b"\x00\x05\x80" [:2] + bytes([matroska.XIPH << 1]) + matroska.laced(frames, matroska.XIPH)
+    timed = e(matroska.TRACKS, e(matroska.TRACK_ENTRY, n(matroska.TRACK_NUMBER, 2) + n(matroska.DEFAULT_DURATION, 40_000_000)))
+    assert [p.timestamp for p in matroska.parse(made(timed, e(matroska.SIMPLE_BLOCK, block))).packets] == [15, 55, 95]
+    group = e(matroska.BLOCK_GROUP, e(matroska.BLOCK, block) + n(matroska.BLOCK_DURATION, 30))
+    assert [p.timestamp for p in matroska.parse(made(b"", group)).packets] == [15, 25, 35]
+
+
+def test_op4_on_the_table(spark, sf):
+    for r, text in zip(registry.QUERIES["op4_media_columns"](spark, SF).orderBy("doc_id").collect(), sf.sort_values("doc_id").text, strict=True):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        data = matroska.write(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest())
+
+
 # op5
 
 
@@ -293,6 +570,18 @@ def test_neighbours_equal_brute_force(spark, tile):
     assert set(made.query_id) == set(range(0, 150, 20))
 
 
+def test_vectors_of_several_lengths_and_many_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "COLUMNS", 64)
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(size=200 if i % 2 else 3).tolist()) for i in range(0, 300, 5)]
+    made = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), neighbours.is_query(F.col("vec_id")), 3).toPandas()
+    vectors = {i: np.array(v) for i, v in rows}
+    for q in range(0, 300, 20):
+        near = sorted((-neighbours.products(vectors[q][None], v[None])[0], i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:3]
+        own = made[made.query_id == q].sort_values("rank")
+        assert list(zip(-own.score, own.vec_id, strict=True)) == near
+
+
 def test_few_or_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     assert neighbours.nearest(spark.createDataFrame([], kind), neighbours.is_query(F.col("vec_id"))).count() == 0
@@ -419,6 +708,25 @@ def test_id_files(spark, library, tmp_path):
     assert idfiles.read(spark.read.parquet(str(tmp_path / "none"))).count() == 0
 
 
+def test_op9_on_the_table(spark, sf, library):
+    rows = sorted(registry.QUERIES["op9_token_id_files"](spark, SF).collect(), key=lambda r: r["doc_id"])
+    start = 0
+    for r, (doc_id, text) in zip(rows, sf.sort_values("doc_id")[["doc_id", "text"]].itertuples(index=False), strict=True):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_op8_on_the_table(spark, sf):
+    texts = sf.sort_values("doc_id")
+    found = {i: set() for i in range(len(texts))}
+    place = {d: i for i, d in enumerate(texts.doc_id)}
+    for r in registry.QUERIES["op8_suffix_repeats"](spark, SF).collect():
+        found[place[r["doc_id"]]] |= set(range(r["start_word"], r["stop_word"]))
+    split = [" ".join(common.WORD_RE.findall(t or "")) for t in texts.text]
+    assert found == brute_repeats(split)
+
+
 # near duplicates and the pipeline
 
 
