@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordered import running
 
 
 def top(df: DataFrame, key: Column, name: str, k: int, first: Column | None = None) -> DataFrame:
@@ -34,9 +35,10 @@ def lexicon_totals(docs: DataFrame, lexicons: dict[str, list[str]], by: list[str
 
 
 def value_at(df: DataFrame, value: str, places: dict[str, str]) -> DataFrame:
-    """One row: for each name, the value at a place in ascending order, given as SQL over n (how many there are), from 0. Values are counted first, so that the window sees each value once; its rows are the different values."""
+    """One row: for each name, the value at a place in ascending order, given as SQL over n (how many there are), from 0. Values are counted first, so each is seen once, and summed by ranges."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    summed = running(counts, ["v"], F.col("c"))
+    run = summed.join(F.broadcast(summed.agg(F.max("upto").alias("n"))))
     return run.agg(*(F.min(F.when(F.col("upto") > F.expr(f"cast({at} as bigint)"), F.col("v"))).alias(k) for k, at in places.items()))
 
 

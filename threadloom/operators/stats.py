@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def side_by_side(counts: DataFrame, term: str, group: str, n: str, a: str, b: str) -> DataFrame:
     """term, x and y: the counts of two groups, 0 where one lacks the term; tx, ty and v: both totals and the number of terms."""
@@ -50,11 +52,10 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
-    """One row: n_a, n_b and U of group a, with mean ranks for ties. Values are counted before they are ranked, so the window sees each value once."""
+    """One row: n_a, n_b and U of group a, with mean ranks for ties. Values are counted before they are ranked, by ranges."""
     rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
     counts = rows.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("x"), F.count_if(F.col(group) == b).alias("y"))
-    upto = F.sum(F.col("x") + F.col("y")).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("rank", upto - (F.col("x") + F.col("y") - 1) / 2)
+    ranked = running(counts, ["v"], F.col("x") + F.col("y")).withColumn("rank", F.col("upto") - (F.col("x") + F.col("y") - 1) / 2)
     sums = ranked.agg(F.sum("x").alias("n_a"), F.sum("y").alias("n_b"), F.sum(F.col("x") * F.col("rank")).alias("r"))
     return sums.select("n_a", "n_b", (F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2).alias("u"))
 
@@ -97,7 +98,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count("*").alias("c"))
-        return counts.select(c, (F.sum("c").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("c") - 1) / 2).alias(f"r{c}"))
+        return running(counts, [c], F.col("c")).select(c, (F.col("upto") - (F.col("c") - 1) / 2).alias(f"r{c}"))
 
     return rows.join(ranks("a"), "a").join(ranks("b"), "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
 
@@ -131,3 +132,63 @@ def matched(df: DataFrame, group: str, a: str, b: str, bucket: Column, order: Co
     least = rows.groupBy("__bucket").agg(F.least(F.count_if(F.col(group) == a), F.count_if(F.col(group) == b)).alias("__k"))
     ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__bucket", group).orderBy(order)))
     return ranked.join(least, "__bucket").where(F.col("__rn") <= F.col("__k")).drop("__bucket", "__k", "__rn")
+
+
+def bonferroni(tests: DataFrame, p: str = "p") -> DataFrame:
+    """tests with q: p values times their number, 1 at most."""
+    return tests.join(F.broadcast(tests.agg(F.count(p).alias("__n")))).withColumn("q", F.least(F.lit(1.0), F.col(p) * F.col("__n"))).drop("__n")
+
+
+def chi_square(both: DataFrame) -> DataFrame:
+    """both (from side_by_side) with chi2 of each term's table: two groups by the term or another one."""
+    x, y, tx, ty = (F.col(c).cast("double") for c in ("x", "y", "tx", "ty"))
+    cross = x * (ty - y) - y * (tx - x)
+    return both.withColumn("chi2", (tx + ty) * cross * cross / (tx * ty * (x + y) * (tx + ty - x - y)))
+
+
+def vocabulary_jaccard(both: DataFrame) -> DataFrame:
+    """One row: the share of terms that both groups have among those that either has."""
+    return both.agg((F.count_if((F.col("x") > 0) & (F.col("y") > 0)) / F.count_if((F.col("x") > 0) | (F.col("y") > 0))).alias("jaccard"))
+
+
+def changepoints(series: DataFrame, by: str, order: str, value: str, gain: float = 10.0) -> DataFrame:
+    """by, change (where the second part begins) and delta_bic of each key whose series is explained better by two levels than by one.
+
+    The cut leaves the least squared error; its gain is that of the Bayesian information criterion. Sums of a key's series give the
+    error of every cut in one window over it.
+    """
+    upto = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(by)
+    v = F.col(value).cast("double")
+    rows = series.select(
+        by,
+        order,
+        F.count("*").over(upto).cast("double").alias("k"),
+        F.coalesce(F.sum(v).over(upto), F.lit(0.0)).alias("s"),
+        F.count("*").over(whole).cast("double").alias("n"),
+        F.sum(v).over(whole).alias("t"),
+        F.sum(v * v).over(whole).alias("q"),
+    )
+    error = F.col("q") - F.col("s") * F.col("s") / F.col("k") - (F.col("t") - F.col("s")) * (F.col("t") - F.col("s")) / (F.col("n") - F.col("k"))
+    cuts = rows.where("k > 0").select(by, order, "n", (F.col("q") - F.col("t") * F.col("t") / F.col("n")).alias("one"), F.round(error, 6).alias("two"))
+    best = cuts.groupBy(by).agg(F.min(F.struct("two", order, "n", "one")).alias("b")).select(by, "b.*")
+    scored = best.withColumn("delta_bic", F.col("n") * F.log(F.col("one") / F.col("two")) - 2 * F.log("n")).where("one > 0 AND two > 0")
+    return scored.where(F.col("delta_bic") > gain).select(by, F.col(order).alias("change"), "delta_bic")
+
+
+def permutation_test(df: DataFrame, id_col: str, value: str, group: str, a: str, b: str, rounds: int = 200, seed: str = "null") -> DataFrame:
+    """One row: the difference of means of two groups, and p: how many random assignments to groups differ as much.
+
+    In each round a row joins the first group with that group's share of rows, by the hash of seed, round and id, so reruns
+    agree. Rows are multiplied by the rounds within a task, and summed there before the shuffle.
+    """
+    rows = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select(F.col(id_col).alias("id"), F.col(value).cast("double").alias("v"), (F.col(group) == a).alias("first"))
+    share = rows.agg(F.avg(F.col("first").cast("int")).alias("share"), (F.avg(F.when(F.col("first"), F.col("v"))) - F.avg(F.when(~F.col("first"), F.col("v")))).alias("difference"))
+    tried = rows.select("id", "v", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).join(F.broadcast(share))
+    key = F.concat_ws(":", F.lit(seed), F.col("round").cast("string"), F.col("id").cast("string"))
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    mean = lambda c: F.avg(F.when(c, F.col("v")))
+    null = tried.withColumn("in", u < F.col("share")).groupBy("round").agg((mean(F.col("in")) - mean(~F.col("in"))).alias("d"))
+    both = null.join(F.broadcast(share))
+    extreme = F.count_if(F.abs(F.round("d", 9)) >= F.abs(F.round("difference", 9)))
+    return both.agg(F.first("difference").alias("difference"), F.count("*").alias("rounds"), ((extreme + 1) / (F.count("*") + 1)).alias("p"))
