@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
+
 #: The columns of the indexes.
 INDEX = {
     "forums": "id slug url title description threads_count messages_count sub_forums source_url scraped_at".split(),
     "threads": "id url title slug prefix author author_id author_url forum created reply_count view_count last_post sticky locked redirect source_url scraped_at".split(),
     "posts": "id thread_id thread_title forum author author_id post_number posted_at body_text_length body_html_length quote_count attachment_count reactions_count has_reactions edited deleted ignored source_url scraped_at".split(),
+    "post_features": (
+        "post_id thread_id thread_title forum_id author posted_at body_text_length body_html_length word_count unique_word_count sentence_count question_count exclamation_count url_count "
+        "quote_count attachment_count link_count reaction_count has_reactions empty_body edited deleted ignored source_url"
+    ).split(),
     "links": "link_url link_text link_title rel download_name external resource_type thread_id post_id thread_title post_number page_kind source_url scraped_at".split(),
     "resources": "link_url link_text resource_type download_name external thread_id post_id thread_title post_number source_url scraped_at".split(),
 }
@@ -28,7 +37,9 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = True) -> None:
-    flat(df).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').option("emptyValue", '""' if quote_all else "").csv(path)
+    """A header and a line per row; nested columns are JSON, and texts keep their blanks. With quote_all, null is an empty quoted text."""
+    options = {"header": True, "quoteAll": quote_all, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    flat(df).write.mode("overwrite").options(**options, emptyValue='""' if quote_all else "").csv(path)
 
 
 def index_rows(df: DataFrame, kind: str) -> DataFrame:
@@ -43,12 +54,25 @@ def line_bytes(df: DataFrame) -> Column:
 
 
 def split_parts(df: DataFrame, order: list[str], most: int = PART_BYTES) -> DataFrame:
-    """df with part: rows in order, filled into parts of at most `most` bytes of JSON lines. A part is a fixed slice of the running size, so no part exceeds twice that and rows keep their order; a larger row is an error."""
-    size = line_bytes(df)
-    half = most // 2
-    checked = F.when(size > half, F.raise_error(F.lit("a record is larger than half a part"))).otherwise(size)
-    run = F.sum("__bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__bytes", checked).withColumn("part", F.floor((run - F.col("__bytes")) / half).cast("int")).drop("__bytes")
+    """df with part: rows in order, filled into parts of at most `most` bytes of JSON lines; a larger row is an error.
+
+    The running size is cut into slices of half a part, and a row belongs to the slice in which it begins. Rows of up to
+    half a part that begin in one slice fit a part; a larger one is the last of its slice and has a part to itself. So parts
+    follow from the data alone, keep their order, and take no pass over all rows in one task. Numbers may have gaps.
+    """
+    size, half = line_bytes(df), most // 2
+    checked = F.when(size > most, F.raise_error(F.lit("a record is larger than a part"))).otherwise(size)
+    summed = running(df.withColumn("__bytes", checked), list(order), F.col("__bytes"), "__upto")
+    slice_ = F.floor((F.col("__upto") - F.col("__bytes")) / half).cast("long")
+    return summed.withColumn("part", 2 * slice_ + (F.col("__bytes") > half).cast("long")).drop("__bytes", "__upto")
+
+
+def part_manifest(parts: DataFrame, size: Column) -> DataFrame:
+    """part, name, entry_count and bytes of each part, and logical_entry_count, the records of all parts."""
+    counted = parts.groupBy("part").agg(F.count("*").alias("entry_count"), F.sum(size).alias("bytes"))
+    total = counted.agg(F.coalesce(F.sum("entry_count"), F.lit(0)).alias("logical_entry_count"))
+    name = F.concat(F.lit(".part-"), F.lpad(F.col("part").cast("string"), 6, "0"))
+    return counted.join(F.broadcast(total)).select("part", name.alias("name"), "entry_count", "bytes", "logical_entry_count")
 
 
 def packed(manifest: DataFrame, most: int = PART_BYTES) -> DataFrame:
@@ -74,3 +98,16 @@ def packed(manifest: DataFrame, most: int = PART_BYTES) -> DataFrame:
 def manifest(files: DataFrame) -> DataFrame:
     """file, bytes, sha256: what a folder holds, from a binaryFile read."""
     return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def zipped(entries: DataFrame) -> DataFrame:
+    """archive and content (a ZIP file) from rows of archive, entry and text. An archive is made by one task; parts bound its size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for row in sorted(table.to_pylist(), key=lambda r: r["entry"]):
+                z.writestr(zipfile.ZipInfo(row["entry"]), row["text"] or "")
+        return pa.table({"path": [table.column("archive")[0].as_py()], "content": pa.array([made.getvalue()], pa.binary())})
+
+    return entries.select("archive", "entry", "text").groupBy("archive").applyInArrow(run, "path string, content binary")
