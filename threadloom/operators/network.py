@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
+from ..storage import checkpointed, shared_folder, stored
+from .components import connected
+
+#: Items of a block whose pairs are made in one row.
+BLOCK = 512
 
 
 def reply_edges(turns: DataFrame, thread: str, order: str, author: str) -> DataFrame:
@@ -16,14 +20,32 @@ def reply_edges(turns: DataFrame, thread: str, order: str, author: str) -> DataF
 
 
 def participation_edges(turns: DataFrame, thread: str, author: str) -> DataFrame:
-    """source < target and weight: in how many threads two authors both write. Authors of a thread are a set, paired inside its row."""
-    sets = turns.where(F.col(author).isNotNull()).groupBy(thread).agg(F.array_sort(F.collect_set(author)).alias("who"))
-    return pairs_of(sets, F.col("who")).groupBy("source", "target").agg(F.count("*").alias("weight"))
+    """source < target and weight: in how many threads two authors both write."""
+    once = turns.where(F.col(author).isNotNull()).select(thread, author).distinct()
+    return pairs_within(once, thread, author).groupBy("source", "target").agg(F.count("*").alias("weight"))
+
+
+def pairs_within(once: DataFrame, by: str, item: str) -> DataFrame:
+    """by, source and target: each two different items of a key, smaller first. Rows of once are distinct.
+
+    A key's items are dealt into blocks of about BLOCK, and each two blocks of a key meet, so no row holds more than two
+    blocks, and a crowd spreads over tasks: it has as many rows as pairs of blocks. The number of pairs is the square of the
+    crowd all the same; leave keys out beforehand that are too large to mean anything.
+    """
+    sizes = once.groupBy(by).agg(F.ceil(F.count("*") / BLOCK).alias("__parts"))
+    dealt = once.join(sizes, by).withColumn("__block", F.pmod(F.xxhash64(item), "__parts"))
+    blocks = stored(dealt.groupBy(by, "__block").agg(F.sort_array(F.collect_list(item)).alias("__items")), "blocks")
+    left = blocks.select(by, F.col("__block").alias("__x"), F.col("__items").alias("__a"))
+    right = blocks.select(by, F.col("__block").alias("__y"), F.col("__items").alias("__b"))
+    met = left.join(right, by).where("__x <= __y").select(by, F.explode("__a").alias("__one"), (F.col("__x") == F.col("__y")).alias("__same"), "__b")
+    ends = met.select(by, "__one", F.explode(F.filter("__b", lambda y: ~F.col("__same") | (y > F.col("__one")))).alias("__two"))
+    return ends.select(by, F.least("__one", "__two").alias("source"), F.greatest("__one", "__two").alias("target"))
 
 
 def pairs_of(df: DataFrame, items: Column) -> DataFrame:
-    """Each two different items of a row's sorted array, smaller first."""
-    made = F.flatten(F.transform(items, lambda a, i: F.transform(F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0))), lambda b: F.struct(a.alias("source"), b.alias("target")))))
+    """Each two different items of a row's sorted array, smaller first; for arrays of a small bound."""
+    after = lambda i: F.slice(items, i + 2, F.greatest(F.size(items) - i - 1, F.lit(0)))
+    made = F.flatten(F.transform(items, lambda a, i: F.transform(after(i), lambda b: F.struct(a.alias("source"), b.alias("target")))))
     return df.select(F.inline(made))
 
 
@@ -31,11 +53,11 @@ def cooccurrence(items: DataFrame, doc: str, item: str, least_count: int = 3, le
     """source < target, both, and jaccard of items that stand in the same documents. Items of fewer than least_count documents take no part."""
     once = items.select(doc, item).distinct()
     sizes = once.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
-    sets = once.join(sizes.select(item), item).groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("who"))
-    both = pairs_of(sets, F.col("who")).groupBy("source", "target").agg(F.count("*").alias("both"))
+    both = pairs_within(once.join(sizes.select(item), item), doc, item).groupBy("source", "target").agg(F.count("*").alias("both"))
     named = lambda side: sizes.select(F.col(item).alias(side), F.col("n").alias(f"n_{side}"))
     scored = both.join(named("source"), "source").join(named("target"), "target")
-    return scored.withColumn("jaccard", F.col("both") / (F.col("n_source") + F.col("n_target") - F.col("both"))).where(F.col("jaccard") >= least_jaccard).select("source", "target", "both", "jaccard")
+    jaccard = F.col("both") / (F.col("n_source") + F.col("n_target") - F.col("both"))
+    return scored.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least_jaccard).select("source", "target", "both", "jaccard")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -76,8 +98,7 @@ def clustering(edges: DataFrame) -> DataFrame:
     sized = pairs.join(named("a"), "a").join(named("b"), "b")
     low = F.struct("da", "a") < F.struct("db", "b")
     out = sized.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
-    wedges = pairs_of(out.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("who")).withColumn("who", F.transform("who", lambda v: F.struct(v.alias("v"), F.col("u").alias("u")))), F.col("who"))
-    corners = wedges.select(F.col("source.u").alias("u"), F.col("source.v").alias("a"), F.col("target.v").alias("b"))
+    corners = pairs_within(out, "u", "v").select("u", F.col("source").alias("a"), F.col("target").alias("b"))
     closed = corners.join(pairs, ["a", "b"])
     per = closed.select(F.explode(F.array("u", "a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     made = degree.join(per, "node", "left").select("node", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
@@ -98,3 +119,32 @@ def unanswered(turns: DataFrame, thread: str, order: str) -> DataFrame:
     """The last turn of each thread: what nothing follows."""
     last = turns.groupBy(thread).agg(F.max(order).alias(order))
     return turns.join(last, [thread, order], "left_semi")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """component (its smallest node), nodes and edges of each connected component, directions aside."""
+    pairs = neighbourhoods(edges)
+    roots = checkpointed(connected(pairs))
+    nodes = roots.groupBy("root").agg(F.count("*").alias("nodes"))
+    inside = pairs.join(roots, pairs["a"] == roots["node"]).groupBy("root").agg(F.count("*").alias("edges"))
+    return nodes.join(inside, "root").select(F.col("root").alias("component"), "nodes", "edges")
+
+
+def eigenvector(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """node and centrality after so many rounds of power iteration over the undirected graph, of length 1. Each round ends in a checkpoint."""
+    pairs = neighbourhoods(edges)
+    both = checkpointed(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    now = both.select(F.col("a").alias("node")).distinct().withColumn("centrality", F.lit(1.0))
+    for _ in range(rounds):
+        # a node keeps its own share, so that graphs of two sides settle too
+        got = both.join(now, both["b"] == now["node"]).groupBy(F.col("a").alias("node")).agg(F.sum("centrality").alias("got"))
+        raw = checkpointed(now.join(got, "node").select("node", (F.col("centrality") + F.col("got")).alias("centrality")))
+        length = raw.agg(F.sqrt(F.sum(F.col("centrality") * F.col("centrality"))).alias("length"))
+        now = checkpointed(raw.join(F.broadcast(length)).select("node", (F.col("centrality") / F.col("length")).alias("centrality")))
+    return now
+
+
+def power_law(degrees_: DataFrame, degree: str = "degree", least: int = 1) -> DataFrame:
+    """One row: nodes of at least the least degree, and the exponent that fits their degrees best (maximum likelihood, whole numbers)."""
+    made = degrees_.where(F.col(degree) >= least).agg(F.count("*").alias("nodes"), F.sum(F.log(F.col(degree) / (least - 0.5))).alias("s"))
+    return made.select("nodes", F.when(F.col("s") > 0, 1 + F.col("nodes") / F.col("s")).alias("gamma"))
