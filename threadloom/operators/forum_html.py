@@ -5,19 +5,26 @@ A page is parsed once, into one row of nested columns; the tables are explosions
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..functions import privacy, urls
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-WALL = re.compile(r"you must be (?:logged|registered)|log ?in (?:to|or) (?:view|register|continue)|please log ?in", re.I)
+#: What a page says that shows its posts to members only.
+WALL = re.compile(r"you must log in or register|log in to view|register(?:ed)? to (?:see|view) all posts|you do not have permission to view this page|you must be logged in", re.I)
+#: Marks of a member's and of a guest's page.
+MEMBER, GUEST = ("p-navgroup--member", "p-navgroup-link--user"), ("p-navgroup--guest", "p-navgroup-link--logIn", "p-navgroup-link--register")
 
 
 class Node:
@@ -106,11 +113,55 @@ def body_text(body: Node | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text.replace("\xa0", " "))).strip()
 
 
+def epoch_of(iso: str) -> int | None:
+    """Seconds since 1970 of an ISO time (UTC where it names no offset); null for none, and for 0."""
+    try:
+        when = datetime.fromisoformat(iso.strip())
+    except ValueError:
+        return None
+    return math.floor((when if when.tzinfo else when.replace(tzinfo=timezone.utc)).timestamp()) or None
+
+
 def time_of(node: Node | None) -> dict | None:
+    """A time element's ISO text, its seconds (as recorded, else by the text) and its title or text."""
     if node is None:
         return None
-    epoch = node.get("data-time")
-    return {"iso": node.get("datetime") or None, "epoch": int(epoch) if epoch.lstrip("-").isdigit() else None, "text": node.get("title") or node.text() or None}
+    epoch, iso = node.get("data-time").strip(), node.get("datetime")
+    seconds = int(m[0]) if (m := re.match(r"[+-]?\d+", epoch)) else None
+    return {"iso": iso or None, "epoch": seconds if epoch else epoch_of(iso), "text": node.get("title") or node.text() or None}
+
+
+def logged_in(root: Node) -> bool:
+    """Whether a page is a member's: by its navigation, else by its links, else by the document's class."""
+    links = [n.get("href") for n in root.all(lambda n: n.tag == "a")]
+    if root.one(lambda n: n.has(*MEMBER)) or any("/logout/" in x or x == "/account/" for x in links):
+        return True
+    if root.one(lambda n: n.has(*GUEST)) or any("/login/" in x for x in links):
+        return False
+    top = root.one(lambda n: n.tag == "html")
+    return top is not None and top.has("is-logged-in")
+
+
+def login_wall(root: Node) -> bool:
+    """Whether a page asks for a login and shows no post."""
+    shown = root.one(lambda n: n.has("message--post", "message-body") or (n.tag == "article" and n.has("message")))
+    return bool(WALL.search(root.text())) and shown is None
+
+
+def forum(node: Node, base: str) -> dict | None:
+    """A board's node with its counts and the forums under it; null for one without a forum's link."""
+    places = [t for t in node.all(css("node-title")) for t in t.all(lambda n: n.tag == "a")]
+    link = next(iter(places), None) or node.one(lambda n: n.tag == "a" and "/forums/" in n.get("href"))
+    if link is None or "/forums/" not in (url := absolute(link.get("href"), base)):
+        return None
+    stats = [dd.text() for box in node.all(lambda n: n.has("node-statsMeta", "node-stats", "pairs")) for dd in box.all(lambda n: n.tag == "dd")]
+    under = [a for box in node.all(lambda n: n.has("node-subNodesFlat", "subNodeFlatList")) for a in box.all(lambda n: n.tag == "a")]
+    sub = [{"id": id_of(u), "title": a.text(), "url": u} for a in under if "/forums/" in (u := absolute(a.get("href"), base))]
+    told = node.one(css("node-description"))
+    kind = "category" if node.has("node--category") else "forum"
+    count = lambda i: number(stats[i]) if i < len(stats) else None
+    about = {"description": told.text() if told else None, "threads_count": count(0), "messages_count": count(1), "sub_forums": sub}
+    return {"type": kind, "id": id_of(url) or node.get("data-node-id") or None, "url": url, "title": link.text()} | about
 
 
 def quote(node: Node) -> dict:
@@ -123,12 +174,24 @@ def quote(node: Node) -> dict:
     return {"author": author, "source_post": post[1] if post else None, "text": (inner or node).text()}
 
 
+def resource_class(url: str, label: str) -> str | None:
+    """The class of a link, by the same rules as the column function."""
+    path, text = re.split(r"[?#]", url, maxsplit=1)[0], f"{url} {label}".lower()
+    said = lambda words: re.search(urls.bounded(words), text)
+    ends = lambda words: re.search(rf"\.(?:{'|'.join(words)})$", path)
+    tests = {"pdf": ends(["pdf"]) or said(["pdf"]), "document": ends(urls.DOCUMENT), "ebook": said(urls.EBOOK_WORDS) or ends(urls.EBOOK), "archive": ends(urls.ARCHIVE), "download": said(urls.DOWNLOAD_WORDS)}
+    return next((k for k, found in tests.items() if found), None)
+
+
 def links_of(root: Node, base: str) -> list[dict]:
-    out = []
+    """Links and areas with absolute addresses, whether they leave the base's host, and their class; scripts, mail and telephones are left out."""
+    out, home = [], urlsplit(base).hostname
     for a in root.all(lambda n: n.tag in ("a", "area") and "href" in n.attrs):
         href = a.get("href")
         if href and not re.match(r"(?:javascript|mailto|tel):", href, re.I):
-            out.append({"url": absolute(href, base), "text": a.text() or None, "title": a.get("title") or None, "rel": a.get("rel") or None, "download": a.get("download") or None})
+            url = absolute(href, base)
+            about = {"text": a.text() or None, "title": a.get("title") or None, "rel": a.get("rel") or None, "download": a.get("download") or None}
+            out.append({"url": url} | about | {"external": host_of(url) != home, "resource_type": resource_class(url, a.text())})
     return out
 
 
@@ -139,6 +202,13 @@ def absolute(href: str, base: str) -> str:
         return href
 
 
+def host_of(url: str) -> str | None:
+    try:
+        return urlsplit(url).hostname
+    except ValueError:
+        return None
+
+
 def post(node: Node, base: str) -> dict:
     place = re.search(r"post-(\d+)", node.get("data-content")) or re.search(r"post-(\d+)", node.get("id"))
     name = node.one(css("username"))
@@ -184,23 +254,35 @@ def navigation(root: Node, base: str) -> dict:
 def page(html: str | None, base: str | None) -> dict:
     root, base = tree(html or ""), base or ""
     found = [post(n, base) for n in root.all(lambda n: n.has("message--post") or (n.tag == "article" and n.has("message")))]
-    nodes = [(n, n.one(lambda x: x.tag == "a" and "/forums/" in x.get("href"))) for n in root.all(css("node"))]
     title = root.one(css("p-title-value"), lambda n: n.tag == "h1")
     return {
-        "title": title.text() if title else None, "login_wall": bool(WALL.search(root.text())) and root.one(css("bbWrapper")) is None, "navigation": navigation(root, base), "posts": found,
-        "forums": [{"id": id_of(absolute(a.get("href"), base)), "url": absolute(a.get("href"), base), "title": a.text()} for _, a in nodes if a is not None],
-        "threads": [t for n in root.all(css("structItem")) if (t := thread_row(n, base))], "links": links_of(root, base),
-    }
-
-
-LINK = "struct<url:string,text:string,title:string,rel:string,download:string>"
-POST = f"struct<id:string,author:string,author_id:string,post_number:bigint,posted_at:struct<iso:string,epoch:bigint,text:string>,edited:boolean,body_text:string,quotes:array<struct<author:string,source_post:string,text:string>>,attachments:array<struct<name:string,url:string>>,links:array<{LINK}>,reactions_count:bigint,deleted:boolean,ignored:boolean>"
-PAGE = f"title string, login_wall boolean, navigation struct<current:bigint,last:bigint,next:string>, posts array<{POST}>, forums array<struct<id:string,url:string,title:string>>, threads array<struct<id:string,url:string,title:string,author:string,reply_count:bigint,view_count:bigint,sticky:boolean,locked:boolean,redirect:boolean>>, links array<{LINK}>"
+        "title": title.text() if title else None,
+        "logged_in": logged_in(root),
+        "login_wall": login_wall(root),
+        "navigation": navigation(root, base),
+        "posts": found,
+        "forums": [x for n in root.all(css("node")) if (x := forum(n, base))],
+        "threads": [t for n in root.all(css("structItem")) if (t := thread_row(n, base))],
+        "links": links_of(root, base),
+    }
+
+
+LINK = "struct<url:string,text:string,title:string,rel:string,download:string,external:boolean,resource_type:string>"
+QUOTE = "struct<author:string,source_post:string,text:string>"
+TIME = "struct<iso:string,epoch:bigint,text:string>"
+POST = (
+    f"struct<id:string,author:string,author_id:string,post_number:bigint,posted_at:{TIME},edited:boolean,body_text:string,quotes:array<{QUOTE}>,"
+    f"attachments:array<struct<name:string,url:string>>,links:array<{LINK}>,reactions_count:bigint,deleted:boolean,ignored:boolean>"
+)
+FORUM = "struct<type:string,id:string,url:string,title:string,description:string,threads_count:bigint,messages_count:bigint,sub_forums:array<struct<id:string,title:string,url:string>>>"
+THREAD = "struct<id:string,url:string,title:string,author:string,reply_count:bigint,view_count:bigint,sticky:boolean,locked:boolean,redirect:boolean>"
+NAVIGATION = "struct<current:bigint,last:bigint,next:string>"
+PAGE = f"title string, logged_in boolean, login_wall boolean, navigation {NAVIGATION}, posts array<{POST}>, forums array<{FORUM}>, threads array<{THREAD}>, links array<{LINK}>"
 
 
 def parsed(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """url and a page's columns. Null and broken pages have empty ones."""
-    kinds = ["title", "login_wall", "navigation", "posts", "forums", "threads", "links"]
+    kinds = ["title", "logged_in", "login_wall", "navigation", "posts", "forums", "threads", "links"]
 
     schema = to_arrow(PAGE)
 
@@ -225,3 +307,22 @@ def posts(parsed_pages: DataFrame) -> DataFrame:
 def exploded(parsed_pages: DataFrame, kind: str) -> DataFrame:
     """forums, threads or links, a row each, with their page's URL."""
     return parsed_pages.select(F.col("url").alias("source_url"), F.explode(kind).alias("x")).select("source_url", "x.*")
+
+
+def pseudonymous(posts_: DataFrame, salt: str = "") -> DataFrame:
+    """posts as they may leave the restricted layer: authors, their ids and the authors of quotes as short hashes."""
+    hashed = lambda c: privacy.short_hash(c, salt)
+    quotes = F.transform("quotes", lambda q: q.withField("author", hashed(q["author"])))
+    return posts_.withColumns({"author": hashed(F.col("author")), "author_id": hashed(F.col("author_id")), "quotes": quotes})
+
+
+def threads_in_pages(posts_: DataFrame, most: int) -> DataFrame:
+    """A row per thread: thread_id and its posts over all its pages, by page and place; the pages after the one that reaches `most` posts do not count.
+
+    posts_: thread_id, page, place and post. A thread's posts are one row, which holds its pages until the cap.
+    """
+    sizes = posts_.groupBy("thread_id", "page").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("thread_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    kept = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).select("thread_id", "page")
+    ordered = F.array_sort(F.collect_list(F.struct("page", "place", "post")))
+    return posts_.join(kept, ["thread_id", "page"]).groupBy("thread_id").agg(F.transform(ordered, lambda x: x["post"]).alias("posts"))
