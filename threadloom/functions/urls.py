@@ -14,16 +14,35 @@ ARCHIVE = "zip rar 7z tar gz iso".split()
 DOWNLOAD_WORDS = "download attachment file upload".split()
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its `.` and `..` segments resolved; a path without any passes as it is."""
+    empty = F.array().cast("array<string>")
+
+    def step(kept: Column, part: Column) -> Column:
+        shorter = F.when(F.size(kept) > 1, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(kept)
+        return F.when(part == ".", kept).when(part == "..", shorter).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), empty, step)
+    # a path that ends in dots names a folder
+    ends = F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), F.concat(F.array_join(parts, "/"), ends)).otherwise(path)
+
+
 def canonical(url: Column) -> Column:
-    """Without fragment, session cursors (/unread, /post-N at the end) and tracking keys, with a slash at the end of the path and a lower-case host; '' for what is no absolute URL."""
+    """Without fragment, session cursors (/unread, /post-N at the end) and tracking keys, with a slash at the end of the path and a lower-case host; '' for what is no absolute URL.
+
+    The scheme's own port goes, and dot segments are resolved. Percent signs and letters beyond ASCII stay as they are.
+    """
     url = F.regexp_replace(F.trim(url), r"#.*$", "")
     head = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
+    head = F.regexp_replace(F.regexp_replace(head, r"^(https://.*):443$", "$1"), r"^(http://.*):80$", "$1")
+    path = without_dots(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1))
     query = F.regexp_extract(url, r"^[^?]*\?(.*)$", 1)
     path = F.regexp_replace(F.regexp_replace(path, r"(?i)/unread/?$", "/"), r"(?i)/post-[0-9]+/?$", "/")
     path = F.when(path.endswith("/"), path).otherwise(F.concat(path, F.lit("/")))
     kept = F.array_join(F.filter(F.split(query, "&"), lambda x: ~x.rlike(TRACKING) & (x != "")), "&")
-    return F.when(F.coalesce(head, F.lit("")) == "", "").otherwise(F.concat(head, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
+    whole = F.concat(head, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    return F.when(F.coalesce(head, F.lit("")) == "", "").otherwise(whole)
 
 
 def authority(url: Column) -> Column:

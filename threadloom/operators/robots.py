@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import robots_regex
+from ..storage import stored
 
 #: Fixed value: what announces a reservation of text and data mining.
 RESERVATION = r"(?i)2019/790|article\s*4|text.and.data.mining|tdm|content-signal"
@@ -37,7 +38,18 @@ def summary(files: DataFrame) -> DataFrame:
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url, path) with allowed: unless the longest disallow pattern that matches is longer than the longest allow pattern. rules (kind, pattern) are a site's few, and go into each row as one array."""
-    held = rules.agg(F.collect_list(F.struct("kind", F.length("pattern").alias("n"), robots_regex(F.col("pattern")).alias("regex"))).alias("rules"))
-    longest = lambda kind: F.coalesce(F.array_max(F.transform(F.filter("rules", lambda r: (r["kind"] == kind) & F.rlike("path", r["regex"])), lambda r: r["n"])), F.lit(-1))
-    return urls.join(F.broadcast(held)).withColumn("allowed", longest("disallow") <= longest("allow")).drop("rules")
+    """urls (site, path) with allowed: unless the longest disallow pattern that matches is longer than the longest allow pattern of the site.
+
+    The path is URL-decoded first; a broken escape stays as it is. rules (site, kind, pattern) are gathered by site, each of which has
+    a few; a site without rules allows all. A site of many pages is a skewed join at worst, as the rules are written first.
+    """
+    pattern = F.struct("kind", F.length("pattern").alias("n"), robots_regex(F.col("pattern")).alias("regex"))
+    held = stored(rules.groupBy("site").agg(F.collect_list(pattern).alias("rules")), "rules")
+    path = F.coalesce(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.col("path"))
+
+    def longest(kind: str) -> Column:
+        hits = F.filter("rules", lambda r: (r["kind"] == kind) & F.rlike("__path", r["regex"]))
+        return F.coalesce(F.array_max(F.transform(hits, lambda r: r["n"])), F.lit(-1))
+
+    joined = urls.withColumn("__path", path).join(held, "site", "left")
+    return joined.withColumn("allowed", F.coalesce(longest("disallow") <= longest("allow"), F.lit(True))).select(*urls.columns, "allowed")
