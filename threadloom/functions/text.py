@@ -41,6 +41,11 @@ def words(text: Column) -> Column:
     return found(F.lower(text), WORD)
 
 
+def word_count(text: Column) -> Column:
+    """The number of words, without a list of them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def lexicon_hits(content: Column, lexicon: list[str]) -> Column:
     return F.size(F.filter(content, lambda t: t.isin(lexicon))).cast("long")
 

@@ -7,10 +7,45 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Marker phrases of the content, discourse and knowledge classes; each class counts its phrases.
-CONTENT_TYPES = {"experience": "i felt|i saw|i experienced|my experience", "instruction": "first|then|finally|step", "question": "how do|what is|has anyone|can someone", "resource": "pdf|book|link|download", "debate": "i disagree|actually|however", "community": "welcome|thank you|thanks|introduce"}
-DISCOURSE = {"narrative": "when i|then i|suddenly", "didactic": "you should|you must|make sure", "argument": "because|therefore|evidence", "social": "thanks|lol|welcome", "devotional": "praise|blessed|offering"}
-KNOWLEDGE = {"novice": "new to|beginner|just started", "practitioner": "in my practice|i usually|years of", "scholar": "according to|source|manuscript"}
+# The classes of the study's framework, and the phrases that it names for modes and levels. The phrases of the
+# content types, of `syncretic`, of the entity types and of the senses are this library's own.
+CONTENT_TYPES = {
+    "question": "how do|how can|what is|why does|is it possible",
+    "tutorial": "step by step|here's how|first|then|finally",
+    "experience_report": "last night i|i experienced|i contacted|happened to me",
+    "debate": "i disagree|versus|vs|on the contrary|however",
+    "book_resource": "read|book|edition|recommend",
+    "request": "does anyone have|looking for|can someone send|please share",
+}
+DISCOURSE = {
+    "instructional": "first|then|next",
+    "testimonial": "i felt|i saw|it seemed",
+    "skeptical": "i doubt|has anyone proven|what if",
+    "devotional": "praise|thank|honor",
+    "syncretic": "i mix|i combine|blended with|together with",
+}
+KNOWLEDGE = {"novice": "new to|beginner", "intermediate": "i've been practicing|i have been practicing", "expert": "in the tradition of|according to|historically"}
+ENTITIES = {
+    "demonic": "demon demons goetic asmodeus paimon lucifer",
+    "angelic": "angel angels archangel archangels seraphim cherubim",
+    "deity": "god gods goddess goddesses hekate odin",
+    "elemental": "elemental elementals gnome sylph salamander undine",
+    "planetary": "saturn jupiter mars venus mercury sun moon",
+    "ancestral": "ancestor ancestors lineage forebears",
+    "abstract": "egregore egregores servitor servitors thoughtform thoughtforms",
+}
+EMOTIONS = {"awe": "awe wonder sublime", "fear": "fear afraid terror dread", "joy": "joy happy bliss", "anger": "anger angry rage", "doubt": "doubt unsure sceptical"}
+SENSES = {
+    "sight": "see saw light dark colour bright shadow glow",
+    "hearing": "hear heard sound voice whisper silence",
+    "touch": "touch warm cold tingling pressure",
+    "smell": "smell scent incense smoke",
+    "taste": "taste bitter sweet salt",
+}
+#: Imperatives that begin a sentence of instructions.
+IMPERATIVES = "light draw take place stand sit say burn hold close open breathe visualise visualize mix add pour".split()
+GRATITUDE = "thank you|thanks|grateful|appreciate"
+CHALLENGE = {"evidence": "source|proof|evidence|citation", "doctrine": "that is wrong|not how|incorrect", "safety": "dangerous|be careful|do not try"}
 CITATION = r"\b(?:19|20)[0-9]{2}\b|\bpp?\.\s?[0-9]+|\bet al\b|\bibid\b"
 
 
@@ -39,27 +74,42 @@ def ttr(tokens: Column) -> Column:
 
 
 def mtld_forward(tokens: Column, cut: float = 0.72) -> Column:
-    """Mean length of runs whose type-token ratio stays above the cut, forwards; the last run counts in part. One pass over the tokens of a row."""
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"), F.lit(0.0).alias("factors"))
-
-    def step(s: Column, t: Column) -> Column:
-        seen = F.array_union(s["seen"], F.array(t))
+    """Mean length of runs whose type-token ratio stays above the cut, forwards; the last run counts in part.
+
+    One pass over the tokens of a row. A token is new to its run if it last stood before the run began, so its last place is
+    all that has to be known of it: places come from one sort of the row's tokens, not from a growing set.
+    """
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    by_term = F.array_sort(placed)
+    # the place where the same term stood before, -1 for none, back in the order of places
+    before = F.transform(
+        by_term,
+        lambda x, k: F.struct(x["i"].alias("i"), F.when((k > 0) & (F.get(by_term, k - 1)["t"] == x["t"]), F.get(by_term, k - 1)["i"]).otherwise(-1).alias("last")),
+    )
+    start = F.struct(F.lit(0).alias("begun"), F.lit(0).alias("types"), F.lit(0).alias("n"), F.lit(0.0).alias("factors"))
+
+    def step(s: Column, x: Column) -> Column:
+        types = s["types"] + F.when(x["last"] < s["begun"], 1).otherwise(0)
         n = s["n"] + 1
-        full = F.size(seen) / n <= cut
-        return F.struct(F.when(full, F.array().cast("array<string>")).otherwise(seen).alias("seen"), F.when(full, 0).otherwise(n).alias("n"), (s["factors"] + F.when(full, 1.0).otherwise(0.0)).alias("factors"))
+        full = types / n <= cut
+        return F.struct(
+            F.when(full, x["i"] + 1).otherwise(s["begun"]).alias("begun"),
+            F.when(full, 0).otherwise(types).alias("types"),
+            F.when(full, 0).otherwise(n).alias("n"),
+            (s["factors"] + F.when(full, 1.0).otherwise(0.0)).alias("factors"),
+        )
 
     def finish(s: Column) -> Column:
-        part = F.when(s["n"] > 0, (1 - F.size(s["seen"]) / s["n"]) / (1 - cut)).otherwise(0.0)
-        return s["factors"] + part
+        return s["factors"] + F.when(s["n"] > 0, (1 - s["types"] / s["n"]) / (1 - cut)).otherwise(0.0)
 
-    factors = F.aggregate(tokens, start, step, finish)
+    factors = F.aggregate(F.array_sort(before), start, step, finish)
     return F.when(factors > 0, F.size(tokens) / factors).otherwise(F.size(tokens).cast("double"))
 
 
 def ari(text: Column) -> Column:
     """Automated readability index from letters, words and sentences; null without words."""
     chars = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]"))
-    n = F.size(T.words(text))
+    n = T.word_count(text)
     sentences = F.greatest(T.sentence_count(text), F.lit(1))
     return F.when(n > 0, 4.71 * chars / n + 0.5 * n / sentences - 21.43)
 
@@ -69,3 +119,51 @@ def register_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     count = lambda p: F.regexp_count(low, F.lit(p)).cast("long")
     return docs.select("*", count(r"\b(?:first|next|then|finally|step [0-9]+)\b").alias("step_markers"), count(r"(?m)^\s*[0-9]+[.)]").alias("numbered_lines"), count(r"\b(?:you|your|yours)\b").alias("second_person"), count(CITATION).alias("citations"))
+
+
+def cleaned(text: Column) -> Column:
+    """Text without mail addresses and telephone numbers, URLs and Markdown marks; case stays, blanks are normalised."""
+    plain = F.regexp_replace(T.without_personal_data(F.coalesce(text, F.lit(""))), r"(?i)\b(?:https?://|www\.)[^\x20\x09-\x0D]+", " ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[*`~>#]+", " ")
+    return F.trim(F.regexp_replace(plain, r"[\x20\x09-\x0D]+", " "))
+
+
+def study_tokens(text: Column, shortest: int = 2, longest: int = 25) -> Column:
+    """Terms of the cleaned text without stop words, of so many letters."""
+    return F.filter(T.terms(cleaned(text)), lambda t: F.length(t).between(shortest, longest) & ~t.isin(T.STOP_WORDS))
+
+
+def lexicon_counts(tokens: Column, lexicons: dict[str, str]) -> Column:
+    """A struct with the number of tokens of each lexicon (words with blanks between)."""
+
+    def hits(words: list[str]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(words))).cast("long")
+
+    return F.struct(*(hits(words.split()).alias(k) for k, words in lexicons.items()))
+
+
+def imperatives(text: Column) -> Column:
+    """Sentences that begin with an imperative."""
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?:^|[.!?]\s+)(?:{'|'.join(IMPERATIVES)})(?![a-z])")).cast("long")
+
+
+def steps_similarity(a: Column, b: Column) -> Column:
+    """The longest common subsequence of two sequences, by the length of the longer one; null where both are empty.
+
+    A row of the table of lengths is carried over the first sequence, so memory is that of the second.
+    """
+    width = F.size(b)
+    zero = F.transform(b, lambda _: F.lit(0))
+
+    def row(before: Column, x: Column) -> Column:
+        def cell(made: Column, y: Column) -> Column:
+            j = F.size(made)
+            left = F.coalesce(F.get(made, j - 1), F.lit(0))
+            corner = F.coalesce(F.get(before, j - 1), F.lit(0))
+            return F.concat(made, F.array(F.when(x == y, corner + 1).otherwise(F.greatest(left, F.get(before, j)))))
+
+        return F.aggregate(b, F.array().cast("array<int>"), cell)
+
+    common = F.coalesce(F.get(F.aggregate(a, zero, row), width - 1), F.lit(0))
+    longer = F.greatest(F.size(a), width)
+    return F.when(longer > 0, common / longer)
