@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import stored
 
 
 def vectors(docs: DataFrame, text_col: str = "text", size: int = 5000, least_docs: int = 2):
-    """docs with terms and their count vector, and the model that made it; the vocabulary is bounded."""
+    """docs without the text but with its count vector, written once, as later fits read it many times, and the model that made it; the vocabulary is bounded."""
     rows = docs.select("*", T.content_terms(F.col(text_col)).alias("terms")).where(F.size("terms") > 0)
+    rows = stored(rows.drop(text_col) if text_col != "terms" else rows, "terms")
     model = CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=size, minDF=least_docs).fit(rows)
-    return model.transform(rows), model
+    return stored(model.transform(rows).drop("terms"), "counts"), model
 
 
 def lda_topics(docs: DataFrame, k: int = 10, rounds: int = 10, top: int = 10, seed: int = 1, size: int = 5000) -> DataFrame:
@@ -28,7 +30,7 @@ def lda_topics(docs: DataFrame, k: int = 10, rounds: int = 10, top: int = 10, se
 def kmeans_topics(docs: DataFrame, id_col: str, k: int = 20, seed: int = 1, size: int = 2000) -> DataFrame:
     """id and cluster of each document with terms, by TF-IDF."""
     rows, _ = vectors(docs, size=size)
-    scored = IDF(inputCol="counts", outputCol="features").fit(rows).transform(rows)
+    scored = stored(IDF(inputCol="counts", outputCol="features").fit(rows).transform(rows).select(id_col, "features"), "tfidf")
     return KMeans(k=k, seed=seed, maxIter=10).fit(scored).transform(scored).select(id_col, F.col("prediction").alias("cluster"))
 
 
