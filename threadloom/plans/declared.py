@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, lexical, network, similarity, stats, topics
+from ..storage import stored
 from .catalogue import CONTENT_SQL, HEDGES, TERMS_SQL, read, register
 
 
 def phrase_sql(pattern: str) -> str:
+    pattern = pattern.replace("'", "''")
     return f"len(regexp_extract_all(lower(coalesce(text, '')), '\\b(?:{pattern})\\b'))"
 
 
+def strongest_sql(classes: dict[str, str]) -> str:
+    names = list(classes)
+    return f"CASE WHEN greatest({', '.join(names)}) = 0 THEN 'other' " + " ".join(f"WHEN {k} = greatest({', '.join(names)}) THEN '{k}'" for k in names) + " END"
+
+
+COUNTED_MODES_SQL = ", ".join(f"{phrase_sql(p)} AS {k}" for k, p in {**lexical.DISCOURSE, **lexical.KNOWLEDGE}.items())
+
+
 @register("SELECT doc_id, " + ", ".join(f"{phrase_sql(p)} AS {k}" for k, p in lexical.CONTENT_TYPES.items()) + " FROM documents")
 def content_type_markers(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", lexical.markers(F.col("text"), lexical.CONTENT_TYPES).alias("m")).select("doc_id", "m.*")
 
 
-@register()
+@register(f"SELECT {strongest_sql(lexical.DISCOURSE)} AS mode, {strongest_sql(lexical.KNOWLEDGE)} AS level, count(*) AS n FROM (SELECT {COUNTED_MODES_SQL} FROM conversations) GROUP BY ALL")
 def discourse_modes(spark: SparkSession, d: str) -> DataFrame:
     """Turns by their strongest discourse mode and knowledge level."""
     found = read(spark, d, "conversations").select(lexical.markers(F.col("text"), lexical.DISCOURSE).alias("m"), lexical.markers(F.col("text"), lexical.KNOWLEDGE).alias("k"))
@@ -150,16 +162,57 @@ def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
     return topics.kmeans_topics(read(spark, d, "documents"), "doc_id", k=4).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def classifier_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with features (length, diversity, sentences, bars), their quality where it is known, and a fold by the hash of the id; written once, as every fit reads them."""
+    text = F.col("text")
+    rows = read(spark, d, "documents").select(
+        "doc_id",
+        F.log1p(F.length(F.coalesce(text, F.lit("")))).alias("length"),
+        F.coalesce(lexical.ttr(T.terms(text)), F.lit(0.0)).alias("ttr"),
+        T.sentence_count(text).cast("double").alias("sentences"),
+        T.char_count(text, "|").cast("double").alias("bars"),
+    )
+    labels = read(spark, d, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("label"))
+    made = VectorAssembler(inputCols=["length", "ttr", "sentences", "bars"], outputCol="features").transform(rows).select("doc_id", "features")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).alias("fold")
+    return stored(made.join(labels, "doc_id", "left").select("doc_id", "features", "label", fold), "features")
+
+
+#: Folds of the cross-validation.
+FOLDS = 5
+
+
+def out_of_fold(rows: DataFrame) -> DataFrame:
+    """Labelled rows with the prediction of a logistic regression that was learnt from the other folds."""
+    labelled = rows.where("label IS NOT NULL")
+    fits = (LogisticRegression(maxIter=20).fit(labelled.where(F.col("fold") != k)).transform(labelled.where(F.col("fold") == k)) for k in range(FOLDS))
+    return reduce(DataFrame.unionByName, fits)
+
+
 @register()
 def quality_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """Predicted quality of each document by logistic regression over length, diversity and punctuation, learnt from the labelled ones."""
-    text = F.col("text")
-    terms = T.terms(text)
-    rows = read(spark, d, "documents").select("doc_id", F.log1p(F.length(F.coalesce(text, F.lit("")))).alias("length"), F.coalesce(lexical.ttr(terms), F.lit(0.0)).alias("ttr"), T.sentence_count(text).cast("double").alias("sentences"), T.char_count(text, "|").cast("double").alias("bars"))
-    made = VectorAssembler(inputCols=["length", "ttr", "sentences", "bars"], outputCol="features").transform(rows)
-    labelled = made.join(read(spark, d, "labels").where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    model = LogisticRegression(maxIter=20).fit(labelled)
-    return model.transform(made).select("doc_id", F.col("prediction").cast("int").alias("quality"), vector_to_array("probability")[1].alias("score"))
+    """Predicted quality of each document: of labelled ones by a model that did not see them, of the others by one of all labels."""
+    rows = classifier_rows(spark, d)
+    whole = LogisticRegression(maxIter=20).fit(rows.where("label IS NOT NULL"))
+    made = out_of_fold(rows).unionByName(whole.transform(rows.where("label IS NULL")))
+    return made.select("doc_id", F.col("prediction").cast("int").alias("quality"), vector_to_array("probability")[1].alias("score"))
+
+
+@register()
+def classifier_scores(spark: SparkSession, d: str) -> DataFrame:
+    """fold, n, precision, recall, F1 and AUC of each fold's predictions. AUC is the rank sum of the positive ones."""
+    made = out_of_fold(classifier_rows(spark, d)).select("fold", "label", "prediction", vector_to_array("probability")[1].alias("score"))
+    made = stored(made, "predictions")
+    hit = F.count_if((F.col("label") == 1) & (F.col("prediction") == 1))
+    counts = made.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("prediction") == 1).alias("found"), hit.alias("hits"))
+    scores = made.groupBy("fold", "score").agg(F.count("*").alias("c"), F.count_if(F.col("label") == 1).alias("p"))
+    upto = F.sum("c").over(Window.partitionBy("fold").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = scores.withColumn("rank", upto - (F.col("c") - 1) / 2).groupBy("fold").agg(F.sum(F.col("p") * F.col("rank")).alias("r"))
+    c = F.col
+    auc = F.when((c("positive") > 0) & (c("positive") < c("n")), (c("r") - c("positive") * (c("positive") + 1) / 2) / (c("positive") * (c("n") - c("positive"))))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    f1 = share(2 * c("hits"), c("positive") + c("found"))
+    return counts.join(ranks, "fold").select("fold", "n", share(c("hits"), c("found")).alias("precision"), share(c("hits"), c("positive")).alias("recall"), f1.alias("f1"), auc.alias("auc"))
 
 
 @register("SELECT source, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 6) AS removed_share, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")

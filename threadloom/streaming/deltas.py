@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import shared_folder
@@ -36,6 +36,18 @@ def dashboard(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFr
     return made.select(F.col("w.start").alias("hour"), "events", "error_rate", (F.col("events") < 20).alias("slow"))
 
 
+def alerts(stream: DataFrame, identity: str, short: Column, ts: str = "ts", late: str = "1 hour", least: int = 20, most_errors: float = 0.05) -> DataFrame:
+    """hour, events, the shares of repeated identities, errors and short records, and alerts: slow (fewer than `least` events) and failing (more errors than `most_errors`).
+
+    Identities are counted by a set of an hour's, which a state holds until the watermark passes.
+    """
+    flag = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    hours = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 hour").alias("w"))
+    made = hours.agg(F.count("*").alias("events"), F.size(F.collect_set(identity)).alias("ids"), flag(F.col("event_type") == "error").alias("errors"), flag(short).alias("short"))
+    repeated = 1 - F.col("ids") / F.col("events")
+    return made.select(F.col("w.start").alias("hour"), "events", repeated.alias("repeated"), "errors", "short", (F.col("events") < least).alias("slow"), (F.col("errors") > most_errors).alias("failing"))
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives for the files that are there now, as a table written to the shared folder, each batch once."""
     spark = stream.sparkSession
