@@ -1,3 +1,5 @@
+import datetime
+import itertools
 import json
 import zipfile
 
@@ -5,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from threadloom.operators import aggregate, dedup, forum_html, network, quality, robots, stats
+from threadloom.operators import aggregate, dedup, forum_html, frontier, network, ordered, quality, robots, stats
 from threadloom.sources import archive, sinks
 from threadloom.streaming import deltas
 
@@ -46,17 +48,17 @@ def test_rules(spark):
 
 
 def test_robots(spark):
-    body = "User-agent: x\nDisallow: /all\nUser-agent: *\nDisallow: /private # no\nAllow: /private/public\nCrawl-delay: 2.5\nSitemap: https://x/s.xml\nContent-Signal: ai-input=no, search=yes"
-    files = spark.createDataFrame([("a", body), ("b", "# Article 4 reservation"), ("c", ""), ("d", None), ("e", ":::\nfoo")], "site string, body string")
+    body = "Allow: /early\nuser-agent: crawler9\ndisallow: /shop\nUser-Agent: *\nDISALLOW: /mill/ # dust\nDisallow:\nallow: /mill/wheel\ndisallow: /*?print\nCrawl-Delay: 7\nsitemap: https://m.example/a.xml\nSitemap: https://m.example/b.xml\nContent-signal: AI-Train=No , search = yes"
+    files = spark.createDataFrame([("mill", body), ("told", "User-agent: *\n# see Directive (EU) 2019/790"), ("plain", "User-agent: *\nDisallow: /x"), ("none", None), ("odd", "?: y\nDisallow /z")], "site string, body string")
     rows = {r["site"]: r for r in robots.summary(files).collect()}
-    a = rows["a"]
-    assert (a["disallow"], a["allow"], a["crawl_delay"], a["sitemaps"], a["restricts_ai_tdm"]) == (["/private"], ["/private/public"], 2.5, ["https://x/s.xml"], True)
-    assert a["signals"] == {"ai-input": "no", "search": "yes"}
-    assert (rows["b"]["tdm_reservation"], rows["b"]["restricts_ai_tdm"]) == (True, True)
-    assert not rows["c"]["restricts_ai_tdm"] and not rows["d"]["restricts_ai_tdm"] and rows["e"]["disallow"] == []
-    rules = spark.createDataFrame([("disallow", "/private"), ("allow", "/private/public"), ("disallow", "/*.php"), ("allow", "/tie"), ("disallow", "/tie")], "kind string, pattern string")
-    paths = spark.createDataFrame([("/private/x",), ("/private/public/y",), ("/a.php",), ("/tie",), ("/",)], "path string")
-    assert {r["path"]: r["allowed"] for r in robots.allowed(paths, rules).collect()} == {"/private/x": False, "/private/public/y": True, "/a.php": False, "/tie": True, "/": True}
+    mill = rows["mill"]
+    assert (mill["disallow"], mill["allow"], mill["crawl_delay"]) == (["/mill/", "/*?print"], ["/mill/wheel"], 7.0)
+    assert mill["sitemaps"] == ["https://m.example/a.xml", "https://m.example/b.xml"] and mill["signals"] == {"ai-train": "no", "search": "yes"}
+    assert {s: r["restricts_ai_tdm"] for s, r in rows.items()} == {"mill": True, "told": True, "plain": False, "none": False, "odd": False}
+    rules = [("mill", "disallow", "/mill/"), ("mill", "allow", "/mill/wheel"), ("mill", "disallow", "/*.zip"), ("mill", "allow", "/same"), ("mill", "disallow", "/same"), ("mill", "disallow", "/a b"), ("other", "disallow", "/")]
+    expected = {("mill", "/mill/x"): False, ("mill", "/mill/wheel/3"): True, ("mill", "/q.zip"): False, ("mill", "/same/1"): True, ("mill", "/a%20b"): False, ("mill", "/a+b%"): True, ("other", "/mill/wheel"): False, ("third", "/mill/x"): True}
+    made = robots.allowed(spark.createDataFrame(list(expected), "site string, path string"), spark.createDataFrame(rules, "site string, kind string, pattern string"))
+    assert {(r["site"], r["path"]): r["allowed"] for r in made.collect()} == expected
 
 
 THREAD = """<html><h1 class="p-title-value">T</h1><nav class="pageNav"><ul><li class="pageNav-page"><a href="/threads/a.42/">1</a></li><li class="pageNav-page pageNav-page--current"><a href="/threads/a.42/page-2">2</a></li></ul></nav>
@@ -82,7 +84,19 @@ def test_forum_page_and_walls():
     a, b = page["threads"]
     assert (a["id"], a["reply_count"], a["view_count"], a["sticky"], a["locked"], a["redirect"], b["redirect"]) == ("11", 1200, 3000000, True, True, False, True)
     assert [x["url"] for x in page["links"]] == ["https://b.example/threads/t.11/", "https://b.example/threads/u.12/"]
-    assert forum_html.page("You must be logged in", "")["login_wall"] and not forum_html.page('You must be logged in<div class="bbWrapper">x</div>', "")["login_wall"]
+    wall = lambda html: forum_html.page(html, "")["login_wall"]
+    assert wall("<p>You must be <b>logged in</b></p>") and wall("Registered to view all posts") and wall("you do not have permission to view this page") and not wall("please log in")
+    assert not wall('You must be logged in<div class="message-body">x</div>') and wall('You must be logged in<div class="bbWrapper">x</div>')
+    state = lambda html: forum_html.page(html, "")["logged_in"]
+    assert state('<a href="/x/logout/?t=1">out</a><a href="/login/">in</a>') and state('<html class="a is-logged-in">') and not state('<html class="is-logged-in"><i class="p-navgroup--guest"></i>') and not state("")
+
+
+def test_times_and_links():
+    time = lambda html: forum_html.time_of(forum_html.tree(html).one(lambda n: n.tag == "time"))
+    assert time('<time datetime="2024-03-01T12:00:00+02:00" title="x">y</time>') == {"iso": "2024-03-01T12:00:00+02:00", "epoch": 1709287200, "text": "x"}
+    assert time('<time datetime="1970-01-01T00:00:00Z">y</time>')["epoch"] is None and time('<time data-time="5" datetime="bad">y</time>')["epoch"] == 5 and time("<time>y</time>")["epoch"] is None
+    links = forum_html.page('<a href="/a/Guide.epub">g</a><a href="https://o.example/x" download="f">get the PDF</a><area href="//b.example/n"><a href="TEL:1">t</a>', "https://b.example/")["links"]
+    assert [(x["url"], x["external"], x["resource_type"]) for x in links] == [("https://b.example/a/Guide.epub", False, "ebook"), ("https://o.example/x", True, "pdf"), ("https://b.example/n", False, None)]
 
 
 def test_zip_archives(spark, tmp_path):
@@ -91,11 +105,20 @@ def test_zip_archives(spark, tmp_path):
         z.writestr("README.txt", "x")
         z.writestr("data/posts.jsonl", '{"id":"1"}\n\n{"id":"2"}\n')
     (tmp_path / "b.zip").write_bytes(b"no archive")
-    entries = archive.zip_entries(spark, str(tmp_path / "*.zip"))
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        for name in ("one", "two", "three"):
+            z.writestr(name, name * 9)
+    broken = bytearray((tmp_path / "c.zip").read_bytes())
+    for name in (b"oneone", b"threethree"):
+        broken[broken.index(name)] ^= 1
+    (tmp_path / "c.zip").write_bytes(broken)
+    of = lambda name: archive.zip_entries(archive.containers(spark, str(tmp_path / name)))
+    assert {r["entry"]: r["crc_ok"] for r in of("c.zip").collect()} == {"one": False, "two": True, "three": False}
+    entries = of("[ab].zip")
     assert entries.where("crc_ok").count() == 2 and entries.where("entry IS NULL").count() == 1
-    lines = archive.zip_lines(spark, str(path), "data/posts.jsonl")
+    lines = archive.zip_lines(archive.containers(spark, str(path)), "data/posts.jsonl")
     assert [(r["line_no"], json.loads(r["raw"])["id"]) for r in lines.collect()] == [(1, "1"), (3, "2")]
-    assert archive.zip_lines(spark, str(path), "data/none.jsonl").count() == 0
+    assert archive.zip_lines(archive.containers(spark, str(path)), "data/none.jsonl").count() == 0
     assert "data/links.jsonl" in {r["entry"] for r in archive.missing_entries(entries.where("entry IS NOT NULL")).collect()}
 
 
@@ -141,12 +164,17 @@ def test_sinks(spark, tmp_path):
 
 
 def test_parts(spark):
-    df = spark.range(1000).select("id", F.lit("x" * 50).alias("text"))
+    sizes = [50, 50, 3000, 7900, 10, 4000, 4100, 10] * 40
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "id long, text string")
     made = sinks.split_parts(df, ["id"], 8000)
-    size = made.groupBy("part").agg(F.sum(sinks.line_bytes(df)).alias("b"), F.min("id").alias("a"), F.max("id").alias("z")).orderBy("part").collect()
-    assert len(size) > 5 and max(r["b"] for r in size) <= 8000 and all(x["z"] + 1 == y["a"] for x, y in zip(size, size[1:], strict=False))
+    parts = made.groupBy("part").agg(F.sum(sinks.line_bytes(df)).alias("b"), F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).orderBy("part").collect()
+    assert max(r["b"] for r in parts) <= 8000 and all(x["z"] + 1 == y["a"] for x, y in zip(parts, parts[1:], strict=False)) and sum(r["n"] for r in parts) == len(sizes)
+    again = sinks.split_parts(df.repartition(7), ["id"], 8000)
+    assert made.exceptAll(again).count() == 0
     with pytest.raises(PySparkException):
-        sinks.split_parts(df, ["id"], 60).collect()
+        sinks.split_parts(df, ["id"], 7900).collect()
+    manifest = sinks.part_manifest(made, sinks.line_bytes(df)).collect()
+    assert sum(r["entry_count"] for r in manifest) == len(sizes) == manifest[0]["logical_entry_count"]
     entries = spark.createDataFrame([("a", i, f"e{i}", n) for i, n in enumerate((400, 400, 400, 100))], "archive string, seq int, name string, bytes long")
     assert [r["bin"] for r in sinks.packed(entries, 1100).orderBy("seq").collect()] == [0, 0, 1, 1]
 
@@ -177,3 +205,72 @@ def test_histograms_and_rates(spark):
     assert {r["status"]: r["n"] for r in aggregate.status_histogram(log).collect()} == {"200": 1, "network_error": 1, "current-document": 1}
     assert aggregate.rates(log, error=~F.col("ok")).first()[0] == pytest.approx(1 / 3)
     assert aggregate.rates(log.limit(0), error=~F.col("ok")).first()[0] == 0.0
+
+
+def test_running_sums(spark):
+    rows = [(i, i % 7) for i in range(500)]
+    made = ordered.running(spark.createDataFrame(rows, "k int, v int").repartition(9), ["k"], F.col("v")).orderBy("k").collect()
+    assert [r["upto"] for r in made] == list(itertools.accumulate(v for _, v in rows))
+    assert ordered.running(spark.createDataFrame([], "k int, v int"), ["k"], F.col("v")).count() == 0
+
+
+def test_pairs_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(network, "BLOCK", 4)
+    rows = [("a", i) for i in range(23)] + [("b", 1), ("c", 5), ("c", 9)]
+    made = network.pairs_within(spark.createDataFrame(rows, "k string, v int"), "k", "v").collect()
+    assert sorted(tuple(r) for r in made) == sorted([("a", i, j) for i in range(23) for j in range(i + 1, 23)] + [("c", 5, 9)])
+
+
+def test_components_of_words(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("z", "z")], "source string, target string")
+    assert sorted(tuple(r) for r in network.components(edges).collect()) == [("a", 3, 2), ("x", 2, 1)]
+
+
+def test_frontier(spark):
+    rows = [(1, "https://s.example/a#x", "thread"), (2, "https://s.example/a/", "thread"), (3, "https://o.example/", "thread"), (4, "x", "thread"), (5, "https://s.example/forums/hello.5/", "forum"), (6, "https://s.example/old", "thread"), (7, "https://s.example/no", "thread")]
+    found = spark.createDataFrame(rows, "seq int, url string, kind string")
+    visited = spark.createDataFrame([("https://s.example/old/",), ("https://s.example/old/",)], "url string")
+    made = frontier.decided(found, visited, "https://s.example", ["5"], ~F.col("url").endswith("/no"))
+    assert [r["decision"] for r in made.orderBy("seq").collect()] == ["queued", "queued_before", "other_origin", "no_url", "excluded_forum", "visited", "robots"]
+    status = spark.createDataFrame([(s,) for s in (200, 403, 404, 408, 425, 429, 499, 500, None)], "s int")
+    assert [r[0] for r in status.select(frontier.retryable(F.col("s"))).collect()] == [False, True, False, True, True, True, False, True, False]
+    assert archive.listing_request("top", "week") == {"sort": "top", "limit": 100, "t": "week"} and "t" not in archive.listing_request("new", "week", 5)
+    for bad in (("best", None), ("top", "decade")):
+        with pytest.raises(ValueError):
+            archive.listing_request(*bad)
+
+
+def test_listing_defaults_and_nulls(spark):
+    raw = '{"data":{"children":[{"kind":"t3","data":{"id":"q","author":null,"title":null}},{"kind":"t1","data":{"id":"c"}}]}}'
+    assert [(r["id"], r["author"], r["title"], r["score"]) for r in archive.listing_posts(spark.createDataFrame([(raw,), (None,)], "raw string")).collect()] == [("q", None, None, 0)]
+
+
+def test_missing_files(spark, tmp_path):
+    assert archive.lines(spark, str(tmp_path / "no.jsonl")).count() == 0 and archive.metadata(spark, str(tmp_path / "no.json")) == {}
+    (tmp_path / "m.json").write_text('{"a": [1]}')
+    assert archive.metadata(spark, str(tmp_path / "m.json")) == {"a": [1]}
+    assert archive.settings({"x": {"b": 2}, "y": None}, {"x": {"a": 1}, "y": 3}) == {"x": {"b": 2}, "y": 3}
+    empty = spark.createDataFrame([], "id string")
+    assert archive.index_warnings(empty, "posts").count() == 1 and archive.index_warnings(spark.createDataFrame([("1",)], "id string"), "posts").count() == 0
+
+
+def test_smoke_of_an_archive(spark):
+    kinds = "kind string, rule string, severity string, n long"
+    counts = spark.createDataFrame([("posts", 0), ("threads", 2)], "kind string, n long")
+    bad = quality.smoke(spark.createDataFrame([("links", "r", "error", 3), ("posts", "w", "warning", 1)], kinds), counts).first()
+    assert (bad["pass"], bad["errors"], bad["warnings"]) == (False, ["links r 3"], ["posts none 0", "posts w 1"])
+    good = quality.smoke(spark.createDataFrame([], kinds), counts.where("n > 0").unionAll(spark.createDataFrame([("posts", 5)], "kind string, n long"))).first()
+    assert (good["pass"], good["errors"], good["warnings"]) == (True, [], [])
+
+
+def test_late_events(spark, tmp_path):
+    """A repeat within the watermark goes, and an hour behind it is closed: what comes for it later does not count. A batch passes until a watermark holds for late rows."""
+    kind = "event_id long, ts timestamp, event_type string, user_id long"
+    when = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    for i, rows in enumerate([[(1, when(0), "x", 1), (1, when(0, 5), "x", 1)], [(2, when(9), "error", 2)], [(4, when(9, 5), "x", 2)], [(1, when(0, 10), "x", 1), (3, when(9, 30), "x", 2)]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e{i}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e*")
+    hours = deltas.drained(deltas.dashboard(stream), mode="append").collect()
+    assert [(r["hour"].hour, r["events"]) for r in hours] == [(0, 2)]
+    kept = deltas.drained(deltas.without_repeats(spark.readStream.schema(kind).parquet(f"{tmp_path}/e[01]"), "event_id", late="1 hour"))
+    assert sorted(r["event_id"] for r in kept.collect()) == [1, 2]
