@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, common, components, htmltext, idfiles, langid, matroska, mixing, neardup, neighbours, registry, simhash, suffixdedup, tokencount, words
+from threadloom.llm import bpe, common, htmltext, idfiles, langid, matroska, mixing, neardup, neighbours, registry, simhash, suffixdedup, tokencount, words
+from threadloom.operators import components
 
 SF = "/root/testdata/sf0.001"
 PATH = common.tokenizer_path("word_bpe_49k.json")

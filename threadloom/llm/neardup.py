@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import checkpointed, free_name, per_worker, released, slices
-from .components import connected
 from .simhash import fingerprint, links, shingle_hashes
 from .suffixdedup import row_id
 

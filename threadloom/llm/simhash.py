@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import checkpointed, slices, table
-from .components import connected
 
 SHINGLE = 3
 SEED = 42
