@@ -326,3 +326,8 @@ def threads_in_pages(posts_: DataFrame, most: int) -> DataFrame:
     kept = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most).select("thread_id", "page")
     ordered = F.array_sort(F.collect_list(F.struct("page", "place", "post")))
     return posts_.join(kept, ["thread_id", "page"]).groupBy("thread_id").agg(F.transform(ordered, lambda x: x["post"]).alias("posts"))
+
+
+def self_test(parsed_pages: DataFrame) -> DataFrame:
+    """url and how many posts, threads, forums and links a page gave: pages that give nothing show a changed theme."""
+    return parsed_pages.select("url", *(F.coalesce(F.size(k), F.lit(0)).alias(k) for k in ("posts", "threads", "forums", "links")), "navigation.last")

@@ -19,6 +19,12 @@ def reply_edges(turns: DataFrame, thread: str, order: str, author: str) -> DataF
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
+def quote_edges(posts: DataFrame) -> DataFrame:
+    """source, target and weight: how often an author quotes another, from posts with quotes (a list with authors). Authors who quote themselves have no edge."""
+    said = posts.where(F.col("author").isNotNull()).select(F.col("author").alias("source"), F.explode("quotes.author").alias("target"))
+    return said.where("target IS NOT NULL AND source <> target").groupBy("source", "target").agg(F.count("*").alias("weight"))
+
+
 def participation_edges(turns: DataFrame, thread: str, author: str) -> DataFrame:
     """source < target and weight: in how many threads two authors both write."""
     once = turns.where(F.col(author).isNotNull()).select(thread, author).distinct()

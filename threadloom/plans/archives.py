@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import privacy, urls
 from ..functions import text as T
-from ..operators import aggregate, dedup, forum_html, frontier, quality, reports, robots
+from ..operators import aggregate, dedup, forum_html, frontier, network, quality, reports, robots
 from ..sources import archive, sinks
 from ..storage import folder
 from .catalogue import page_links, read, register
@@ -145,6 +145,29 @@ def next_fit_bins(spark: SparkSession, d: str) -> DataFrame:
     return sinks.packed(names.select(F.lit("archive").alias("archive"), "seq", "e.name", "e.bytes"), 28_000).select("seq", "name", "bytes", "bin")
 
 
+@register(
+    "WITH c(entry, records) AS (VALUES ('README.txt', 1), "
+    + ", ".join(f"('{x}', 1)" for x in sinks.SNAPSHOT if x.endswith(".json"))
+    + ", ('metadata/requests.jsonl', (SELECT count(*) FROM events)), "
+    + ", ".join(f"('{entry}', {n})" for kind, n in (("forums", "(SELECT count(*) FROM nation)"), ("threads", "(SELECT count(*) FROM pages)"), ("posts", "(SELECT count(*) FROM documents)"), ("links", "(SELECT count(*) FROM labels)"), ("resources", "0")) for entry in (f"data/{kind}.jsonl", f"index/{kind}.csv"))
+    + ", ('data/pages.jsonl', 0), ('index/post_features.csv', (SELECT count(*) FROM documents)), ('data/all.ndjson', (SELECT count(*) FROM nation) + (SELECT count(*) FROM pages) + (SELECT count(*) FROM documents) + (SELECT count(*) FROM labels))) "
+    "SELECT entry, CAST(records AS BIGINT) AS records FROM c"
+)
+def archive_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """A whole archive, written and read back: its 23 entries with their records."""
+    docs, events = read(spark, d, "documents"), read(spark, d, "events")
+    records = {
+        "forums": read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("title")),
+        "threads": read(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), "url"),
+        "posts": docs.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("author"), F.col("text").alias("body_text"), F.col("n_chars").alias("body_text_length")),
+        "links": read(spark, d, "labels").select(F.concat(F.lit("https://b.example/"), F.col("doc_id").cast("string")).alias("link_url")),
+        "requests": events.select(F.col("event_id").alias("seq"), F.col("event_type").alias("status")),
+    }
+    about = reports.readiness(docs)
+    sinks.write_snapshot(to := folder(spark, "snapshot"), records, {"analysis/profile.json": about, "metadata/crawl.json": reports.date_range(events, F.unix_seconds(F.col("ts").cast("timestamp")))}, "an archive")
+    return sinks.snapshot_entries(spark, to)
+
+
 # ---- checkpoints, mixed files, listings, comments
 
 
@@ -250,10 +273,12 @@ def thread_pages(spark: SparkSession, d: str) -> DataFrame:
         F.lit('<article class="message message--post'), F.when(F.col("turn") % 5 == 4, " message--deleted").otherwise(""), F.lit('" data-author="'), F.coalesce("role", F.lit("")),
         F.lit('" data-content="post-'), (F.col("conv_id") * 1000 + F.col("turn")).cast("string"), F.lit('"><time datetime="2024-01-01T00:00:'), F.lpad(n, 2, "0"), F.lit('Z"></time>'),
         F.lit('<ul class="message-attribution-opposite"><li>#'), (F.col("turn") + 1).cast("string"), F.lit('</li></ul><div class="bbWrapper">'), escaped(F.col("text")), F.lit("</div>"),
+        F.coalesce(F.concat(F.lit('<blockquote class="bbCodeBlock--quote" data-quote="'), F.col("before"), F.lit('" data-source="post: '), (F.col("conv_id") * 1000 + F.col("turn") - 1).cast("string"), F.lit('"></blockquote>')), F.lit("")),
         F.lit('<a class="reactionsBar-link">A and '), n, F.lit(' others</a><script>x("</div>")</script></article>'),
     )
     posts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", post.alias("h")))), lambda x: x["h"]), "")
-    made = read(spark, d, "conversations").groupBy("conv_id").agg(posts.alias("posts"), F.count("*").alias("n"))
+    turns = read(spark, d, "conversations").withColumn("before", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")))
+    made = turns.groupBy("conv_id").agg(posts.alias("posts"), F.count("*").alias("n"))
     nav = F.concat(
         F.lit('<nav class="pageNav"><ul><li class="pageNav-page pageNav-page--current"><a href="/threads/t.'), F.col("conv_id").cast("string"), F.lit('/">1</a></li><li class="pageNav-page"><a href="/threads/t.'),
         F.col("conv_id").cast("string"), F.lit("/page-"), F.col("n").cast("string"), F.lit('">'), F.col("n").cast("string"), F.lit("</a></li></ul></nav>"),
@@ -271,6 +296,25 @@ def thread_posts(spark: SparkSession, d: str) -> DataFrame:
     return found.select("thread_id", "id", "author", "post_number", F.col("posted_at.epoch").alias("epoch"), "reactions_count", "deleted", F.sha2("body_text", 256).alias("body"))
 
 
+BEFORE_SQL = "b AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"
+
+
+@register(f"WITH {BEFORE_SQL} SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS id, before AS quoted, CAST(conv_id * 1000 + turn - 1 AS VARCHAR) AS source_post FROM b WHERE before IS NOT NULL")
+def thread_quotes(spark: SparkSession, d: str) -> DataFrame:
+    found = forum_html.posts(forum_html.parsed(thread_pages(spark, d))).select("id", F.explode("quotes").alias("q"))
+    return found.select("id", F.col("q.author").alias("quoted"), "q.source_post")
+
+
+@register(f"WITH {BEFORE_SQL} SELECT role AS source, before AS target, count(*) AS weight FROM b WHERE role <> before GROUP BY ALL")
+def quote_edges(spark: SparkSession, d: str) -> DataFrame:
+    return network.quote_edges(forum_html.posts(forum_html.parsed(thread_pages(spark, d))))
+
+
+@register("SELECT 'https://b.example/threads/t.' || conv_id || '/' AS url, count(*)::INTEGER AS posts, 0 AS threads, 0 AS forums, 2 AS links, count(*) AS last FROM conversations GROUP BY conv_id")
+def page_self_test(spark: SparkSession, d: str) -> DataFrame:
+    return forum_html.self_test(forum_html.parsed(thread_pages(spark, d)))
+
+
 @register(
     "SELECT 'https://b.example/threads/t.' || conv_id || '/' AS url, CAST(1 AS BIGINT) AS current, count(*) AS last, "
     "CASE WHEN count(*) > 1 THEN 'https://b.example/threads/t.' || conv_id || '/page-2' END AS next FROM conversations GROUP BY conv_id"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import aggregate, lexical, network, stats
+from ..operators import aggregate, dedup, lexical, network, stats, topics
 from ..sql import register_views
 from ..streaming import deltas
 from .catalogue import BY_LANG_SQL, COUNTS_SQL, DEGREES_SQL, TERMS_SQL, en_fr, read, register, reply_edges
@@ -129,6 +129,59 @@ def step_similarity(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("conv_id", "turn", lexical.steps_similarity(F.col("before"), F.col("steps")).alias("similarity"))
 
 
+#: Phrases of each stance (this library's own), with words of the invented languages beside them.
+STANCES = {"hedging": "perhaps|maybe|it seems|or", "experience": "i felt|i saw|i tried|in", "doctrine": "must|always|never|de", "citation": "according to|page|et al|la"}
+
+
+@register(
+    f"SELECT source, {', '.join(f'round(1000.0 * sum({k}) / sum(n), 6) AS {k}' for k in STANCES)} FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+')) AS n, "
+    f"{', '.join(f'{phrase_sql(p)} AS {k}' for k, p in STANCES.items())} FROM documents) GROUP BY source HAVING sum(n) > 0"
+)
+def stance_densities(spark: SparkSession, d: str) -> DataFrame:
+    """Phrases of each stance for each thousand words, by source."""
+    rows = read(spark, d, "documents").select("source", T.word_count(F.col("text")).alias("n"), lexical.markers(F.col("text"), STANCES).alias("m"))
+    made = rows.groupBy("source").agg(F.sum("n").alias("n"), *(F.sum(f"m.{k}").alias(k) for k in STANCES)).where("n > 0")
+    return made.select("source", *(F.round(1000.0 * F.col(k) / F.col("n"), 6).alias(k) for k in STANCES))
+
+
+@register(
+    "WITH f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS born FROM events) SELECT user_id, count(*) FILTER (ts < born + INTERVAL 30 DAY) AS first_month, count(*) FILTER (ts < born + INTERVAL 30 DAY) > 5 AS integrated FROM f GROUP BY user_id"
+)
+def newcomer_integration(spark: SparkSession, d: str) -> DataFrame:
+    """Users by what they wrote in their first thirty days; more than five is integration."""
+    e = read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    born = e.groupBy("user_id").agg(F.min("ts").alias("born"))
+    early = F.count_if(F.col("ts") < F.col("born") + F.expr("INTERVAL 30 DAYS"))
+    return e.join(born, "user_id").groupBy("user_id").agg(early.alias("first_month")).withColumn("integrated", F.col("first_month") > 5)
+
+
+REMOVED_SQL = (
+    f"t AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id), w AS (SELECT toxic, unnest({TERMS_SQL}) AS term FROM documents JOIN t USING (doc_id)), "
+    "two AS (SELECT term, count(*) FILTER (toxic = 1)::DOUBLE AS x, count(*) FILTER (toxic = 0)::DOUBLE AS y FROM w WHERE toxic IN (0, 1) GROUP BY term), s AS (SELECT sum(x) AS tx, sum(y) AS ty FROM two)"
+)
+
+
+@register(f"WITH {REMOVED_SQL} SELECT term, round((x / tx) / (y / ty), 6) AS contrast FROM two, s WHERE x >= 5 AND y > 0 AND (x / tx) / (y / ty) > 5")
+def removed_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that are over five times as frequent in removed documents as in the others."""
+    labels = read(spark, d, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = read(spark, d, "documents").join(labels, "doc_id").select(F.col("toxic").cast("string").alias("toxic"), F.explode(T.terms(F.col("text"))).alias("term"))
+    both = stats.side_by_side(rows.groupBy("toxic", "term").agg(F.count("*").alias("n")), "term", "toxic", "n", "1", "0")
+    contrast = (F.col("x") / F.col("tx")) / (F.col("y") / F.col("ty"))
+    return both.where("x >= 5 AND y > 0").withColumn("contrast", contrast).where("contrast > 5").select("term", F.round("contrast", 6).alias("contrast"))
+
+
+@register(
+    f"WITH {BY_LANG_SQL.split(', two AS')[0]}, r AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rn FROM counts), h AS (SELECT lang, term FROM r WHERE rn <= 20) "
+    "SELECT round(count(DISTINCT term) / count(term), 9) AS diversity FROM h"
+)
+def topic_diversity(spark: SparkSession, d: str) -> DataFrame:
+    """The share of different terms among the twenty commonest of each language, taken as topics."""
+    counts = read(spark, d, "documents").select("lang", F.explode(T.content_terms(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    head = dedup.numbered(counts, ["lang"], [F.desc("n"), F.col("term")]).where("rn <= 20")
+    return topics.diversity(head).select(F.round("diversity", 9).alias("diversity"))
+
+
 # ---- graphs
 
 

@@ -6,10 +6,12 @@ import io
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregate import post_features
 from ..operators.ordered import running
+from ..operators.reports import every_kind
 
 #: The columns of the indexes.
 INDEX = {
@@ -111,3 +113,51 @@ def zipped(entries: DataFrame) -> DataFrame:
         return pa.table({"path": [table.column("archive")[0].as_py()], "content": pa.array([made.getvalue()], pa.binary())})
 
     return entries.select("archive", "entry", "text").groupBy("archive").applyInArrow(run, "path string, content binary")
+
+
+#: The entries of an archive in their order.
+SNAPSHOT = (
+    "README.txt metadata/crawl.json metadata/robots.json metadata/requests.jsonl metadata/errors.json metadata/schema.json analysis/profile.json analysis/data_dictionary.json analysis/quality_gates.json "
+    "metadata/checkpoints.json data/forums.jsonl data/threads.jsonl data/posts.jsonl data/links.jsonl data/resources.jsonl data/pages.jsonl data/all.ndjson "
+    "index/forums.csv index/threads.csv index/posts.csv index/post_features.csv index/links.csv index/resources.csv"
+).split()
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one row as a JSON file; nulls stay."""
+    write_json_lines(report.coalesce(1), path)
+
+
+def write_snapshot(to: str, records: dict[str, DataFrame], reports: dict[str, DataFrame], readme: str) -> None:
+    """All entries of an archive under the folder `to`, each a folder of files. What exists is overwritten.
+
+    records: forums, threads, posts, links, resources and pages (a kind that is not there is an empty file), and requests. reports: one-row
+    tables by entry name; a report that is not there is an empty object.
+    """
+    spark = next(iter(records.values())).sparkSession
+    none = spark.createDataFrame([], "id string")
+    for entry in SNAPSHOT:
+        place, name = entry.split("/") if "/" in entry else ("", entry)
+        kind, ending = name.rsplit(".", 1)
+        path = f"{to}/{entry}"
+        if ending == "txt":
+            spark.createDataFrame([(readme,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        elif ending == "json":
+            write_report(reports[entry] if entry in reports else spark.range(1).select(F.lit("{}").alias("empty")), path)
+        elif ending == "ndjson":
+            write_json_lines(every_kind({k: v for k, v in records.items() if k != "requests"}), path)
+        elif ending == "jsonl":
+            write_json_lines(records.get(kind, none), path)
+        else:
+            rows = post_features(records["posts"]) if kind == "post_features" else records.get(kind, none)
+            write_csv(index_rows(rows, kind), path)
+
+
+def snapshot_entries(spark: SparkSession, to: str) -> DataFrame:
+    """entry and records of a written archive: its lines, without the headers of CSV files."""
+    lines = spark.read.text(f"{to}/*/*").select(F.col("_metadata.file_path").alias("file"))
+    entry = F.regexp_extract("file", r"((?:metadata|analysis|data|index)/[^/]+|README\.txt)/[^/]+$", 1)
+    counted = lines.groupBy(entry.alias("entry")).agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
+    every = spark.createDataFrame([(x,) for x in SNAPSHOT], "entry string")
+    n = F.when(F.col("entry").endswith(".csv"), F.col("n") - F.col("files")).otherwise(F.col("n"))
+    return every.join(counted, "entry", "left").select("entry", F.coalesce(n, F.lit(0)).alias("records"))
