@@ -70,7 +70,8 @@ def links_index(spark: SparkSession, d: str) -> DataFrame:
 # ---- parts, ZIP archives, manifests
 
 DOC_LINES_SQL = (
-    "l AS (SELECT doc_id, strlen('{\"doc_id\":' || doc_id || ',\"lang\":' || coalesce('\"' || lang || '\"', 'null') || ',\"source\":' || coalesce('\"' || source || '\"', 'null') || '}') + 1 AS b FROM documents), "
+        "l AS (SELECT doc_id, strlen('{\"doc_id\":' || doc_id || ',\"lang\":' || coalesce('\"' || lang || '\"', "
+        "'null') || ',\"source\":' || coalesce('\"' || source || '\"', 'null') || '}') + 1 AS b FROM documents), "
     "r AS (SELECT *, sum(b) OVER (ORDER BY doc_id) - b AS start FROM l), "
     f"p AS (SELECT doc_id, b, 2 * CAST(start // {PART // 2} AS BIGINT) + CASE WHEN b > {PART // 2} THEN 1 ELSE 0 END AS part FROM r)"
 )
@@ -117,7 +118,10 @@ def zip_lines(spark: SparkSession, d: str) -> DataFrame:
 MISSING_SQL = ", ".join(f"('{x}')" for x in archive.REQUIRED if x not in ("README.txt", "data/posts.jsonl"))
 
 
-@register(f"WITH {DOC_LINES_SQL}, z AS (SELECT DISTINCT part FROM p) SELECT 'part-' || part AS archive, entry FROM z, (VALUES {MISSING_SQL}) m(entry) WHERE entry <> 'metadata/crawl.json' OR part % 4 <> 0")
+@register(
+    f"WITH {DOC_LINES_SQL}, z AS (SELECT DISTINCT part FROM p) SELECT 'part-' || part AS archive, entry FROM z, (VALUES {MISSING_SQL}) m(entry) "
+    f"WHERE entry <> 'metadata/crawl.json' OR part % 4 <> 0"
+)
 def missing_entries(spark: SparkSession, d: str) -> DataFrame:
     return archive.missing_entries(archive.zip_entries(part_archives(spark, d)))
 
@@ -150,7 +154,9 @@ def next_fit_bins(spark: SparkSession, d: str) -> DataFrame:
     + ", ".join(f"('{x}', 1)" for x in sinks.SNAPSHOT if x.endswith(".json"))
     + ", ('metadata/requests.jsonl', (SELECT count(*) FROM events)), "
     + ", ".join(f"('{entry}', {n})" for kind, n in (("forums", "(SELECT count(*) FROM nation)"), ("threads", "(SELECT count(*) FROM pages)"), ("posts", "(SELECT count(*) FROM documents)"), ("links", "(SELECT count(*) FROM labels)"), ("resources", "0")) for entry in (f"data/{kind}.jsonl", f"index/{kind}.csv"))
-    + ", ('data/pages.jsonl', 0), ('index/post_features.csv', (SELECT count(*) FROM documents)), ('data/all.ndjson', (SELECT count(*) FROM nation) + (SELECT count(*) FROM pages) + (SELECT count(*) FROM documents) + (SELECT count(*) FROM labels))) "
+    +
+        ", ('data/pages.jsonl', 0), ('index/post_features.csv', (SELECT count(*) FROM documents)), ('data/all.ndjson', (SELECT count(*) "
+        "FROM nation) + (SELECT count(*) FROM pages) + (SELECT count(*) FROM documents) + (SELECT count(*) FROM labels))) "
     "SELECT entry, CAST(records AS BIGINT) AS records FROM c"
 )
 def archive_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +305,10 @@ def thread_posts(spark: SparkSession, d: str) -> DataFrame:
 BEFORE_SQL = "b AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"
 
 
-@register(f"WITH {BEFORE_SQL} SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS id, before AS quoted, CAST(conv_id * 1000 + turn - 1 AS VARCHAR) AS source_post FROM b WHERE before IS NOT NULL")
+@register(
+    f"WITH {BEFORE_SQL} SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS id, before AS quoted, CAST(conv_id * 1000 + turn - 1 AS VARCHAR) AS source_post "
+    f"FROM b WHERE before IS NOT NULL"
+)
 def thread_quotes(spark: SparkSession, d: str) -> DataFrame:
     found = forum_html.posts(forum_html.parsed(thread_pages(spark, d))).select("id", F.explode("quotes").alias("q"))
     return found.select("id", F.col("q.author").alias("quoted"), "q.source_post")
@@ -310,7 +319,10 @@ def quote_edges(spark: SparkSession, d: str) -> DataFrame:
     return network.quote_edges(forum_html.posts(forum_html.parsed(thread_pages(spark, d))))
 
 
-@register("SELECT 'https://b.example/threads/t.' || conv_id || '/' AS url, count(*)::INTEGER AS posts, 0 AS threads, 0 AS forums, 2 AS links, count(*) AS last FROM conversations GROUP BY conv_id")
+@register(
+    "SELECT 'https://b.example/threads/t.' || conv_id || '/' AS url, count(*)::INTEGER AS posts, 0 AS threads, 0 AS forums, 2 AS links, count(*) AS last "
+    "FROM conversations GROUP BY conv_id"
+)
 def page_self_test(spark: SparkSession, d: str) -> DataFrame:
     return forum_html.self_test(forum_html.parsed(thread_pages(spark, d)))
 
@@ -330,7 +342,10 @@ def pseudonymous_posts(spark: SparkSession, d: str) -> DataFrame:
     return found.where("author IS NOT NULL").groupBy("author").agg(F.count("*").alias("posts"))
 
 
-@register("SELECT conv_id, list(turn ORDER BY turn)::VARCHAR AS turns FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE (rn - 1) // 2 * 2 < 3 GROUP BY conv_id")
+@register(
+    "SELECT conv_id, list(turn ORDER BY turn)::VARCHAR AS turns FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn "
+    "FROM conversations) WHERE (rn - 1) // 2 * 2 < 3 GROUP BY conv_id"
+)
 def threads_over_pages(spark: SparkSession, d: str) -> DataFrame:
     """Turns on pages of two, joined over pages until three or more are there."""
     rows = dedup.numbered(read(spark, d, "conversations").select("conv_id", "turn"), ["conv_id"], [F.col("turn")])
@@ -358,7 +373,8 @@ def board_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    f"SELECT 'https://b.example/forums/f.' || k || '/' AS url, CAST(k AS VARCHAR) AS id, trim(name) AS title, CAST(k * 1000 + 500 AS BIGINT) AS threads_count, CAST(1000 + k % 10 AS BIGINT) AS messages_count, "
+        f"SELECT 'https://b.example/forums/f.' || k || '/' AS url, CAST(k AS VARCHAR) AS id, trim(name) AS title, "
+        f"CAST(k * 1000 + 500 AS BIGINT) AS threads_count, CAST(1000 + k % 10 AS BIGINT) AS messages_count, "
     f"CASE WHEN k % 3 = 0 THEN CAST(k + 100 AS VARCHAR) ELSE '' END AS sub_forums FROM ({BOARD_SQL}) WHERE k % 5 <> 4"
 )
 def board_forums(spark: SparkSession, d: str) -> DataFrame:
@@ -385,7 +401,8 @@ def absolute_links(spark: SparkSession, d: str) -> DataFrame:
 # ---- robots and the frontier
 
 ROBOTS = (
-    "User-agent: bot\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/\nDisallow: /*.html\nAllow: /fr/2\nCrawl-delay: 3\nDisallow: /de/1 # some\nSitemap: https://s.example/map.xml\nContent-Signal: ai-train=no, search=yes\n",
+        "User-agent: bot\nDisallow: /\n\nUser-agent: *\nDisallow: /fr/\nDisallow: /*.html\nAllow: /fr/2\nCrawl-delay: 3\nDisallow: /de/1 # some\nSitemap: "
+        "https://s.example/map.xml\nContent-Signal: ai-train=no, search=yes\n",
     "user-agent: *\nallow: /en/\ndisallow: /en/\ndisallow: /es%201/\n",
 )
 RULES = (
@@ -490,7 +507,10 @@ def forums_asked(spark: SparkSession, d: str) -> DataFrame:
     return frontier.forums_asked(named, ["1", "2"], ["/forums/7"]).select("k", "name")
 
 
-@register("SELECT event_id, CASE WHEN event_type = 'click' THEN 0 WHEN event_type = 'view' THEN 1 ELSE 3 END AS place FROM events WHERE event_type IS NOT NULL ORDER BY place, event_id LIMIT 1000")
+@register(
+    "SELECT event_id, CASE WHEN event_type = 'click' THEN 0 WHEN event_type = 'view' THEN 1 ELSE 3 END AS place FROM events WHERE event_type IS NOT NULL "
+    "ORDER BY place, event_id LIMIT 1000"
+)
 def frontier_order(spark: SparkSession, d: str) -> DataFrame:
     """The head of a queue: by kind, then first come first served."""
     queue = read(spark, d, "events").where("event_type IS NOT NULL").select("event_id", F.col("event_type").alias("kind"), F.col("event_id").alias("seq"))
@@ -551,7 +571,10 @@ def records_per_page(spark: SparkSession, d: str) -> DataFrame:
     return reports.records_per_page(pages.select("url").distinct(), links)
 
 
-@register("SELECT source, count(*) AS posts, CAST(coalesce(sum(n_chars % 4), 0) AS BIGINT) AS comments, regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_]', '_', 'g') || '.jsonl' AS file FROM documents GROUP BY source")
+@register(
+    "SELECT source, count(*) AS posts, CAST(coalesce(sum(n_chars % 4), 0) AS BIGINT) AS comments, regexp_replace(coalesce(source, ''), '[^A-Za-z0-9_]', "
+    "'_', 'g') || '.jsonl' AS file FROM documents GROUP BY source"
+)
 def source_stats(spark: SparkSession, d: str) -> DataFrame:
     return reports.source_stats(read(spark, d, "documents"), "source", F.col("n_chars") % 4)
 
@@ -562,8 +585,10 @@ def topic_readiness(spark: SparkSession, d: str) -> DataFrame:
 
 
 MEASURES_SQL = (
-    "m AS (SELECT user_id, count(*) FILTER (user_id % 7 <> 0) AS posts, user_id % 5 <> 0 AS integrity_ok, CASE WHEN user_id % 3 = 0 THEN true WHEN user_id % 3 = 1 THEN false END AS stopped, "
-    "CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 4 - 1 END AS queue_remaining, CASE WHEN user_id % 6 <> 0 THEN avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) END AS error_rate, "
+        "m AS (SELECT user_id, count(*) FILTER (user_id % 7 <> 0) AS posts, user_id % 5 <> 0 AS integrity_ok, "
+        "CASE WHEN user_id % 3 = 0 THEN true WHEN user_id % 3 = 1 THEN false END AS stopped, "
+        "CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 4 - 1 END AS queue_remaining, CASE WHEN user_id % 6 <> 0 THEN avg(CASE WHEN event_type = 'error' "
+        "THEN 1.0 ELSE 0.0 END) END AS error_rate, "
     "count(*) FILTER (event_type = 'error') AS errors, user_id % 2 AS duplicate_posts FROM events GROUP BY user_id)"
 )
 
@@ -587,9 +612,12 @@ def user_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 GATES_SQL = (
-    "g AS (SELECT user_id, seq, gate, status FROM m, LATERAL (VALUES (0, 'archive_integrity', CASE WHEN integrity_ok THEN 'PASS' ELSE 'BLOCK' END), (1, 'post_availability', CASE WHEN posts > 0 THEN 'PASS' ELSE 'BLOCK' END), "
-    "(2, 'coverage_completion', CASE WHEN NOT coalesce(stopped, false) AND coalesce(queue_remaining, 0) = 0 THEN 'PASS' ELSE 'REVIEW' END), (3, 'request_error_rate', CASE WHEN error_rate < 0.1 THEN 'PASS' ELSE 'REVIEW' END), "
-    "(4, 'identity_deduplication', CASE WHEN duplicate_posts = 0 THEN 'PASS' ELSE 'REVIEW' END), (5, 'privacy_and_quote_risk', 'REVIEW'), (6, 'construct_validity', 'REVIEW')) v(seq, gate, status))"
+        "g AS (SELECT user_id, seq, gate, status FROM m, LATERAL (VALUES (0, 'archive_integrity', CASE WHEN integrity_ok THEN 'PASS' ELSE 'BLOCK' END), (1, "
+        "'post_availability', CASE WHEN posts > 0 THEN 'PASS' ELSE 'BLOCK' END), "
+        "(2, 'coverage_completion', CASE WHEN NOT coalesce(stopped, false) AND coalesce(queue_remaining, 0) = 0 THEN 'PASS' ELSE 'REVIEW' END), (3, "
+        "'request_error_rate', CASE WHEN error_rate < 0.1 THEN 'PASS' ELSE 'REVIEW' END), "
+        "(4, 'identity_deduplication', CASE WHEN duplicate_posts = 0 THEN 'PASS' ELSE 'REVIEW' END), (5, 'privacy_and_quote_risk', 'REVIEW'), (6, "
+        "'construct_validity', 'REVIEW')) v(seq, gate, status))"
 )
 
 
@@ -600,7 +628,10 @@ def gate_branches(spark: SparkSession, d: str) -> DataFrame:
     return made.select("user_id", "seq", "gate", "status", F.when((F.col("seq") == 0) & (F.col("status") == "BLOCK"), F.col("reason")).alias("reason"))
 
 
-@register(f"WITH {MEASURES_SQL}, {GATES_SQL} SELECT user_id, CASE WHEN bool_or(status = 'BLOCK') THEN 'BLOCK' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE 'PASS' END AS overall FROM g GROUP BY user_id")
+@register(
+    f"WITH {MEASURES_SQL}, {GATES_SQL} SELECT user_id, CASE WHEN bool_or(status = 'BLOCK') THEN 'BLOCK' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' ELSE "
+    f"'PASS' END AS overall FROM g GROUP BY user_id"
+)
 def gate_overall(spark: SparkSession, d: str) -> DataFrame:
     return quality.overall(quality.gates(user_measures(spark, d), ("user_id",)), ("user_id",))
 
@@ -611,7 +642,8 @@ def gate_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    f"WITH {MEASURES_SQL} SELECT user_id, name, pass FROM m, LATERAL (VALUES ('posts_present', posts > 0), ('request_error_rate', error_rate IS NULL OR error_rate < 0.1), ('duplicate_keys', duplicate_posts = 0)) v(name, pass)"
+        f"WITH {MEASURES_SQL} SELECT user_id, name, pass FROM m, LATERAL (VALUES ('posts_present', posts > 0), ('request_error_rate', "
+        f"error_rate IS NULL OR error_rate < 0.1), ('duplicate_keys', duplicate_posts = 0)) v(name, pass)"
 )
 def archive_gates(spark: SparkSession, d: str) -> DataFrame:
     return quality.archive_gates(user_measures(spark, d).withColumn("posts_wanted", F.lit(True)), ("user_id",)).select("user_id", "name", "pass")
@@ -625,8 +657,10 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    "SELECT * FROM (SELECT 'links' AS kind, 'link_url_missing' AS rule, 'error' AS severity, count(*) FILTER (event_id % 9 = 0) AS n FROM events UNION ALL SELECT 'links', 'scraped_at_missing', 'error', count(*) FILTER (event_type IS NULL) FROM events "
-    "UNION ALL SELECT 'links', 'posted_at_no_timestamp', 'warning', count(*) FILTER (event_id % 11 = 0) FROM events UNION ALL SELECT 'links', 'posted_at_invalid', 'error', count(*) FILTER (event_id % 13 = 0) FROM events "
+        "SELECT * FROM (SELECT 'links' AS kind, 'link_url_missing' AS rule, 'error' AS severity, count(*) FILTER (event_id % 9 = 0) AS n FROM events UNION ALL "
+        "SELECT 'links', 'scraped_at_missing', 'error', count(*) FILTER (event_type IS NULL) FROM events "
+        "UNION ALL SELECT 'links', 'posted_at_no_timestamp', 'warning', count(*) FILTER (event_id % 11 = 0) FROM events UNION ALL SELECT 'links', "
+        "'posted_at_invalid', 'error', count(*) FILTER (event_id % 13 = 0) FROM events "
     "UNION ALL SELECT 'posts', 'thread_id_missing', 'error', count(*) FILTER (event_id % 17 = 0) FROM events) WHERE n > 0"
 )
 def record_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -645,7 +679,8 @@ def record_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    "SELECT 'comment' AS kind, 'score_negative' AS rule, 'error' AS severity, count(*) AS n FROM events WHERE value < 10 UNION ALL SELECT 'entity', 'name_empty', 'error', count(*) FROM events WHERE event_type = '' HAVING count(*) > 0 "
+        "SELECT 'comment' AS kind, 'score_negative' AS rule, 'error' AS severity, count(*) AS n FROM events WHERE value < 10 UNION ALL SELECT 'entity', "
+        "'name_empty', 'error', count(*) FROM events WHERE event_type = '' HAVING count(*) > 0 "
     "UNION ALL SELECT 'entity', 'count_below_one', 'error', count(*) FROM events WHERE event_id % 3 = 0 HAVING count(*) > 0"
 )
 def model_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -658,7 +693,10 @@ def model_rules(spark: SparkSession, d: str) -> DataFrame:
 # ---- texts
 
 
-@register(r"SELECT conv_id, turn, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS spaced, regexp_replace(role || '/' || turn, '[^A-Za-z0-9_]', '_', 'g') AS file FROM conversations")
+@register(
+    r"SELECT conv_id, turn, sha256(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS spaced, regexp_replace(role || '/' || turn, "
+    r"'[^A-Za-z0-9_]', '_', 'g') AS file FROM conversations"
+)
 def spaced_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "conversations")
     name = T.file_name(F.concat_ws("/", "role", F.col("turn").cast("string")))
@@ -689,7 +727,10 @@ def feature_index(spark: SparkSession, d: str) -> DataFrame:
         (i % 3 == 0).alias("edited"),
         F.concat(F.lit("src-"), "source").alias("source_url"),
     )
-    names = "post_id body_text_length word_count unique_word_count sentence_count quote_count attachment_count link_count reaction_count has_reactions empty_body edited deleted source_url forum_id"
+    names = (
+        "post_id body_text_length word_count unique_word_count sentence_count quote_count attachment_count link_count reaction_count has_reactions empty_body "
+        "edited deleted source_url forum_id"
+    )
     return aggregate.post_features(posts).select(*names.split())
 
 

@@ -55,7 +55,10 @@ def lexical_top_terms(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.term_counts(read(spark, d, "documents")).orderBy(F.desc("n"), "term").limit(100)
 
 
-@register(f"WITH {COUNTS_SQL} SELECT count(*) AS vocabulary, CAST(sum(n) AS BIGINT) AS tokens, round(-sum(n / t * log2(n / t)), 6) AS entropy_bits FROM counts, (SELECT sum(n)::DOUBLE AS t FROM counts)")
+@register(
+    f"WITH {COUNTS_SQL} SELECT count(*) AS vocabulary, CAST(sum(n) AS BIGINT) AS tokens, round(-sum(n / t * log2(n / t)), 6) AS entropy_bits FROM counts, "
+    f"(SELECT sum(n)::DOUBLE AS t FROM counts)"
+)
 def lexical_entropy(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.lexical_baseline(aggregate.term_counts(read(spark, d, "documents"))).withColumn("entropy_bits", F.round("entropy_bits", 6))
 
@@ -63,7 +66,8 @@ def lexical_entropy(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "WITH lexicons(lexicon, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, ws in LEXICONS.items() for w in ws) + f"), t AS (SELECT source, unnest({CONTENT_SQL}) AS term FROM documents),"
     " hit AS (SELECT source, lexicon, count(*) AS n FROM t JOIN lexicons ON term = word GROUP BY ALL)"
-    " SELECT s.source, l.lexicon, coalesce(n, 0) AS hits FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT lexicon FROM lexicons) l LEFT JOIN hit h ON h.source = s.source AND h.lexicon = l.lexicon"
+        " SELECT s.source, l.lexicon, coalesce(n, 0) AS hits FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT lexicon "
+        "FROM lexicons) l LEFT JOIN hit h ON h.source = s.source AND h.lexicon = l.lexicon"
 )
 def lexicon_hits_by_source(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.lexicon_totals(read(spark, d, "documents"), LEXICONS, ["source"])
@@ -72,7 +76,10 @@ def lexicon_hits_by_source(spark: SparkSession, d: str) -> DataFrame:
 # ---- per-row features
 
 
-@register(f"SELECT doc_id AS id, len({TERMS_SQL}) AS tokens, len(list_distinct({CONTENT_SQL})) AS unique_tokens, coalesce(nullif(n_chars, 0), length(text)) AS body_chars, 0::BIGINT AS quote_count, 0::BIGINT AS attachment_count, 0::BIGINT AS link_count FROM documents")
+@register(
+    f"SELECT doc_id AS id, len({TERMS_SQL}) AS tokens, len(list_distinct({CONTENT_SQL})) AS unique_tokens, coalesce(nullif(n_chars, 0), "
+    f"length(text)) AS body_chars, 0::BIGINT AS quote_count, 0::BIGINT AS attachment_count, 0::BIGINT AS link_count FROM documents"
+)
 def doc_features(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.document_features(posts(spark, d)).drop("thread_id")
 
@@ -97,7 +104,11 @@ def turn_features(spark: SparkSession, d: str) -> DataFrame:
 # ---- descriptive report
 
 
-@register("SELECT (list_sort(l))[1] AS min_length, (list_sort(l))[len(l) // 2 + 1] AS upper_median, (list_sort(l))[CAST(floor((len(l) - 1) * 0.5) AS BIGINT) + 1] AS median, (list_sort(l))[CAST(floor((len(l) - 1) * 0.9) AS BIGINT) + 1] AS p90, (list_sort(l))[len(l)] AS max_length FROM (SELECT list(n_chars) AS l FROM documents WHERE n_chars IS NOT NULL)")
+@register(
+    "SELECT (list_sort(l))[1] AS min_length, (list_sort(l))[len(l) // 2 + 1] AS upper_median, (list_sort(l))[CAST(floor((len(l) - 1) * 0.5) AS BIGINT) + "
+    "1] AS median, (list_sort(l))[CAST(floor((len(l) - 1) * 0.9) AS BIGINT) + 1] AS p90, (list_sort(l))[len(l)] AS max_length "
+    "FROM (SELECT list(n_chars) AS l FROM documents WHERE n_chars IS NOT NULL)"
+)
 def length_stats(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.length_stats(read(spark, d, "documents"), "n_chars")
 
@@ -112,7 +123,10 @@ def events_per_month(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.per_month(read(spark, d, "events"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
-@register("WITH m AS (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1), s AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS day FROM m) SELECT strftime(s.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM s LEFT JOIN m ON s.day = m.day")
+@register(
+    "WITH m AS (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1), s AS (SELECT unnest(generate_series(min(day), max(day), "
+    "INTERVAL 1 DAY)) AS day FROM m) SELECT strftime(s.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM s LEFT JOIN m ON s.day = m.day"
+)
 def day_spine(spark: SparkSession, d: str) -> DataFrame:
     days = read(spark, d, "events").where("ts IS NOT NULL").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     spine = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a IS NOT NULL").select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("day"))
@@ -142,7 +156,11 @@ def canonical_url(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
 
 
-@register(r"SELECT page_id, CASE WHEN contains(url, '/threads/') THEN 'thread' WHEN contains(url, '/forums/') THEN 'forum' WHEN contains(url, '/members/') THEN 'member' WHEN regexp_matches(url, '^https?://[^/?#]*/?(?:$|[?#])') OR regexp_matches(url, '/forums/?$') THEN 'index' ELSE 'other' END AS page_type FROM pages")
+@register(
+    r"SELECT page_id, CASE WHEN contains(url, '/threads/') THEN 'thread' WHEN contains(url, '/forums/') THEN 'forum' WHEN contains(url, "
+    r"'/members/') THEN 'member' WHEN regexp_matches(url, '^https?://[^/?#]*/?(?:$|[?#])') OR regexp_matches(url, "
+    r"'/forums/?$') THEN 'index' ELSE 'other' END AS page_type FROM pages"
+)
 def url_page_type(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", urls.page_type(F.col("url")).alias("page_type"))
 
@@ -164,14 +182,21 @@ WHEN regexp_matches(p, '\.(doc|docx|odt|rtf|txt|xls|xlsx|ppt|pptx)$') THEN 'docu
 WHEN regexp_matches(p, '\.(zip|rar|7z|tar|gz|iso)$') THEN 'archive' WHEN regexp_matches(v, '\b(download|attachment|file|upload)\b') THEN 'download' END"""
 
 
-@register(f"WITH {LINKS_SQL}, all_ AS (SELECT page_id, link_url FROM links UNION ALL SELECT page_id, url || '/f.' || e FROM pages, (VALUES ('pdf'), ('DOCX'), ('epub'), ('zip')) x(e)) SELECT coalesce({CLASS_SQL}, 'unclassified') AS resource_type, count(*) AS n FROM (SELECT regexp_extract(link_url, '^([^?#]*)', 1) AS p, lower(link_url || ' ') AS v FROM all_) GROUP BY 1")
+@register(
+    f"WITH {LINKS_SQL}, all_ AS (SELECT page_id, link_url FROM links UNION ALL SELECT page_id, url || '/f.' || e FROM pages, (VALUES ('pdf'), ('DOCX'), "
+    f"('epub'), ('zip')) x(e)) SELECT coalesce({CLASS_SQL}, 'unclassified') AS resource_type, count(*) AS n FROM (SELECT regexp_extract(link_url, "
+    f"'^([^?#]*)', 1) AS p, lower(link_url || ' ') AS v FROM all_) GROUP BY 1"
+)
 def resource_class(spark: SparkSession, d: str) -> DataFrame:
     made = read(spark, d, "pages").select("page_id", F.explode(F.array(*(F.concat("url", F.lit(f"/f.{e}")) for e in ("pdf", "DOCX", "epub", "zip")))).alias("link_url"))
     kind = F.coalesce(urls.resource_type(F.col("link_url"), F.lit("")), F.lit("unclassified")).alias("resource_type")
     return page_links(spark, d).unionByName(made).groupBy(kind).agg(F.count("*").alias("n"))
 
 
-@register(f"WITH {LINKS_SQL} SELECT link_url AS url, {DOMAIN_SQL.replace('url', 'l.link_url')} AS domain, count(*) AS link_count, min(page_id) AS first_page, max(page_id) AS last_page FROM links l GROUP BY ALL")
+@register(
+    f"WITH {LINKS_SQL} SELECT link_url AS url, {DOMAIN_SQL.replace('url', 'l.link_url')} AS domain, count(*) AS link_count, min(page_id) AS first_page, "
+    f"max(page_id) AS last_page FROM links l GROUP BY ALL"
+)
 def resource_inventory(spark: SparkSession, d: str) -> DataFrame:
     return page_links(spark, d).groupBy(F.col("link_url").alias("url")).agg(F.count("*").alias("link_count"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page")).withColumn("domain", F.coalesce(urls.host(F.col("url")), F.lit("")))
 
@@ -184,14 +209,20 @@ def hash_author_16(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", privacy.short_hash(F.col("user_id").cast("string")).alias("author_hash"))
 
 
-@register("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN sha256(role) ELSE sha256(sha256(role) || '') END AS author_hash FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, sha256(role) FROM conversations WHERE turn % 2 <> 0")
+@register(
+    "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN sha256(role) ELSE sha256(sha256(role) || '') END AS author_hash FROM conversations "
+    "WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, sha256(role) FROM conversations WHERE turn % 2 <> 0"
+)
 def hash_passthrough(spark: SparkSession, d: str) -> DataFrame:
     """Odd turns come as upper-case digests already, and pass in lower case."""
     given = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.upper(F.sha2("role", 256)))
     return read(spark, d, "conversations").select("conv_id", "turn", privacy.full_hash(given).alias("author_hash"))
 
 
-@register(f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{T.EMAIL}', '[email]', 'g'), '{T.PHONE.replace(chr(92) + '+?', '[+]?')}', '[phone]', 'g')) AS redacted, len(regexp_extract_all(text, '{T.EMAIL}')) AS emails FROM documents")
+@register(
+    f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{T.EMAIL}', '[email]', 'g'), '{T.PHONE.replace(chr(92) + '+?', '[+]?')}', '[phone]', "
+    f"'g')) AS redacted, len(regexp_extract_all(text, '{T.EMAIL}')) AS emails FROM documents"
+)
 def pii_redacted(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     return read(spark, d, "documents").select("doc_id", F.sha2(T.without_personal_data(text), 256).alias("redacted"), F.regexp_count(text, F.lit(T.EMAIL)).cast("long").alias("emails"))
@@ -221,7 +252,10 @@ def anti_join_resume(spark: SparkSession, d: str) -> DataFrame:
     return dedup.not_yet(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels"), "doc_id")
 
 
-@register("SELECT count(*) AS labels, count(d.doc_id) AS resolved, count(*) - count(d.doc_id) AS dangling FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d ON l.doc_id = d.doc_id")
+@register(
+    "SELECT count(*) AS labels, count(d.doc_id) AS resolved, count(*) - count(d.doc_id) AS dangling FROM labels l LEFT JOIN (SELECT DISTINCT doc_id "
+    "FROM documents) d ON l.doc_id = d.doc_id"
+)
 def referential_check(spark: SparkSession, d: str) -> DataFrame:
     ids = read(spark, d, "documents").select("doc_id").distinct().withColumn("there", F.lit(1))
     return read(spark, d, "labels").join(ids, "doc_id", "left").agg(F.count("*").alias("labels"), F.count("there").alias("resolved")).withColumn("dangling", F.col("labels") - F.col("resolved"))
@@ -251,7 +285,10 @@ def coverage_gates(spark: SparkSession, d: str) -> DataFrame:
     return quality.gates(measures).select("seq", "gate", "status")
 
 
-@register("SELECT kind, rule, severity, n FROM (SELECT 'posts' AS kind, 'foreign_source_url' AS rule, 'warning' AS severity, count(*) AS n FROM pages WHERE url <> '' AND NOT starts_with(url, 'https://')) WHERE n > 0")
+@register(
+    "SELECT kind, rule, severity, n FROM (SELECT 'posts' AS kind, 'foreign_source_url' AS rule, 'warning' AS severity, count(*) AS n FROM pages "
+    "WHERE url <> '' AND NOT starts_with(url, 'https://')) WHERE n > 0"
+)
 def issue_rules(spark: SparkSession, d: str) -> DataFrame:
     pages = read(spark, d, "pages").select(F.col("url").alias("source_url"), F.col("page_id").alias("thread_id"), F.lit("2024-01-01T00:00:00Z").alias("scraped_at"))
     return quality.issues(pages, "posts", quality.record_rules("posts", pages.columns, SITE))
@@ -260,20 +297,33 @@ def issue_rules(spark: SparkSession, d: str) -> DataFrame:
 # ---- networks
 
 
-@register("SELECT role AS source, before AS target, count(*) AS weight FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL GROUP BY ALL")
+@register(
+    "SELECT role AS source, before AS target, count(*) AS weight FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before "
+    "FROM conversations) WHERE before IS NOT NULL GROUP BY ALL"
+)
 def reply_edges(spark: SparkSession, d: str) -> DataFrame:
     return network.reply_edges(read(spark, d, "conversations"), "conv_id", "turn", "role")
 
 
-@register("WITH a AS (SELECT DISTINCT conv_id, role FROM conversations WHERE role IS NOT NULL) SELECT x.role AS source, y.role AS target, count(*) AS weight FROM a x JOIN a y ON x.conv_id = y.conv_id AND x.role < y.role GROUP BY ALL")
+@register(
+    "WITH a AS (SELECT DISTINCT conv_id, role FROM conversations WHERE role IS NOT NULL) SELECT x.role AS source, y.role AS target, count(*) AS weight "
+    "FROM a x JOIN a y ON x.conv_id = y.conv_id AND x.role < y.role GROUP BY ALL"
+)
 def thread_participation_edges(spark: SparkSession, d: str) -> DataFrame:
     return network.participation_edges(read(spark, d, "conversations"), "conv_id", "role")
 
 
-DEGREES_SQL = "e AS (SELECT role AS source, before AS target, count(*) AS weight FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NOT NULL GROUP BY ALL)"
+DEGREES_SQL = (
+    "e AS (SELECT role AS source, before AS target, count(*) AS weight FROM (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before "
+    "FROM conversations) WHERE before IS NOT NULL GROUP BY ALL)"
+)
 
 
-@register(f"WITH {DEGREES_SQL}, n AS (SELECT source AS node, 0 AS i, 1 AS o, weight AS w FROM e UNION ALL SELECT target, 1, 0, weight FROM e) SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i * w) AS BIGINT) AS weighted_in, CAST(sum(o * w) AS BIGINT) AS weighted_out FROM n GROUP BY node")
+@register(
+    f"WITH {DEGREES_SQL}, n AS (SELECT source AS node, 0 AS i, 1 AS o, weight AS w FROM e UNION ALL SELECT target, 1, 0, weight FROM e) SELECT node, "
+    f"CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i * w) AS BIGINT) AS weighted_in, "
+    f"CAST(sum(o * w) AS BIGINT) AS weighted_out FROM n GROUP BY node"
+)
 def degree_stats(spark: SparkSession, d: str) -> DataFrame:
     return network.degrees(reply_edges(spark, d))
 
@@ -293,7 +343,11 @@ def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- statistics
 
-BY_LANG_SQL = f"counts AS (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({CONTENT_SQL}) AS term FROM documents) GROUP BY ALL), two AS (SELECT term, CAST(sum(CASE WHEN lang = 'en' THEN n ELSE 0 END) AS DOUBLE) AS x, CAST(sum(CASE WHEN lang = 'fr' THEN n ELSE 0 END) AS DOUBLE) AS y FROM counts WHERE lang IN ('en', 'fr') GROUP BY term), s AS (SELECT sum(x) AS tx, sum(y) AS ty, count(*) AS v FROM two)"
+BY_LANG_SQL = (
+    f"counts AS (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({CONTENT_SQL}) AS term FROM documents) GROUP BY ALL), two AS (SELECT term, "
+    f"CAST(sum(CASE WHEN lang = 'en' THEN n ELSE 0 END) AS DOUBLE) AS x, CAST(sum(CASE WHEN lang = 'fr' THEN n ELSE 0 END) AS DOUBLE) AS y FROM counts "
+    f"WHERE lang IN ('en', 'fr') GROUP BY term), s AS (SELECT sum(x) AS tx, sum(y) AS ty, count(*) AS v FROM two)"
+)
 
 
 def en_fr(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +360,10 @@ def kl_divergence(spark: SparkSession, d: str) -> DataFrame:
     return stats.kl_divergence(en_fr(spark, d)).select(F.round("kl_bits", 6).alias("kl_bits"))
 
 
-@register(f"WITH {BY_LANG_SQL} SELECT term, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(ln((x + 1) / (tx + v - x - 1)) - ln((y + 1) / (ty + v - y - 1)), 6) AS log_odds FROM two, s ORDER BY round(ln((x + 1) / (tx + v - x - 1)) - ln((y + 1) / (ty + v - y - 1)), 6) DESC, term LIMIT 50")
+@register(
+    f"WITH {BY_LANG_SQL} SELECT term, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(ln((x + 1) / (tx + v - x - 1)) - ln((y + 1) / (ty + v - y - "
+    f"1)), 6) AS log_odds FROM two, s ORDER BY round(ln((x + 1) / (tx + v - x - 1)) - ln((y + 1) / (ty + v - y - 1)), 6) DESC, term LIMIT 50"
+)
 def log_odds(spark: SparkSession, d: str) -> DataFrame:
     return stats.log_odds(en_fr(spark, d)).withColumn("log_odds", F.round("log_odds", 6)).orderBy(F.desc("log_odds"), "term").limit(50)
 
@@ -326,18 +383,30 @@ def js_consecutive_days(spark: SparkSession, d: str) -> DataFrame:
     return both.select("day", F.round(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y) / 2, 6).alias("js_bits"))
 
 
-@register("WITH c AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), t AS (SELECT sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) AS same FROM c), m AS (SELECT sum(x.n * y.n) AS xy FROM (SELECT a, sum(n) AS n FROM c GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM c GROUP BY b) y ON a = b) SELECT CAST(n AS BIGINT) AS n, round(same / n, 6) AS observed, round(xy / n / n, 6) AS expected, round((same / n - xy / n / n) / (1 - xy / n / n), 6) AS kappa FROM t, m")
+@register(
+    "WITH c AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), "
+    "t AS (SELECT sum(n) AS n, sum(CASE WHEN a = b THEN n ELSE 0 END) AS same FROM c), m AS (SELECT sum(x.n * y.n) AS xy FROM (SELECT a, sum(n) AS n "
+    "FROM c GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM c GROUP BY b) y ON a = b) SELECT CAST(n AS BIGINT) AS n, round(same / n, 6) AS observed, "
+    "round(xy / n / n, 6) AS expected, round((same / n - xy / n / n) / (1 - xy / n / n), 6) AS kappa FROM t, m"
+)
 def kappa_quality_toxic(spark: SparkSession, d: str) -> DataFrame:
     made = stats.kappa(read(spark, d, "labels"), "quality", "toxic")
     return made.select("n", *(F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")))
 
 
-@register("WITH r AS (SELECT n_chars, lang, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM documents WHERE lang IN ('en', 'fr') AND n_chars IS NOT NULL) SELECT count(*) FILTER (lang = 'en') AS n_a, count(*) FILTER (lang = 'fr') AS n_b, CAST(sum(rk) FILTER (lang = 'en') - count(*) FILTER (lang = 'en') * (count(*) FILTER (lang = 'en') + 1) / 2 AS DOUBLE) AS u FROM r")
+@register(
+    "WITH r AS (SELECT n_chars, lang, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM documents "
+    "WHERE lang IN ('en', 'fr') AND n_chars IS NOT NULL) SELECT count(*) FILTER (lang = 'en') AS n_a, count(*) FILTER (lang = 'fr') AS n_b, "
+    "CAST(sum(rk) FILTER (lang = 'en') - count(*) FILTER (lang = 'en') * (count(*) FILTER (lang = 'en') + 1) / 2 AS DOUBLE) AS u FROM r"
+)
 def mannwhitney_u(spark: SparkSession, d: str) -> DataFrame:
     return stats.mann_whitney(read(spark, d, "documents"), "n_chars", "lang", "en", "fr")
 
 
-@register(f"WITH {COUNTS_SQL}, h AS (SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM counts) SELECT count(*) AS terms, round(regr_slope(ln(n), ln(rank)), 6) AS slope, round(regr_r2(ln(n), ln(rank)), 6) AS r2 FROM h WHERE rank <= 1000")
+@register(
+    f"WITH {COUNTS_SQL}, h AS (SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rank FROM counts) SELECT count(*) AS terms, "
+    f"round(regr_slope(ln(n), ln(rank)), 6) AS slope, round(regr_r2(ln(n), ln(rank)), 6) AS r2 FROM h WHERE rank <= 1000"
+)
 def zipf_slope(spark: SparkSession, d: str) -> DataFrame:
     made = stats.zipf(aggregate.term_counts(read(spark, d, "documents")), "term", "n")
     return made.select("terms", F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"))
@@ -346,35 +415,55 @@ def zipf_slope(spark: SparkSession, d: str) -> DataFrame:
 GAPS_SQL = "g AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events)"
 
 
-@register(f"WITH {GAPS_SQL} SELECT user_id, count(gap) AS gaps, round(avg(gap), 4) AS mean_gap, round((stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap)), 6) AS burstiness FROM g WHERE gap IS NOT NULL GROUP BY user_id")
+@register(
+    f"WITH {GAPS_SQL} SELECT user_id, count(gap) AS gaps, round(avg(gap), 4) AS mean_gap, round((stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + "
+    f"avg(gap)), 6) AS burstiness FROM g WHERE gap IS NOT NULL GROUP BY user_id"
+)
 def inter_event_burstiness(spark: SparkSession, d: str) -> DataFrame:
     made = stats.burstiness(read(spark, d, "events"), "user_id", "ts", "event_id")
     return made.select("user_id", "gaps", F.round("mean_gap", 4).alias("mean_gap"), F.round("burstiness", 6).alias("burstiness"))
 
 
-@register(f"WITH {GAPS_SQL}, s AS (SELECT *, sum(CASE WHEN gap <= 1800 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, min(ts) AS started, max(ts) AS ended FROM s GROUP BY ALL")
+@register(
+    f"WITH {GAPS_SQL}, s AS (SELECT *, sum(CASE WHEN gap <= 1800 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, "
+    f"event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, min(ts) AS started, "
+    f"max(ts) AS ended FROM s GROUP BY ALL"
+)
 def session_gap_windows(spark: SparkSession, d: str) -> DataFrame:
     return stats.sessions(read(spark, d, "events"), "user_id", "ts", "event_id")
 
 
-@register("WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) SELECT doc_id, lang, source FROM r WHERE rn <= 3")
+@register(
+    "WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn "
+    "FROM documents) SELECT doc_id, lang, source FROM r WHERE rn <= 3"
+)
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """Three documents of each language and source, by the hash of their id."""
     docs = read(spark, d, "documents").select("doc_id", "lang", "source")
     return dedup.numbered(docs, ["lang", "source"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]).where("rn <= 3").drop("rn")
 
 
-@register(f"SELECT source, CAST(sum(len(t)) AS BIGINT) AS tokens, round(avg(len(list_distinct(t)) / len(t)), 6) AS mean_ttr, round(1000.0 * sum(len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in HEDGES)})))) / sum(len(t)), 6) AS hedges_per_1000 FROM (SELECT source, {TERMS_SQL} AS t FROM documents) WHERE len(t) > 0 GROUP BY source")
+@register(
+    f"SELECT source, CAST(sum(len(t)) AS BIGINT) AS tokens, round(avg(len(list_distinct(t)) / len(t)), 6) AS mean_ttr, "
+    f"round(1000.0 * sum(len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in HEDGES)})))) / sum(len(t)), 6) AS hedges_per_1000 "
+    f"FROM (SELECT source, {TERMS_SQL} AS t FROM documents) WHERE len(t) > 0 GROUP BY source"
+)
 def ttr_and_hedging(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("source", T.terms(F.col("text")).alias("t")).where(F.size("t") > 0)
     n, hedges = F.size("t"), F.size(F.filter("t", lambda x: x.isin(HEDGES)))
     return docs.groupBy("source").agg(F.sum(n).alias("tokens"), F.round(F.avg(F.size(F.array_distinct("t")) / n), 6).alias("mean_ttr"), F.round(1000.0 * F.sum(hedges) / F.sum(n), 6).alias("hedges_per_1000"))
 
 
-C_TF_SQL = "SELECT lang, term, n, round(n / sum(n) OVER (PARTITION BY lang) * ln(1 + (SELECT sum(n) / count(DISTINCT lang) FROM counts) / sum(n) OVER (PARTITION BY term)), 9) AS score FROM counts"
+C_TF_SQL = (
+    "SELECT lang, term, n, round(n / sum(n) OVER (PARTITION BY lang) * ln(1 + (SELECT sum(n) / count(DISTINCT lang) "
+    "FROM counts) / sum(n) OVER (PARTITION BY term)), 9) AS score FROM counts"
+)
 
 
-@register(f"WITH {BY_LANG_SQL.split(', two AS')[0]}, scored AS ({C_TF_SQL}) SELECT lang, term, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rn FROM scored) WHERE rn <= 10")
+@register(
+    f"WITH {BY_LANG_SQL.split(', two AS')[0]}, scored AS ({C_TF_SQL}) SELECT lang, term, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang "
+    f"ORDER BY score DESC, term) AS rn FROM scored) WHERE rn <= 10"
+)
 def c_tf_idf(spark: SparkSession, d: str) -> DataFrame:
     """The ten terms of each language with the highest class-based TF-IDF."""
     docs = read(spark, d, "documents").select("lang", F.explode(T.content_terms(F.col("text"))).alias("term"))
@@ -387,19 +476,28 @@ def c_tf_idf(spark: SparkSession, d: str) -> DataFrame:
     return dedup.numbered(scored, ["lang"], [F.desc("score"), F.col("term")]).where("rn <= 10").select("lang", "term", "n", "score")
 
 
-@register("WITH t AS (SELECT corr(n_chars, quality) AS r, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL) SELECT n, round(r, 6) AS r FROM t")
+@register(
+    "WITH t AS (SELECT corr(n_chars, quality) AS r, count(*) AS n FROM documents JOIN labels USING (doc_id) "
+    "WHERE quality IS NOT NULL AND n_chars IS NOT NULL) SELECT n, round(r, 6) AS r FROM t"
+)
 def engagement_correlation(spark: SparkSession, d: str) -> DataFrame:
     both = read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels"), "doc_id").where("quality IS NOT NULL AND n_chars IS NOT NULL")
     return both.agg(F.count("*").alias("n"), F.round(F.corr("n_chars", "quality"), 6).alias("r"))
 
 
-@register("SELECT lang, round(avg(CASE WHEN length(text) < 20 THEN 1.0 ELSE 0.0 END), 9) AS short_rate, round(avg(CASE WHEN lang <> 'en' THEN 1.0 ELSE 0.0 END), 9) AS foreign_rate FROM documents GROUP BY lang")
+@register(
+    "SELECT lang, round(avg(CASE WHEN length(text) < 20 THEN 1.0 ELSE 0.0 END), 9) AS short_rate, round(avg(CASE WHEN lang <> 'en' THEN 1.0 ELSE 0.0 END), "
+    "9) AS foreign_rate FROM documents GROUP BY lang"
+)
 def quality_rates(spark: SparkSession, d: str) -> DataFrame:
     rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 9)
     return read(spark, d, "documents").groupBy("lang").agg(rate(F.length("text") < 20).alias("short_rate"), rate(F.col("lang") != "en").alias("foreign_rate"))
 
 
-@register("SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY ROLLUP (r_name, n_name)")
+@register(
+    "SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM region JOIN nation ON n_regionkey = r_regionkey "
+    "JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY ROLLUP (r_name, n_name)"
+)
 def forum_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Totals over a hierarchy of groups; orders are summed by customer before they meet the small tables."""
     per = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"))
@@ -417,7 +515,10 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return deltas.drained(deltas.without_repeats(deltas.event_stream(spark, f"{d}/events.parquet"), "event_id")).agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@register("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS events, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 9) AS error_rate FROM events GROUP BY 1")
+@register(
+    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS events, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 "
+    "END), 9) AS error_rate FROM events GROUP BY 1"
+)
 def stream_dashboard(spark: SparkSession, d: str) -> DataFrame:
     """Events and errors by hour, from the stream."""
     made = deltas.drained(deltas.dashboard(deltas.event_stream(spark, f"{d}/events.parquet")), mode="complete")

@@ -41,12 +41,19 @@ def discourse_modes(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(lexical.strongest(F.col("m"), lexical.DISCOURSE).alias("mode"), lexical.strongest(F.col("k"), lexical.KNOWLEDGE).alias("level")).agg(F.count("*").alias("n"))
 
 
-@register(r"SELECT doc_id, len(regexp_extract_all(lower(text), '\b(?:first|next|then|finally|step [0-9]+)\b')) AS step_markers, len(regexp_extract_all(text, '(?m)^\s*[0-9]+[.)]')) AS numbered_lines, len(regexp_extract_all(lower(text), '\b(?:you|your|yours)\b')) AS second_person, len(regexp_extract_all(lower(text), '\b(?:19|20)[0-9]{2}\b|\bpp?\.\s?[0-9]+|\bet al\b|\bibid\b')) AS citations FROM documents")
+@register(
+    r"SELECT doc_id, len(regexp_extract_all(lower(text), '\b(?:first|next|then|finally|step [0-9]+)\b')) AS step_markers, len(regexp_extract_all(text, "
+    r"'(?m)^\s*[0-9]+[.)]')) AS numbered_lines, len(regexp_extract_all(lower(text), '\b(?:you|your|yours)\b')) AS second_person, "
+    r"len(regexp_extract_all(lower(text), '\b(?:19|20)[0-9]{2}\b|\bpp?\.\s?[0-9]+|\bet al\b|\bibid\b')) AS citations FROM documents"
+)
 def register_features(spark: SparkSession, d: str) -> DataFrame:
     return lexical.register_features(read(spark, d, "documents")).select("doc_id", "step_markers", "numbered_lines", "second_person", "citations")
 
 
-@register(f"SELECT doc_id, round(len(list_distinct(t)) / len(t), 6) AS ttr, round(1000.0 * len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in HEDGES)}))) / len(t), 6) AS hedging FROM (SELECT doc_id, {TERMS_SQL} AS t FROM documents) WHERE len(t) > 0")
+@register(
+    f"SELECT doc_id, round(len(list_distinct(t)) / len(t), 6) AS ttr, round(1000.0 * len(list_filter(t, "
+    f"lambda x: x IN ({', '.join(repr(w) for w in HEDGES)}))) / len(t), 6) AS hedging FROM (SELECT doc_id, {TERMS_SQL} AS t FROM documents) WHERE len(t) > 0"
+)
 def expertise_features(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", T.terms(F.col("text")).alias("t")).where(F.size("t") > 0)
     return docs.select("doc_id", F.round(lexical.ttr(F.col("t")), 6).alias("ttr"), F.round(lexical.density(F.col("t"), HEDGES), 6).alias("hedging"))
@@ -57,7 +64,11 @@ def mtld_by_turn(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", lexical.mtld_forward(T.terms(F.col("text"))).alias("mtld"))
 
 
-@register(r"SELECT doc_id, round(4.71 * len(regexp_extract_all(text, '[\p{L}\p{N}]')) / len(w) + 0.5 * len(w) / greatest(len(regexp_extract_all(text, '[.!?]+(\s|$)')), 1) - 21.43, 6) AS ari FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents) WHERE len(w) > 0")
+@register(
+    r"SELECT doc_id, round(4.71 * len(regexp_extract_all(text, '[\p{L}\p{N}]')) / len(w) + 0.5 * len(w) / greatest(len(regexp_extract_all(text, "
+    r"'[.!?]+(\s|$)')), 1) - 21.43, 6) AS ari FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents) "
+    r"WHERE len(w) > 0"
+)
 def readability(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.round(lexical.ari(F.col("text")), 6).alias("ari")).where("ari IS NOT NULL")
 
@@ -83,7 +94,11 @@ GRAPH_SQL = """e AS (SELECT 'u' || user_id AS s, event_type || '/' || strftime(t
 p AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b FROM e WHERE s <> t), x AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), deg AS (SELECT a AS node, count(*) AS degree FROM x GROUP BY a)"""
 
 
-@register(f"WITH {GRAPH_SQL}, tri AS (SELECT x.a AS node, count(*) / 2 AS triangles FROM x JOIN x y ON x.b = y.a JOIN x z ON y.b = z.a AND z.b = x.a GROUP BY x.a) SELECT d.node, degree, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM deg d LEFT JOIN tri USING (node)")
+@register(
+    f"WITH {GRAPH_SQL}, tri AS (SELECT x.a AS node, count(*) / 2 AS triangles FROM x JOIN x y ON x.b = y.a JOIN x z ON y.b = z.a AND z.b = x.a "
+    f"GROUP BY x.a) SELECT d.node, degree, CAST(coalesce(triangles, 0) AS BIGINT) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(triangles, "
+    f"0) / (degree * (degree - 1)) ELSE 0 END, 6) AS clustering FROM deg d LEFT JOIN tri USING (node)"
+)
 def clustering_coefficients(spark: SparkSession, d: str) -> DataFrame:
     return network.clustering(user_edges(spark, d)).withColumn("clustering", F.round("clustering", 6))
 
@@ -98,31 +113,51 @@ def unanswered_turns(spark: SparkSession, d: str) -> DataFrame:
     return network.unanswered(read(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
 
 
-@register("WITH r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS a, rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2.0 AS b FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r")
+@register(
+    "WITH r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS a, "
+    "rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2.0 AS b FROM documents JOIN labels USING (doc_id) "
+    "WHERE n_chars IS NOT NULL AND quality IS NOT NULL) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r"
+)
 def spearman_length_quality(spark: SparkSession, d: str) -> DataFrame:
     both = read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels"), "doc_id")
     return stats.spearman(both, "n_chars", "quality").select("n", F.round("rho", 6).alias("rho"))
 
 
-@register("WITH s AS (SELECT count(n_chars) FILTER (lang = 'en') AS na, count(n_chars) FILTER (lang = 'fr') AS nb, avg(n_chars) FILTER (lang = 'en') AS ma, avg(n_chars) FILTER (lang = 'fr') AS mb, var_samp(n_chars) FILTER (lang = 'en') AS va, var_samp(n_chars) FILTER (lang = 'fr') AS vb FROM documents) SELECT na AS n_a, nb AS n_b, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d FROM s")
+@register(
+    "WITH s AS (SELECT count(n_chars) FILTER (lang = 'en') AS na, count(n_chars) FILTER (lang = 'fr') AS nb, avg(n_chars) FILTER (lang = 'en') AS ma, "
+    "avg(n_chars) FILTER (lang = 'fr') AS mb, var_samp(n_chars) FILTER (lang = 'en') AS va, var_samp(n_chars) FILTER (lang = 'fr') AS vb FROM documents) "
+    "SELECT na AS n_a, nb AS n_b, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d FROM s"
+)
 def effect_size(spark: SparkSession, d: str) -> DataFrame:
     return stats.cohens_d(read(spark, d, "documents"), "n_chars", "lang", "en", "fr").withColumn("d", F.round("d", 6))
 
 
-@register("WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL), z AS (SELECT *, (n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0) AS z FROM c WINDOW w AS (PARTITION BY event_type)) SELECT event_type, strftime(day, '%Y-%m-%d') AS day, n, round(z, 6) AS z FROM z WHERE z >= 2")
+@register(
+    "WITH c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL), z AS (SELECT *, "
+    "(n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0) AS z FROM c WINDOW w AS (PARTITION BY event_type)) SELECT event_type, strftime(day, "
+    "'%Y-%m-%d') AS day, n, round(z, 6) AS z FROM z WHERE z >= 2"
+)
 def activity_bursts(spark: SparkSession, d: str) -> DataFrame:
     daily = read(spark, d, "events").where("event_type IS NOT NULL").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return stats.bursts(daily, "event_type", "day", "n").select("event_type", F.col("day").cast("string").alias("day"), "n", F.round("z", 6).alias("z"))
 
 
-@register("WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), e AS (SELECT DISTINCT day FROM c WHERE extract('dow' FROM day) = 0) SELECT strftime(e.day, '%Y-%m-%d') AS event, round(coalesce(sum(n), 0) / 7.0, 6) AS before, coalesce(sum(n), 0) / 7.0 >= 1.3 * (SELECT avg(n) FROM c) AS spike FROM e LEFT JOIN c ON c.day BETWEEN e.day - 7 AND e.day - 1 GROUP BY e.day")
+@register(
+    "WITH c AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), e AS (SELECT DISTINCT day FROM c WHERE extract('dow' FROM day) = 0) "
+    "SELECT strftime(e.day, '%Y-%m-%d') AS event, round(coalesce(sum(n), 0) / 7.0, 6) AS before, coalesce(sum(n), 0) / 7.0 >= 1.3 * (SELECT avg(n) "
+    "FROM c) AS spike FROM e LEFT JOIN c ON c.day BETWEEN e.day - 7 AND e.day - 1 GROUP BY e.day"
+)
 def calendar_spikes(spark: SparkSession, d: str) -> DataFrame:
     daily = read(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     found = stats.before_events(daily, daily.where(F.dayofweek("day") == 1).select("day"))
     return found.select(F.col("event").cast("string").alias("event"), F.round("before", 6).alias("before"), "spike")
 
 
-@register("WITH f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS born FROM events), w AS (SELECT user_id, CAST(date_diff('day', CAST(born AS DATE), CAST(ts AS DATE)) // 7 AS BIGINT) AS week, event_type FROM f) SELECT week, count(DISTINCT user_id) AS users, count(*) AS events, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM w GROUP BY week")
+@register(
+    "WITH f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS born FROM events), w AS (SELECT user_id, CAST(date_diff('day', CAST(born AS DATE), "
+    "CAST(ts AS DATE)) // 7 AS BIGINT) AS week, event_type FROM f) SELECT week, count(DISTINCT user_id) AS users, count(*) AS events, "
+    "round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM w GROUP BY week"
+)
 def newcomer_trajectory(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     born = e.groupBy("user_id").agg(F.min("ts").alias("born"))
@@ -130,16 +165,28 @@ def newcomer_trajectory(spark: SparkSession, d: str) -> DataFrame:
     return e.join(born, "user_id").groupBy(week.alias("week")).agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("events"), F.round(F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)), 6).alias("error_rate"))
 
 
-@register("WITH r AS (SELECT doc_id, lang, n_chars // 500 AS k, row_number() OVER (PARTITION BY n_chars // 500, lang ORDER BY md5(CAST(doc_id AS VARCHAR))) AS rn FROM documents WHERE lang IN ('en', 'fr')), m AS (SELECT k, least(count(*) FILTER (lang = 'en'), count(*) FILTER (lang = 'fr')) AS n FROM r GROUP BY k) SELECT doc_id, lang FROM r JOIN m USING (k) WHERE rn <= n")
+@register(
+    "WITH r AS (SELECT doc_id, lang, n_chars // 500 AS k, row_number() OVER (PARTITION BY n_chars // 500, lang "
+    "ORDER BY md5(CAST(doc_id AS VARCHAR))) AS rn FROM documents WHERE lang IN ('en', 'fr')), m AS (SELECT k, least(count(*) FILTER (lang = 'en'), "
+    "count(*) FILTER (lang = 'fr')) AS n FROM r GROUP BY k) SELECT doc_id, lang FROM r JOIN m USING (k) WHERE rn <= n"
+)
 def matched_controls(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "lang", "n_chars")
     return stats.matched(docs, "lang", "en", "fr", F.floor(F.col("n_chars") / 500), F.md5(F.col("doc_id").cast("string"))).select("doc_id", "lang")
 
 
-NPMI_SQL = f"t AS (SELECT DISTINCT doc_id, unnest({CONTENT_SQL}) AS term FROM documents), f AS (SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, term LIMIT 50), u AS (SELECT doc_id, term FROM t WHERE term IN (SELECT term FROM f))"
+NPMI_SQL = (
+    f"t AS (SELECT DISTINCT doc_id, unnest({CONTENT_SQL}) AS term FROM documents), f AS (SELECT term, count(*) AS n FROM t GROUP BY term ORDER BY n DESC, "
+    f"term LIMIT 50), u AS (SELECT doc_id, term FROM t WHERE term IN (SELECT term FROM f))"
+)
 
 
-@register(f"WITH {NPMI_SQL}, p AS (SELECT x.term AS source, y.term AS target, count(*)::DOUBLE AS k FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL), g AS (SELECT count(*)::DOUBLE AS g FROM documents) SELECT source, target, CAST(k AS BIGINT) AS n_both, round(CASE WHEN k < g THEN ln((k / g) / ((a.n / g) * (b.n / g))) / -ln(k / g) ELSE 1 END, 6) AS npmi FROM p JOIN f a ON a.term = source JOIN f b ON b.term = target, g")
+@register(
+    f"WITH {NPMI_SQL}, p AS (SELECT x.term AS source, y.term AS target, count(*)::DOUBLE AS k FROM u x JOIN u y ON x.doc_id = y.doc_id AND x.term < y.term "
+    f"GROUP BY ALL), g AS (SELECT count(*)::DOUBLE AS g FROM documents) SELECT source, target, CAST(k AS BIGINT) AS n_both, "
+    f"round(CASE WHEN k < g THEN ln((k / g) / ((a.n / g) * (b.n / g))) / -ln(k / g) ELSE 1 END, 6) AS npmi FROM p JOIN f a ON a.term = source "
+    f"JOIN f b ON b.term = target, g"
+)
 def npmi_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of the fifty terms that most documents have."""
     docs = read(spark, d, "documents")

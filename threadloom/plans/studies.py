@@ -67,7 +67,10 @@ def entity_emotions(spark: SparkSession, d: str) -> DataFrame:
 SENSES = {**lexical.SENSES, "invented": "la el en"}
 
 
-@register(f"SELECT source, {', '.join(f'round(1000.0 * sum({k}) / sum(n), 6) AS {k}' for k in SENSES)} FROM (SELECT source, len(t) AS n, {lexicon_sql(SENSES)} FROM (SELECT source, {TERMS_SQL} AS t FROM documents)) GROUP BY source HAVING sum(n) > 0")
+@register(
+    f"SELECT source, {', '.join(f'round(1000.0 * sum({k}) / sum(n), 6) AS {k}' for k in SENSES)} FROM (SELECT source, len(t) AS n, {lexicon_sql(SENSES)} "
+    f"FROM (SELECT source, {TERMS_SQL} AS t FROM documents)) GROUP BY source HAVING sum(n) > 0"
+)
 def sensory_density(spark: SparkSession, d: str) -> DataFrame:
     """Words of each sense for each thousand terms, by source."""
     docs = read(spark, d, "documents").select("source", T.terms(F.col("text")).alias("t"))
@@ -101,7 +104,8 @@ def aggregate_by(rows: DataFrame, by: str, **flags) -> DataFrame:
 @register(
     f"WITH r AS (SELECT role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, {phrase_sql(lexical.GRATITUDE)} + {phrase_sql('de|la|of')} AS thanks, "
     f"{', '.join(f'{phrase_sql(p)} AS {k}' for k, p in lexical.CHALLENGE.items())} FROM conversations) "
-    "SELECT before AS receiver, count(*) AS replies, count(*) FILTER (thanks > 0) AS acknowledged, count(*) FILTER (evidence > 0) AS evidence, count(*) FILTER (doctrine > 0) AS doctrine, count(*) FILTER (safety > 0) AS safety "
+        "SELECT before AS receiver, count(*) AS replies, count(*) FILTER (thanks > 0) AS acknowledged, count(*) FILTER (evidence > 0) AS evidence, "
+        "count(*) FILTER (doctrine > 0) AS doctrine, count(*) FILTER (safety > 0) AS safety "
     "FROM r WHERE before IS NOT NULL GROUP BY before"
 )
 def acknowledgement(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +138,8 @@ STANCES = {"hedging": "perhaps|maybe|it seems|or", "experience": "i felt|i saw|i
 
 
 @register(
-    f"SELECT source, {', '.join(f'round(1000.0 * sum({k}) / sum(n), 6) AS {k}' for k in STANCES)} FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+')) AS n, "
+        f"SELECT source, {', '.join(f'round(1000.0 * sum({k}) / sum(n), 6) AS {k}' for k in STANCES)} FROM (SELECT source, "
+        f"len(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]+')) AS n, "
     f"{', '.join(f'{phrase_sql(p)} AS {k}' for k, p in STANCES.items())} FROM documents) GROUP BY source HAVING sum(n) > 0"
 )
 def stance_densities(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +150,8 @@ def stance_densities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    "WITH f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS born FROM events) SELECT user_id, count(*) FILTER (ts < born + INTERVAL 30 DAY) AS first_month, count(*) FILTER (ts < born + INTERVAL 30 DAY) > 5 AS integrated FROM f GROUP BY user_id"
+        "WITH f AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS born FROM events) SELECT user_id, "
+        "count(*) FILTER (ts < born + INTERVAL 30 DAY) AS first_month, count(*) FILTER (ts < born + INTERVAL 30 DAY) > 5 AS integrated FROM f GROUP BY user_id"
 )
 def newcomer_integration(spark: SparkSession, d: str) -> DataFrame:
     """Users by what they wrote in their first thirty days; more than five is integration."""
@@ -157,7 +163,8 @@ def newcomer_integration(spark: SparkSession, d: str) -> DataFrame:
 
 REMOVED_SQL = (
     f"t AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE toxic IS NOT NULL GROUP BY doc_id), w AS (SELECT toxic, unnest({TERMS_SQL}) AS term FROM documents JOIN t USING (doc_id)), "
-    "two AS (SELECT term, count(*) FILTER (toxic = 1)::DOUBLE AS x, count(*) FILTER (toxic = 0)::DOUBLE AS y FROM w WHERE toxic IN (0, 1) GROUP BY term), s AS (SELECT sum(x) AS tx, sum(y) AS ty FROM two)"
+        "two AS (SELECT term, count(*) FILTER (toxic = 1)::DOUBLE AS x, count(*) FILTER (toxic = 0)::DOUBLE AS y FROM w WHERE toxic IN (0, 1) GROUP BY term), "
+        "s AS (SELECT sum(x) AS tx, sum(y) AS ty FROM two)"
 )
 
 
@@ -172,7 +179,8 @@ def removed_contrast(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    f"WITH {BY_LANG_SQL.split(', two AS')[0]}, r AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rn FROM counts), h AS (SELECT lang, term FROM r WHERE rn <= 20) "
+        f"WITH {BY_LANG_SQL.split(', two AS')[0]}, r AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rn FROM counts), "
+        f"h AS (SELECT lang, term FROM r WHERE rn <= 20) "
     "SELECT round(count(DISTINCT term) / count(term), 9) AS diversity FROM h"
 )
 def topic_diversity(spark: SparkSession, d: str) -> DataFrame:
@@ -194,14 +202,16 @@ def rounds_sql(first: str, step: str, rounds: int) -> str:
 
 RANK_SQL = rounds_sql(
     "SELECT node, 1.0::DOUBLE / (SELECT n FROM c) AS rank FROM nodes",
-    "SELECT v.node, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM nodes v, c, (SELECT coalesce(sum(rank), 0) AS lost FROM {r} WHERE node NOT IN (SELECT source FROM e)) l "
+        "SELECT v.node, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + l.lost / c.n) AS rank FROM nodes v, c, (SELECT coalesce(sum(rank), 0) AS lost FROM {r} "
+        "WHERE node NOT IN (SELECT source FROM e)) l "
     "LEFT JOIN (SELECT target, sum(rank * share) AS got FROM sh JOIN {r} ON node = source GROUP BY target) g ON g.target = v.node",
     20,
 )
 
 
 @register(
-    f"WITH {DEGREES_SQL}, nodes AS (SELECT source AS node FROM e UNION SELECT target FROM e), c AS (SELECT count(*)::DOUBLE AS n FROM nodes), sh AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM e), "
+        f"WITH {DEGREES_SQL}, nodes AS (SELECT source AS node FROM e UNION SELECT target FROM e), c AS (SELECT count(*)::DOUBLE AS n FROM nodes), "
+        f"sh AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM e), "
     f"{RANK_SQL} SELECT node, round(rank, 9) AS rank FROM r20"
 )
 def pagerank_of_replies(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +220,8 @@ def pagerank_of_replies(spark: SparkSession, d: str) -> DataFrame:
 
 EIGEN_SQL = rounds_sql(
     "SELECT DISTINCT a AS node, 1.0::DOUBLE AS v FROM x",
-    "SELECT node, raw / sqrt(sum(raw * raw) OVER ()) AS v FROM (SELECT r.node, any_value(r.v) + sum(o.v) AS raw FROM {r} r JOIN x ON x.a = r.node JOIN {r} o ON o.node = x.b GROUP BY r.node)",
+        "SELECT node, raw / sqrt(sum(raw * raw) OVER ()) AS v FROM (SELECT r.node, any_value(r.v) + sum(o.v) AS raw FROM {r} r JOIN x ON x.a = r.node "
+        "JOIN {r} o ON o.node = x.b GROUP BY r.node)",
     10,
 )
 
@@ -305,14 +316,18 @@ def sql_surface(spark: SparkSession, d: str) -> DataFrame:
     """The same text as its oracle, over views with a prefix of their own."""
     prefix = f"v{uuid.uuid4().hex}_"
     register_views(spark, d, prefix, ("documents", "labels"))
-    return spark.sql(f"SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS quality FROM {prefix}documents d LEFT JOIN {prefix}labels l ON d.doc_id = l.doc_id GROUP BY lang HAVING count(*) > 1")
+    return spark.sql(
+        f"SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS quality FROM {prefix}documents d LEFT JOIN {prefix}labels l ON d.doc_id = l.doc_id "
+        f"GROUP BY lang HAVING count(*) > 1"
+    )
 
 
 SETS_SQL = "a AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id FROM labels)"
 
 
 @register(
-    f"WITH {SETS_SQL} SELECT 'intersect' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) "
+        f"WITH {SETS_SQL} SELECT 'intersect' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) "
+        f"FROM (SELECT * FROM a EXCEPT SELECT * FROM b) "
     "UNION ALL SELECT 'except_all', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)"
 )
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
@@ -322,7 +337,10 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])
 
 
-@register("SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, CAST(grouping_id(lang, source) AS BIGINT) AS level FROM documents GROUP BY CUBE (lang, source)")
+@register(
+    "SELECT coalesce(lang, 'all') AS lang, coalesce(source, 'all') AS source, count(*) AS n, CAST(grouping_id(lang, source) AS BIGINT) AS level "
+    "FROM documents GROUP BY CUBE (lang, source)"
+)
 def language_source_cube(spark: SparkSession, d: str) -> DataFrame:
     made = read(spark, d, "documents").cube("lang", "source").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
     return made.select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("source", F.lit("all")).alias("source"), "n", "level")
@@ -339,7 +357,8 @@ def approximate_aggregates(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 1800000000 THEN 0 ELSE 1 END AS new FROM events), "
-    "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS events FROM s GROUP BY user_id, k"
+        "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), "
+        "'%Y-%m-%d %H:%M:%S') AS started, count(*) AS events FROM s GROUP BY user_id, k"
 )
 def event_time_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions by event time, as streams have them."""
@@ -349,7 +368,8 @@ def event_time_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS events, round(1 - count(DISTINCT user_id) / count(*), 9) AS repeated, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END), 9) AS short, "
+        "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS events, round(1 - count(DISTINCT user_id) / count(*), "
+        "9) AS repeated, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END), 9) AS short, "
     "count(*) < 20 AS slow, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) > 0.05 AS failing FROM events GROUP BY date_trunc('hour', ts)"
 )
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
