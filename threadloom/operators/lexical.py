@@ -144,7 +144,7 @@ def lexicon_counts(tokens: Column, lexicons: dict[str, str]) -> Column:
 
 def imperatives(text: Column) -> Column:
     """Sentences that begin with an imperative."""
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?:^|[.!?]\s+)(?:{'|'.join(IMPERATIVES)})(?![a-z])")).cast("long")
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"(?:^|[.!?]\s+)(?:{'|'.join(IMPERATIVES)})(?![A-Za-z0-9_])")).cast("long")
 
 
 def steps_similarity(a: Column, b: Column) -> Column:

@@ -328,11 +328,6 @@ def degree_stats(spark: SparkSession, d: str) -> DataFrame:
     return network.degrees(reply_edges(spark, d))
 
 
-@register()
-def pagerank_roles(spark: SparkSession, d: str) -> DataFrame:
-    return network.pagerank(reply_edges(spark, d))
-
-
 @register("""WITH once AS (SELECT DISTINCT user_id, event_type || '-' || CAST(CAST(floor(value) AS BIGINT) % 20 AS VARCHAR) AS item FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL), s AS (SELECT item, count(*) AS n FROM once GROUP BY item HAVING count(*) >= 3),
 b AS (SELECT x.item AS source, y.item AS target, count(*) AS n_both FROM once x JOIN once y ON x.user_id = y.user_id AND x.item < y.item GROUP BY ALL)
 SELECT source, target, n_both AS "both", round(n_both / (p.n + q.n - n_both), 6) AS jaccard FROM b JOIN s p ON p.item = source JOIN s q ON q.item = target WHERE n_both / (p.n + q.n - n_both) >= 0.05""")

@@ -118,7 +118,7 @@ def acknowledgement(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    rf"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '(?:^|[.!?]\s+)(?:{'|'.join([*lexical.IMPERATIVES])})([^a-z]|$)')) AS imperatives FROM documents"
+    rf"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '(?:^|[.!?]\s+)(?:{'|'.join([*lexical.IMPERATIVES])})\b')) AS imperatives FROM documents"
 )
 def imperative_sentences(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", lexical.imperatives(F.col("text")).alias("imperatives"))
@@ -214,7 +214,7 @@ RANK_SQL = rounds_sql(
         f"sh AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM e), "
     f"{RANK_SQL} SELECT node, round(rank, 9) AS rank FROM r20"
 )
-def pagerank_of_replies(spark: SparkSession, d: str) -> DataFrame:
+def pagerank_roles(spark: SparkSession, d: str) -> DataFrame:
     return network.pagerank(reply_edges(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
