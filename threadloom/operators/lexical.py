@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +75,11 @@ def ttr(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.size(F.array_distinct(tokens)) / F.size(tokens))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once for a row: a lambda that names an expression would make it again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def mtld_forward(tokens: Column, cut: float = 0.72) -> Column:
     """Mean length of runs whose type-token ratio stays above the cut, forwards; the last run counts in part.
 
@@ -80,12 +87,13 @@ def mtld_forward(tokens: Column, cut: float = 0.72) -> Column:
     all that has to be known of it: places come from one sort of the row's tokens, not from a growing set.
     """
     placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    by_term = F.array_sort(placed)
-    # the place where the same term stood before, -1 for none, back in the order of places
-    before = F.transform(
-        by_term,
-        lambda x, k: F.struct(x["i"].alias("i"), F.when((k > 0) & (F.get(by_term, k - 1)["t"] == x["t"]), F.get(by_term, k - 1)["i"]).otherwise(-1).alias("last")),
-    )
+
+    def with_last(sorted_: Column) -> Column:
+        """The place of each token and the one where it stood before, -1 for none."""
+        same = lambda x, k: (k > 0) & (F.get(sorted_, k - 1)["t"] == x["t"])
+        return F.transform(sorted_, lambda x, k: F.struct(x["i"].alias("i"), F.when(same(x, k), F.get(sorted_, k - 1)["i"]).otherwise(-1).alias("last")))
+
+    before = bound(F.array_sort(placed), with_last)
     start = F.struct(F.lit(0).alias("begun"), F.lit(0).alias("types"), F.lit(0).alias("n"), F.lit(0.0).alias("factors"))
 
     def step(s: Column, x: Column) -> Column:
