@@ -11,33 +11,37 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found, with that language; those without a letter go. The model is learnt from the labelled documents."""
+    """Documents whose language is found, with that language; null and empty texts and those without a letter go. The model is learnt from the labelled documents.
+
+    Without a labelled document none has a language, so none stays. Repeated rows stay repeated; other columns pass through.
+    """
     found = langid.predict(docs, langid.fit(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of a similarity of 0.8 or more on five-word shingles."""
+    """One document of each group of a similarity of 0.8 or more on five-word shingles: that of the smallest id, a null id first. Texts without words, null ones among them, are one group; repeated rows are copies."""
     return neardup.without_near_duplicates(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words or more that an earlier document (or place) has."""
+    """Texts without the passages of 50 words or more that an earlier document (or place) has, and their new lengths. Every row stays; a text of nothing but repeats becomes empty, a null one stays null."""
     cut = suffixdedup.without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it: not at all, once or twice."""
-    key = F.xxhash64("doc_id", "source", "text").alias("__key")
-    sized = docs.select(key, "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    chosen = mixing.mix(sized, columns=("__key",)).where("copies > 0").groupBy("__key").agg(F.max("copies").alias("__copies"))
-    joined = docs.withColumn("__key", key).join(chosen, "__key")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    """Each document as often as the mixture takes it: not at all, once or twice. Null sources are a source; rows of equal id, source and text are taken alike; an empty table stays empty."""
+    key, copies, copy = (common.free_name(docs, x) for x in ("__key", "__copies", "__copy"))
+    own = F.xxhash64("doc_id", "source", "text").alias(key)
+    sized = docs.select(own, "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    chosen = mixing.mix(sized, columns=(key,)).where("copies > 0").groupBy(key).agg(F.max("copies").alias(copies))
+    joined = docs.withColumn(key, own).join(chosen, key)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens, the token ids and the text that they decode to."""
+    """doc_id, source, lang, n_tokens, the token ids and the text that they decode to, a row per row; a null or empty text has no ids and decodes to an empty one."""
     path = common.tokenizer_path(VOCABULARY)
     return bpe.decode(bpe.encode(docs, path, columns=("source", "lang")), path)
 
