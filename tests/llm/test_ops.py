@@ -699,12 +699,16 @@ def test_id_files(spark, library, tmp_path):
     docs = odd_docs(spark)
     idfiles.write(docs, PATH, str(tmp_path / "ids"), block_bytes=1000)
     rows = sorted(idfiles.read(spark.read.parquet(str(tmp_path / "ids"))).collect(), key=lambda r: r["start"])
-    order = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, (r["text"] or "").encode()))
-    start = 0
-    for r, d in zip(rows, order, strict=True):
-        ids = [*library.encode(d["text"] or "", add_special_tokens=False).ids, 2]
-        assert (r["doc_id"], r["start"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist()) == (d["doc_id"], start, len(ids), ids)
+    start, found = 0, []
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert (r["start"], r["n_tokens"]) == (start, len(ids))
         start += len(ids)
+        found.append((r["doc_id"], ids))
+    assert [x is not None for x, _ in found] == sorted(x is not None for x, _ in found)
+    assert [x for x, _ in found if x is not None] == sorted(x for x, _ in found if x is not None)
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(found, key=key) == sorted(((d["doc_id"], [*library.encode(d["text"] or "", add_special_tokens=False).ids, 2]) for d in docs.collect()), key=key)
     idfiles.write(docs_of(spark, []), PATH, str(tmp_path / "none"))
     assert idfiles.read(spark.read.parquet(str(tmp_path / "none"))).count() == 0
 
@@ -749,7 +753,7 @@ def test_one_of_each_group_stays(spark):
 
 def brute_near(texts):
     """The first text of each component of exact similarity 0.8 or more."""
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
     parent = list(range(len(texts)))
 
     def find(x):
@@ -803,19 +807,53 @@ def test_tiles_equal_brute_force(monkeypatch):
             assert groups[0] == groups[1]
 
 
-def test_pipeline(spark, sf):
+def brute_cut(texts):
+    """The texts (in the order of places) without the words that a run of 50 covers which stands in an earlier place."""
+    out = []
+    for own, text in zip(brute_repeats([" ".join(common.WORD_RE.findall(t or "")) for t in texts]).values(), texts, strict=True):
+        places = [m.span() for m in common.WORD_RE.finditer(text or "")]
+        runs = [[k for k, _ in g] for gone, g in itertools.groupby(((i, i in own) for i in range(len(places))), key=lambda x: x[1]) if not gone]
+        out.append("\n".join(text[places[r[0]][0] : places[r[-1]][1]] for r in runs) if own else text)
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, library, tmp_path):
+    """Each stage on what the one before kept, against a plain version of it."""
+    import duckdb
+
     import corpus_pipeline as p
 
-    docs, columns = spark.read.parquet(f"{SF}/documents.parquet"), sf.columns.tolist()
-    sizes = []
-    for i, (_, stage) in enumerate(p.STAGES):
-        made = stage(spark, docs, SF)
-        made.write.parquet(to := common.folder(spark, "test"))
+    rows = spark.read.parquet(f"{SF}/documents.parquet").toPandas().sort_values("doc_id").to_dict("records")[:140]
+    r = random.Random(11)
+    passage = " ".join(f"q{i}" for i in range(70))
+    base = rows[3]["text"].split()
+    extra = [rows[5]["text"].upper(), " ".join([*base[:-1], "changed"]), *(" ".join([*(f"z{r.randint(0, 10**6)}" for _ in range(60)), passage]) for _ in range(5)), "123 ½", "", None]
+    rows += [{"doc_id": 10_000 + i, "text": t, "lang": None, "source": rows[i]["source"], "n_chars": len(t or "")} for i, t in enumerate(extra)]
+    docs = spark.createDataFrame([tuple(x[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for x in rows], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in p.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(to := common.folder(spark, "test"))
         docs = spark.read.parquet(to)
-        sizes.append(docs.count())
-        assert i == len(p.STAGES) - 1 or docs.columns == columns
-    assert sizes[0] <= len(sf) and sizes[1] < sizes[0] and sizes[2] == sizes[1] and sizes[4] == sizes[3]
-    assert {"doc_id", "n_tokens", "ids", "decoded"} <= set(docs.columns)
+        kept.append(sorted((x.asDict() for x in docs.collect()), key=lambda x: x["doc_id"]))
+    language, near, cut, mixed, ids = kept
+    assert [x["doc_id"] for x in language] == [x["doc_id"] for x in rows if any(c.isalpha() for c in x["text"] or "")]
+    assert all(x["lang"] == y["lang"] for x, y in zip(language, rows, strict=False) if x["doc_id"] == y["doc_id"] and y["lang"])
+    ascii_lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    first = brute_near([" ".join(common.WORD_RE.findall(ascii_lower(x["text"]))) for x in language])
+    assert [x["doc_id"] for x in near] == [language[i]["doc_id"] for i in first] and len(near) <= len(language) - 2
+    assert [x["text"] for x in cut] == brute_cut([x["text"] for x in near]) and sum(x["text"] != y["text"] for x, y in zip(cut, near, strict=True)) >= 4
+    c = duckdb.connect()
+    table = __import__("pandas").DataFrame(cut)
+    c.register("cut", table)
+    taken = dict(c.sql("WITH " + mixing.MIX_SQL.format(docs="cut", certain=repr(mixing.CERTAIN)) + "SELECT doc_id, n FROM mixed WHERE n > 0").fetchall())
+    assert {k: len(list(g)) for k, g in itertools.groupby(x["doc_id"] for x in mixed)} == taken
+    texts = {x["doc_id"]: x["text"] for x in mixed}
+    assert [x["doc_id"] for x in ids] == [x["doc_id"] for x in mixed]
+    for x in ids:
+        own = library.encode(texts[x["doc_id"]], add_special_tokens=False).ids
+        assert np.frombuffer(x["ids"], "<u4").tolist() == own and x["decoded"] == library.decode(own, skip_special_tokens=False)
+    assert p.run(spark, str(tmp_path)).count() == len(ids)
 
 
 def test_queries_that_sql_expresses(spark):

@@ -74,7 +74,7 @@ BLOCK_SCHEMA = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(),
 
 
 def write(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> None:
-    """Writes the ids of docs to the folder `to`, ascending by document id over files and within them; null ids come first, equal ones by text.
+    """Writes the ids of docs to the folder `to`, ascending by document id over files and within them; null ids come first, equal ones by a hash of the text.
 
     A file holds blocks: the documents' ids (64 bits), which of them are null, how many token ids each has (32 bits), how many
     ids the file's earlier blocks have, the block's different token ids by falling frequency (32 bits), and the ranks of all
@@ -105,8 +105,10 @@ def write(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", text_col:
             before += len(ids)
             yield pa.RecordBatch.from_pylist([row], schema=BLOCK_SCHEMA)
 
-    frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    frame.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, BLOCKS).write.parquet(to)
+    # rows of one id (or of none) are told apart, so that they are no range of their own
+    frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    frame.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, BLOCKS).write.parquet(to)
 
 
 def starts(blocks: DataFrame) -> DataFrame:

@@ -184,7 +184,8 @@ def grouped(prints: DataFrame) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected(links(nodes.select("fp")))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written before the join, so that a component of most fingerprints is a skewed join that Spark can split
+    least = checkpointed(labelled.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = checkpointed(labelled.join(least, "root").select("fp", "component_id"))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
