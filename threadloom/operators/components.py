@@ -1,33 +1,89 @@
-"""Connected components by alternating stars, over edges that never leave the cluster."""
+"""Connected components by contraction: tasks join what they see, and only edges between the remaining roots go on."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import checkpointed
 
 
+def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 to n - 1, the smallest node that the edges a, b lead to: labels sink along edges and pointers until nothing changes."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        for side in (a, b):
+            np.minimum.at(label, before[side], least)
+            np.minimum.at(label, side, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges (a, b, and the order of both), each node with its root: the node of the smallest order that these edges lead to."""
+    parts = list(batches)
+    if not parts or not sum(p.num_rows for p in parts):
+        return
+    table = pa.Table.from_batches(parts)
+    nodes = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks().dictionary_encode()
+    order = np.concatenate([table.column("x").to_numpy(), table.column("y").to_numpy()])
+    codes, distinct = nodes.indices.to_numpy(), nodes.dictionary
+    first = np.zeros(len(distinct), np.int64)
+    first[codes] = order
+    ranked = np.argsort(first, kind="stable")
+    place = np.empty(len(distinct), np.int64)
+    place[ranked] = np.arange(len(distinct))
+    half = len(codes) // 2
+    roots = local_roots(place[codes[:half]], place[codes[half:]], len(distinct))
+    up = pa.array(ranked[roots])
+    own = pa.array(ranked)
+    made = pa.RecordBatch.from_arrays([distinct.take(own), distinct.take(up), pa.array(first[ranked[roots]])], names=["node", "root", "z"])
+    for i in range(0, made.num_rows, 1 << 16):
+        yield made.slice(i, 1 << 16)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) for every node of the edges (a, b: of one type); nodes without edges have no row.
 
-    Large stars and small stars take turns until the edges no longer change, which takes a number of rounds about the
-    logarithm of the longest path. A round aggregates by node before it joins, and the aggregate is written first, so that
-    both sides of the join have a shuffle of their own: a hub is then a skewed join that Spark can split. Each round
-    ends in a checkpoint.
+    In a round each task joins the edges it has, and sends every node once with the root it found. Where a node's roots
+    differ, edges between them go on; a node that was no task's root is done, and keeps a pointer to one of its roots.
+    The order that makes a root is a hash that changes with the round, so even of a path a constant share of nodes is done
+    in each, and rounds are about the logarithm of the longest path. A hub is as many rows as there are tasks, not as it has
+    edges. Pointers are then followed by doubling. A task holds the edges of its partition; each round ends in a
+    checkpoint.
     """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    kind = dict(edges.dtypes)["a"]
+    live = edges.where("a <> b").select("a", "b")
+    pointers: list[DataFrame] = []
+    rounds = 0
     while True:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = checkpointed(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        now = checkpointed(small.where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        ranked = live.select("a", "b", F.xxhash64("a", F.lit(rounds)).alias("x"), F.xxhash64("b", F.lit(rounds)).alias("y"))
+        seen = ranked.mapInArrow(joined, f"node {kind}, root {kind}, z long")
+        met = checkpointed(seen.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("z", "root"))).alias("roots")))
+        least = F.col("roots")[0]["root"]
+        done = ~F.exists("roots", lambda r: r["root"] == F.col("node"))
+        pointers.append(met.where(done).select("node", least.alias("up")))
+        live = met.where(F.size("roots") > 1).select(least.alias("b"), F.explode(F.slice("roots", 2, F.size("roots") - 1)).alias("r")).select(F.col("r.root").alias("a"), "b")
+        rounds += 1
+        if live.isEmpty():
             break
-        seen = state
-    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    ups = pointers[0]
+    for more in pointers[1:]:
+        ups = ups.unionAll(more)
+    steps = 1
+    while steps < rounds:
+        ups = checkpointed(ups)
+        further = ups.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        ups = ups.join(further, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        steps *= 2
+    ups = checkpointed(ups)
+    smallest = checkpointed(ups.groupBy("up").agg(F.min("node").alias("m")).select("up", F.least("up", "m").alias("root")))
+    below = ups.join(smallest, "up").select("node", "root")
+    return below.unionAll(smallest.select(F.col("up").alias("node"), "root"))
