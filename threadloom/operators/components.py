@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import checkpointed
+from ..storage import checkpointed, trimmed
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -65,7 +65,7 @@ def connected(edges: DataFrame) -> DataFrame:
     rounds = 0
     while True:
         ranked = live.select("a", "b", F.xxhash64("a", F.lit(rounds)).alias("x"), F.xxhash64("b", F.lit(rounds)).alias("y"))
-        seen = ranked.mapInArrow(joined, f"node {kind}, root {kind}, z long")
+        seen = ranked.mapInArrow(trimmed(joined), f"node {kind}, root {kind}, z long")
         met = checkpointed(seen.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("z", "root"))).alias("roots")))
         least = F.col("roots")[0]["root"]
         done = ~F.exists("roots", lambda r: r["root"] == F.col("node"))

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. Where the session names none, a temporary one is set on a local master; on a cluster that is an error."""
@@ -36,3 +43,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder by columns: it takes less than a checkpoint, and later joins know its size from its files."""
     df.write.parquet(to := folder(df.sparkSession, name))
     return df.sparkSession.read.parquet(to)
+
+
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system: workers outlive their tasks, and share their executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, in a worker that gives its free memory back at the end of the task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
