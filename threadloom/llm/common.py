@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
 import functools
-import gc
 import os
 import re
 import sys
@@ -16,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import checkpointed, folder, shared_folder, stored  # noqa: F401  the operators take them from here
+from ..storage import checkpointed, folder, give_back, shared_folder, stored  # noqa: F401  the operators take them from here
 
 #: A word of the contracts: a run of bytes other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,12 +77,7 @@ def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
 def release() -> None:
     """Gives up what per_worker keeps, and returns the worker's free memory to the system."""
     sys.modules.setdefault("_threadloom_worker", types.ModuleType("_threadloom_worker")).__dict__.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    give_back()
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import checkpointed, slices, table
+from .common import checkpointed, released, slices, table
 
 SHINGLE = 3
 SEED = 42
@@ -108,7 +108,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [fingerprint(shingle_hashes(t or "", shingle)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(released(run), "doc_id long, fp long")
 
 
 def between(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +166,8 @@ def links(prints: DataFrame) -> DataFrame:
         if held and held[0].shape[1]:
             yield from compare(held[0][0], held[0][1].copy().view(np.uint64))
 
-    rows = prints.select("fp").mapInArrow(keyed, "key long, fp long")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(linked, "a long, b long").distinct()
+    rows = prints.select("fp").mapInArrow(released(keyed), "key long, fp long")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(released(linked), "a long, b long").distinct()
 
 
 def hex_print(fp: Column) -> Column:
