@@ -22,7 +22,7 @@ RUN = 8
 PAGES = 4
 SHARE = 0.5
 #: Bytes of pages that one suffix array takes; a host of more has several, and their counts are added up.
-PORTION = 4 << 20
+PORTION = 1 << 20
 
 # Fixed values of HTML: elements by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
