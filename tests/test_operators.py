@@ -226,6 +226,14 @@ def test_components_of_words(spark):
     assert sorted(tuple(r) for r in network.components(edges).collect()) == [("a", 3, 2), ("x", 2, 1)]
 
 
+def test_components_of_structs(spark):
+    rows = [((1, "b"), (1, "a")), ((1, "c"), (1, "b")), ((2, "b"), (2, "c")), ((2, None), (2, "c")), ((2, "a"), (3, "a")), ((4, "z"), (4, "z"))]
+    edges = spark.createDataFrame(rows, "source struct<k: int, v: string>, target struct<k: int, v: string>")
+    expected = {((1, "a"), 3, 2), ((2, None), 3, 2), ((2, "a"), 2, 1)}
+    for parts in (1, 3):
+        assert {(tuple(r["component"]), r["nodes"], r["edges"]) for r in network.components(edges.repartition(parts)).collect()} == expected
+
+
 def test_frontier(spark):
     rows = [(1, "https://s.example/a#x", "thread"), (2, "https://s.example/a/", "thread"), (3, "https://o.example/", "thread"), (4, "x", "thread"), (5, "https://s.example/forums/hello.5/", "forum"), (6, "https://s.example/old", "thread"), (7, "https://s.example/no", "thread")]
     found = spark.createDataFrame(rows, "seq int, url string, kind string")

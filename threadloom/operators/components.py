@@ -26,15 +26,26 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
+def coded(nodes: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Each node's place among the different ones, and these. Arrow cannot tell structs apart, so their fields are taken one by one."""
+    if not pa.types.is_struct(nodes.type):
+        made = nodes.dictionary_encode()
+        return made.indices.to_numpy(), made.dictionary
+    codes = np.zeros(len(nodes), np.int64)
+    for field in nodes.flatten():
+        made = field.dictionary_encode(null_encoding="encode")
+        _, first, codes = np.unique(codes * len(made.dictionary) + made.indices.to_numpy(), return_index=True, return_inverse=True)
+    return codes, nodes.take(pa.array(first))
+
+
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's edges (a, b, and the order of both), each node with its root: the node of the smallest order that these edges lead to."""
     parts = list(batches)
     if not parts or not sum(p.num_rows for p in parts):
         return
     table = pa.Table.from_batches(parts)
-    nodes = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks().dictionary_encode()
+    codes, distinct = coded(pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks())
     order = np.concatenate([table.column("x").to_numpy(), table.column("y").to_numpy()])
-    codes, distinct = nodes.indices.to_numpy(), nodes.dictionary
     first = np.zeros(len(distinct), np.int64)
     first[codes] = order
     ranked = np.argsort(first, kind="stable")
@@ -50,7 +61,7 @@ def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node and root (the component's smallest node) for every node of the edges (a, b: of one type); nodes without edges have no row.
+    """node and root (the component's smallest node) for every node of the edges (a, b: of one type, which may be a struct of plain fields); nodes without edges have no row.
 
     In a round each task joins the edges it has, and sends every node once with the root it found. Where a node's roots
     differ, edges between them go on; a node that was no task's root is done, and keeps a pointer to one of its roots.
