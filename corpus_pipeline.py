@@ -42,8 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, the token ids and the text that they decode to, a row per row; a null or empty text has no ids and decodes to an empty one."""
-    path = common.tokenizer_path(VOCABULARY)
-    return bpe.decode(bpe.encode(docs, path, columns=("source", "lang")), path)
+    return bpe.encode_decode(docs, common.tokenizer_path(VOCABULARY), columns=("source", "lang"))
 
 
 STAGES = [

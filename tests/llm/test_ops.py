@@ -867,3 +867,23 @@ def test_queries_that_sql_expresses(spark):
         cols = sorted(a.columns)
         row = lambda d: sorted(json.dumps([round(v, 9) if isinstance(v, float) else int(v) for v in r]) for r in d[cols].astype(object).itertuples(index=False))  # noqa: E731, B023
         assert row(a) == row(b)
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_a_task_of_the_pipeline_has_one_python_worker(spark):
+    """Workers share their executor's memory and outlive their tasks, so two in a task are four for two cores."""
+    import corpus_pipeline as p
+
+    docs = odd_docs(spark)
+    made = p.token_ids(spark, docs, SF)
+    assert python_steps(made) == 1
+    apart = bpe.decode(bpe.encode(docs, PATH, columns=("source", "lang")), PATH)
+    assert made.columns == apart.columns and made.dtypes == apart.dtypes
+    assert sorted(map(str, made.collect())) == sorted(map(str, apart.collect()))
+    texts = ["a b c d e f g", "a b c d e f g h", "x y z", "", "a b c d e f g"]
+    keyed = docs_of(spark, texts).select(suffixdedup.row_id(F.col("doc_id"), F.col("text")).alias("rid"), "text")
+    sketches = spark.createDataFrame([(r.rid, 1, neardup.segments(simhash.shingle_hashes(r.text, 2)).tolist()) for r in keyed.collect()[:4]], "rid long, fp long, segments array<long>")
+    assert python_steps(neardup.edges(keyed, sketches, 0.8, 2)) == 0

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load_tokenizer, per_worker, slices, table, tokenizer_path
+from .common import load_tokenizer, per_worker, slices, table, tokenizer_path, trimmed
 from .words import word_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -69,6 +69,14 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return kept.mapInArrow(decoding(path, kept.columns.index(ids_col)), ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "decoded string"]))
 
 
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
+    """decode(encode(...)) in one step, so that a task has one Python worker, which gives its free memory back at the end of the task. Columns asked for that are named as those made here are left out."""
+    kinds = dict(docs.dtypes)
+    columns = tuple(c for c in columns if c not in (id_col, "n_tokens", "ids", "decoded"))
+    run = trimmed(lambda batches: decoding(path, 2)(encoding(path)(batches)))
+    return docs.select(id_col, text_col, *columns).mapInArrow(run, ", ".join([f"`{id_col}` {kinds[id_col]}", "n_tokens long", "ids binary", *(f"`{c}` {kinds[c]}" for c in columns), "decoded string"]))
+
+
 def digest(batches: Batches) -> Batches:
     """doc_id, n_tokens and the SHA-256 of ids and decoded text."""
     for batch in batches:

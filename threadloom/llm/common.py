@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import checkpointed, folder, give_back, shared_folder, stored  # noqa: F401  the operators take them from here
+from ..storage import checkpointed, folder, forget, give_back, shared_folder, stored, trimmed  # noqa: F401  the operators take them from here
 
 #: A word of the contracts: a run of bytes other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

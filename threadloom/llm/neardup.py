@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import checkpointed, free_name, per_worker, released, slices
+from .common import checkpointed, forget, free_name, per_worker, released, slices
 from .simhash import fingerprint, links, shingle_hashes
 from .suffixdedup import row_id
 
@@ -112,6 +112,7 @@ def further(spread: DataFrame, found: DataFrame, held: DataFrame, least: float)
     heavy = F.col("sum") > TILE
     dealt = checkpointed(sums.join(small, "key", "left").select("key", "root", F.when(heavy, F.col("root")).alias("own"), F.ceil(F.when(heavy, F.col("sum")).otherwise(F.col("rest")) / TILE).alias("parts")))
     salt = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("rid"))), "parts")
+    forget(spread.sparkSession)
     placed = checkpointed(members.join(dealt, ["key", "root"]).select("key", "rid", "root", "own", F.xxhash64("own", salt).alias("block")))
     blocks = checkpointed(placed.select("key", "own", "block").distinct())
     met = blocks.select("key", F.col("own").alias("own_a"), F.col("block").alias("a")).join(blocks.select("key", F.col("own").alias("own_b"), F.col("block").alias("b")), "key")
@@ -170,7 +171,11 @@ def edges(docs: DataFrame, sketches: DataFrame, least: float, shingle: int) -> D
     held = checkpointed(texts.mapInArrow(released(sets), "rid long, set binary"))
     both = pairs.join(held.select(F.col("rid").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("rid").alias("b"), F.col("set").alias("y")), "b")
     found = checkpointed(both.select("a", "b", "x", "y").mapInArrow(released(decide), "a long, b long"))
-    return found.unionAll(further(spread, found, held, least))
+    forget(docs.sparkSession)
+    # written, so that no task has a worker that compares and one that joins edges beside it
+    more = checkpointed(further(spread, found, held, least))
+    forget(docs.sparkSession)
+    return found.unionAll(more)
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -195,6 +200,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     rows = checkpointed(keyed.mapInArrow(released(sketch), f"rid long, doc_id {kind}, same binary, fp long, segments array<long>"))
     heads = rows.groupBy("same").agg(F.min(F.struct("doc_id", "rid")).alias("head"), F.count("*").alias("n"))
     nodes = checkpointed(rows.join(heads.select("same", "head", "n"), "same").where("rid = head.rid").dropDuplicates(["rid"]).select("rid", "doc_id", "fp", "segments"))
+    forget(docs.sparkSession)
     roots = connected(edges(keyed, nodes, least, shingle))
     grouped = nodes.select("rid", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid")
     first = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("head")).select(F.col("head.rid").alias("rid"))

@@ -45,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(to)
 
 
+def forget(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that the shuffles of what is checkpointed and gone leave the disk now, not when the driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Returns a Python worker's free memory to the system: workers outlive their tasks, and share their executor's memory."""
     gc.collect()
